@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colmap.functions import vocab
 
@@ -184,16 +185,22 @@ def value_key(value: Column) -> Column:
     )
 
 
-def text_form(name: str, data_type) -> Column:
-    """A column as the text that value comparison uses."""
+def text_form(name: str, data_type: T.DataType) -> Column:
+    """A column as the text it has after a round trip through JSON, which is how
+    the values of ground-truth records arrive."""
     col = F.col(quoted(name))
-    kind = data_type.typeName()
-    if kind == "string":
+    if isinstance(data_type, T.StringType):
         return col
-    if kind in ("timestamp", "array", "map", "struct", "variant"):
-        if kind == "timestamp":
-            return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
-        return F.to_json(col)
+    if isinstance(data_type, T.TimestampType):
+        return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    if isinstance(data_type, T.TimestampNTZType):
+        return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    if isinstance(data_type, T.DecimalType):
+        return col.cast("double").cast("string")
+    if isinstance(data_type, T.BinaryType):
+        return F.base64(col)
+    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return F.from_json(F.to_json(F.struct(col.alias("v"))), "v string")["v"]
     return col.cast("string")
 
 

@@ -1,7 +1,7 @@
 """Ground-truth columns from reference records (``task_data``).
 
 ``matches`` tables are ``(dataset, field, pos, n_gt, col, hits)``: the raw column
-that holds a field's values, or null.
+that holds a field's values, or null with 0 hits.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def overlap_records(
             "pos",
             F.coalesce("n_gt", F.lit(0)).alias("n_gt"),
             F.col("best.col").alias("col"),
-            F.col("best.hits").alias("hits"),
+            F.coalesce("best.hits", F.lit(0)).alias("hits"),
         )
     )
 
@@ -232,7 +232,7 @@ def overlap_frames(
         "pos",
         F.coalesce("n_gt", F.lit(0)).alias("n_gt"),
         F.col("best.col").alias("col"),
-        F.col("best.hits").alias("hits"),
+        F.coalesce("best.hits", F.lit(0)).alias("hits"),
     )
 
 

@@ -258,7 +258,7 @@ def _reply_fields(parsed):
     return parsed.select(
         "doc_id",
         F.col("entries").isNotNull().alias("ok"),
-        F.when(F.col("entries").isNotNull(), F.size("entries")).alias("n_fields"),
+        F.coalesce(F.array_size("entries"), F.lit(0)).alias("n_fields"),
         *[pick(k) for k in ("task", "text", "text_a", "label", "size", "classes")],
     )
 
@@ -459,7 +459,7 @@ def spec_scores(spark, sf):
         ["Classification", "MultipleChoice", "TokenClassification", "SequenceToSequence"])
     return run_evaluation_specs(
         inputs.records(spark, sf), specs, {"keyword": keyword_method()}
-    ).select("dataset", "method", "score", "structure")
+    ).select("dataset", "method", "score", F.array_join("gt_cols", ",").alias("gt_cols"))
 
 
 TASK_WORDS = ["tasks.classification.multi_class", "Sentiment", "nli", "entailment", "qa.open",
