@@ -63,10 +63,9 @@ def task_data_cells(df: DataFrame, column: str = "task_data") -> DataFrame:
 def first_fields(gt: DataFrame, order: str = "row_id", column: str = "task_data") -> DataFrame:
     """Keys of each dataset's first record, metadata left out:
     ``(dataset, pos, field)``."""
-    first = first_rows(gt.select("dataset", order, column), "dataset", [order], 1)
-    return first.select(
-        "dataset", F.posexplode(F.json_object_keys(column)).alias("pos", "field")
-    ).where(~F.col("field").isin(*vocab.METADATA_KEYS))
+    keys = gt.select("dataset", order, F.json_object_keys(column).alias("keys"))
+    first = first_rows(keys, "dataset", [order], 1)
+    return first.select("dataset", F.posexplode("keys").alias("pos", "field")).where(~F.col("field").isin(*vocab.METADATA_KEYS))
 
 
 def needed(n_gt: Column) -> Column:
@@ -82,41 +81,50 @@ def overlap_records(
 
     ``raw`` is ``(dataset, row_id, row)`` and ``gt`` is
     ``(dataset, row_id, task_data)``, one JSON object per row; ``n`` limits both
-    to their first rows, None takes all. Values become distinct before they
-    meet, so a value repeated in a third of the rows is one key per column.
+    to their first rows, None takes all. Both sides go through one aggregate
+    that leaves, per dataset and value, the columns and the fields it occurs in,
+    so a value repeated in a third of the rows is combined before the shuffle.
     """
     fields = first_fields(gt).where(is_data_key(F.col("field")))
     if n is not None:
         raw = first_rows(raw, "dataset", ["row_id"], n)
         gt = first_rows(gt, "dataset", ["row_id"], n)
-    raw_keys = (
-        raw.select("dataset", F.explode(as_map(F.col("row"))).alias("col", "val"))
-        .where(F.col("val").isNotNull())
-        .select("dataset", "col", value_key(F.col("val")).alias("key"))
-        .distinct()
-    )
-    gt_keys = (
+    nothing = F.lit(None).cast("string")
+    raw_cells = raw.select(
+        "dataset", F.explode(as_map(F.col("row"))).alias("col", "val")
+    ).select("dataset", value_key(F.col("val")).alias("key"), "col", nothing.alias("field"))
+    gt_cells = (
         gt.select("dataset", F.explode(as_map(F.col("task_data"))).alias("field", "val"))
-        .where(F.col("val").isNotNull() & is_data_key(F.col("field")))
-        .select("dataset", "field", value_key(F.col("val")).alias("key"))
-        .distinct()
+        .where(is_data_key(F.col("field")))
+        .select("dataset", value_key(F.col("val")).alias("key"), nothing.alias("col"), "field")
+    )
+    values = (
+        raw_cells.unionByName(gt_cells)
+        .where(F.col("key").isNotNull())
+        .groupBy("dataset", "key")
+        .agg(F.collect_set("col").alias("cols"), F.collect_set("field").alias("fields"))
+        .where(F.size("fields") > 0)
     )
-    sizes = gt_keys.groupBy("dataset", "field").agg(F.count(F.lit(1)).alias("n_gt"))
-    hits = (
-        gt_keys.join(raw_keys, ["dataset", "key"])
+    # one line per field for its own size, under no column, and one per column hit
+    lines = F.concat(F.array(nothing), F.col("cols"))
+    counts = (
+        values.select("dataset", F.explode("fields").alias("field"), lines.alias("cols"))
+        .select("dataset", "field", F.explode("cols").alias("col"))
         .groupBy("dataset", "field", "col")
-        .agg(F.count(F.lit(1)).alias("hits"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    best = (
-        hits.join(sizes, ["dataset", "field"])
-        .where(F.col("hits") >= needed(F.col("n_gt")))
-        .join(column_places(raw), ["dataset", "col"])
+    hit = F.struct("place", "col", F.col("n").alias("hits"))
+    found = (
+        counts.join(column_places(raw), ["dataset", "col"], "left")
         .groupBy("dataset", "field")
-        .agg(F.min_by(F.struct("col", "hits"), "place").alias("best"))
+        .agg(
+            F.max(F.when(F.col("col").isNull(), F.col("n"))).alias("n_gt"),
+            F.array_sort(F.collect_list(F.when(F.col("col").isNotNull(), hit))).alias("hits"),
+        )
     )
+    enough = F.filter("hits", lambda h: h["hits"] >= needed(F.col("n_gt")))
     return (
-        fields.join(sizes, ["dataset", "field"], "left")
-        .join(best, ["dataset", "field"], "left")
+        fields.join(found.withColumn("best", F.get(enough, 0)), ["dataset", "field"], "left")
         .select(
             "dataset",
             "field",

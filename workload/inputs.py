@@ -23,11 +23,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with their labels, split into first sentence and rest."""
-    docs = table(spark, sf, "documents")
-    labels = table(spark, sf, "labels")
+    """Documents split into first sentence and rest, with a class number that
+    some of them lack. One scan: a join here would shuffle every text."""
     return (
-        docs.join(labels, "doc_id", "left")
+        table(spark, sf, "documents")
+        .withColumn("grade", F.expr("case when n_chars % 7 > 1 then n_chars % 2 end"))
         .withColumn("style", F.expr(f"cast(substr(source, 4) as int) % {STYLES}"))
         .withColumn("dataset", F.concat_ws("/", "source", "lang"))
         .withColumn("head", F.expr("split_part(text, '. ', 1)"))
@@ -46,11 +46,11 @@ def _by_style(cases: list[str]) -> str:
 
 
 RECORD_STYLES = [
-    {"sentence": "text", "label": "quality"},
-    {"idx": "doc_id", "Review": "text", "target": "quality"},
-    {"premise": "head", "hypothesis": "tail", "class": "toxic"},
+    {"sentence": "text", "label": "grade"},
+    {"idx": "doc_id", "Review": "text", "target": "grade"},
+    {"premise": "head", "hypothesis": "tail", "class": "grade"},
     {"question": "head", "answer": "tail"},
-    {"sentence1": "head", "sentence2": "tail", "labels": "quality"},
+    {"sentence1": "head", "sentence2": "tail", "labels": "grade"},
     {"input": "head", "output": "tail", "n_chars": "n_chars"},
     {"body_md": "text", "lang": "lang"},  # and flag, where it is known
 ]
@@ -59,13 +59,13 @@ RECORD_STYLES = [
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """``(dataset, row_id, row)``."""
     cases = [_json(**s) for s in RECORD_STYLES]
-    cases[6] = "to_json(named_struct('body_md', text, 'lang', lang, 'flag', toxic))"
+    cases[6] = "to_json(named_struct('body_md', text, 'lang', lang, 'flag', grade))"
     return documents(spark, sf).select(
         "dataset", F.col("doc_id").alias("row_id"), F.expr(_by_style(cases)).alias("row")
     )
 
 
-GOOD = "case quality when 1 then 'good' when 0 then 'bad' end"
+GOOD = "case grade when 1 then 'good' when 0 then 'bad' end"
 
 
 def reference(spark: SparkSession, sf: str) -> DataFrame:

@@ -31,13 +31,14 @@ def json_object(fields: dict[str, str]) -> str:
 
 DOCS = f"""docs as (
   select *, substr(text, length(head) + 1) as tail from (
-    select d.*, l.quality, l.toxic, cast(substr(source, 4) as int) % {inputs.STYLES} as style,
+    select *, case when n_chars % 7 > 1 then n_chars % 2 end as grade,
+           cast(substr(source, 4) as int) % {inputs.STYLES} as style,
            source || '/' || lang as dataset, split_part(text, '. ', 1) as head
-    from documents d left join labels l using (doc_id)))"""
+    from documents))"""
 
 _raw = [json_object(s) for s in inputs.RECORD_STYLES]
-_raw[6] = ("case when toxic is null then json_object('body_md', text, 'lang', lang)::varchar else "
-           "json_object('body_md', text, 'lang', lang, 'flag', toxic)::varchar end")
+_raw[6] = ("case when grade is null then json_object('body_md', text, 'lang', lang)::varchar else "
+           "json_object('body_md', text, 'lang', lang, 'flag', grade)::varchar end")
 RAW = f"raw as (select dataset, doc_id as row_id, {by_style(_raw)} as row from docs)"
 
 _single = json_object({"text": "text", "label": inputs.GOOD, "text_type": "'document'",
