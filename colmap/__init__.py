@@ -2,7 +2,9 @@
 
 from colmap.plans.evaluation import (
     evaluate,
+    evaluate_dataset,
     evaluate_spec,
+    evaluate_spec_dataset,
     run_evaluation,
     run_evaluation_specs,
 )
@@ -27,7 +29,9 @@ __all__ = [
     "baseline_keyword_match",
     "embedding_method",
     "evaluate",
+    "evaluate_dataset",
     "evaluate_spec",
+    "evaluate_spec_dataset",
     "keyword_method",
     "load_standardized_dataset",
     "load_standardized_dataset_local",

@@ -20,6 +20,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def exact_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """A table whose columns can be told apart whatever their case, and the name
+    each original column has in it."""
+    if len({c.lower() for c in df.columns}) == len(df.columns):
+        return df, {c: c for c in df.columns}
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def text_array(words: Iterable[str]) -> Column:
     words = list(words)
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")

@@ -76,6 +76,8 @@ SPEC_PAIR_FIELD = "sentence2"
 SPLITS = ["train", "test", "validation"]
 JSON_MODE_PREFIXES = ["anthropic/", "openai/"]
 JSON_MODE = "json_object"
+TEMPERATURE = 0.0
+MAX_NEW_TOKENS = 1024
 
 METHOD_ORDER = ["keyword", "embedding", "local_llm", "api_llm"]
 AVERAGE = "Average"

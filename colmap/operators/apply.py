@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colmap.functions import vocab
-from colmap.functions.exprs import is_annotation, quoted, rename_plan
+from colmap.functions.exprs import exact_names, is_annotation, quoted, rename_plan
 
 
 def annotation(key: str) -> bool:
@@ -78,18 +78,13 @@ def apply_mapping(df: DataFrame, mapping: Mapping) -> DataFrame:
     Only referenced columns are read. Integer labels become class names, other
     string values become constant columns, and ``classes`` is kept as text.
     """
-    # names that differ by case only need the exact one, by position
-    if len({c.lower() for c in df.columns}) < len(df.columns):
-        by_name = {c: f"c{i}" for i, c in enumerate(df.columns)}
-        source = df.toDF(*by_name.values())
-    else:
-        by_name, source = {c: c for c in df.columns}, df
+    source, name_in = exact_names(df)
     types = {f.name: f.dataType for f in df.schema.fields}
 
     plan = resolve(mapping, df.columns)
     out = {}
     for raw, name in plan.renames.items():
-        value = F.col(quoted(by_name[raw]))
+        value = F.col(quoted(name_in[raw]))
         if name == "label" and plan.classes:
             value = decode_label(value, types[raw], plan.classes)
         out[name] = value

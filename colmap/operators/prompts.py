@@ -57,7 +57,8 @@ def build_prompts(
     instruction: str | None = None,
     method: str | None = None,
 ) -> DataFrame:
-    """``(dataset, method, backend, model_id, system, user, response_format)``.
+    """``(dataset, method, backend, model_id, system, user, response_format,
+    temperature, max_new_tokens)``.
 
     A prompt holds a whole schema and a few rows by definition, so the arrays
     collected per dataset are as wide as one schema and ``n`` rows long.
@@ -97,4 +98,7 @@ def build_prompts(
         F.lit(SYSTEM[backend]).alias("system"),
         user.alias("user"),
         response_format(F.lit(model_id)).alias("response_format"),
+        F.lit(vocab.TEMPERATURE).alias("temperature"),
+        F.lit(vocab.MAX_NEW_TOKENS if backend == "local" else None).cast("int")
+        .alias("max_new_tokens"),
     )

@@ -17,10 +17,12 @@ def extract(responses: DataFrame, mode: str = "strict", raw: str = "raw") -> Dat
     """``responses`` with ``entries``: the mapping in each reply, null if none.
 
     Row-local, so it works on a stream as well. Needs a JSON parser as strict as
-    Python's, which ``from_json`` is not; hence one Arrow function.
+    Python's, which ``from_json`` is not; hence one Arrow function. Replies
+    without a brace hold no object and are not sent to it.
     """
     parse = F.arrow_udf(entries_column(mode), ENTRIES)
-    return responses.withColumn("entries", parse(F.col(raw)))
+    text = F.when(F.contains(F.col(raw), F.lit("{")), F.col(raw))
+    return responses.withColumn("entries", parse(text))
 
 
 def parse_responses(responses: DataFrame, backend: str = "local") -> DataFrame:

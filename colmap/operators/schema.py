@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.functions.exprs import first_rows, quoted, text_form, value_key
+from colmap.functions.exprs import exact_names, first_rows, quoted, text_form, value_key
 
 COLUMNS_SCHEMA = "dataset string, pos int, col string, dtype string"
 
@@ -79,19 +79,20 @@ def cells(
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     names = columns or df.columns
+    source, name_in = exact_names(df)
     shape = value_key if keyed else (lambda value: value)
     pairs = F.array(
         *[
             F.struct(
                 F.lit(c).alias("col"),
                 F.lit(df.columns.index(c)).alias("pos"),
-                shape(text_form(c, types[c])).alias("val"),
+                shape(text_form(name_in[c], types[c])).alias("val"),
             )
             for c in names
         ]
     )
     return (
-        df.select(F.inline(pairs))
+        source.select(F.inline(pairs))
         .where(F.col("val").isNotNull())
         .distinct()
         .select(F.lit(dataset).alias("dataset"), "col", "pos", "val")
@@ -100,9 +101,10 @@ def cells(
 
 def value_counts(df: DataFrame, dataset: str) -> DataFrame:
     """Rows and non-null values per column, in one scan without a wide shuffle."""
-    counted = df.agg(
+    source, _ = exact_names(df)
+    counted = source.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count(F.col(quoted(c))).alias(f"_c{i}") for i, c in enumerate(df.columns)],
+        *[F.count(F.col(quoted(c))).alias(f"_c{i}") for i, c in enumerate(source.columns)],
     )
     lines = F.array(
         *[

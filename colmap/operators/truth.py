@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colmap.functions import vocab
 from colmap.functions.exprs import (
+    exact_names,
     first_rows,
     is_data_key,
     quoted,
@@ -190,6 +191,7 @@ def overlap_frames(
         gt = gt.orderBy(*gt_order).limit(n)
 
     names = raw.columns
+    raw, _ = exact_names(raw)
     raw_words, gt_words = _words(len(names)), _words(len(fields))
     raw_side = [
         _cell(text_form(f.name, f.dataType), i, None, raw_words, gt_words)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmap.functions import vocab
@@ -26,6 +26,7 @@ from colmap.plans.methods import Method
 from colmap.plans.standardize import propose
 from colmap.sources.registry import dataset_id
 from colmap.sources.sinks import save_evaluation
+from colmap.sources.splits import load_split
 
 _ONE = "dataset"
 
@@ -118,6 +119,29 @@ def evaluate_spec(
     }
 
 
+def evaluate_dataset(
+    spark: SparkSession, root: str, name: str, config: str | None, card_id: str,
+    gt_root: str, method: Method, n_samples: int | None = vocab.EVAL_ROWS, **options,
+) -> dict:
+    """Open a dataset and the reference records of its card, then evaluate.
+
+    Both take the first split that opens; the records lie under
+    ``<gt_root>/<card_id>``.
+    """
+    raw = load_split(spark, root, name, config)
+    gt = load_split(spark, gt_root, card_id)
+    return evaluate(raw, gt, card_id, method, n_samples=n_samples, **options)
+
+
+def evaluate_spec_dataset(
+    spark: SparkSession, root: str, name: str, config: str | None, spec: Mapping,
+    method: Method, n_samples: int | None = vocab.SPEC_EVAL_ROWS,
+) -> dict:
+    """Open a dataset and evaluate it against a declared spec."""
+    raw = load_split(spark, root, name, config)
+    return evaluate_spec(raw, spec, name, config, method, n_samples)
+
+
 def propose_all(
     rows: DataFrame, methods: Mapping[str, Method]
 ) -> tuple[DataFrame | None, dict[str, str]]:

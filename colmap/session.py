@@ -12,6 +12,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # long texts go to Python workers in batches of bounded size
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 

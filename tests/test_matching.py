@@ -1,0 +1,195 @@
+"""Synonym and vector matching, schemas, prompts, model calls."""
+
+import json
+import sys
+
+import numpy as np
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from colmap.functions import vocab
+from colmap.operators.inference import infer
+from colmap.operators.matching import embedding_match, encode_names, keyword_match
+from colmap.operators.prompts import build_prompts, samples
+from colmap.operators.schema import catalog, cells, column_sets, columns_of_rows, value_counts
+from colmap.plans.methods import method_registry
+from tests.conftest import rows
+from workload.queries import keyword_model
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def columns(spark, **datasets):
+    data = [(d, i, c, "string") for d, names in datasets.items() for i, c in enumerate(names)]
+    return spark.createDataFrame(data, "dataset string, pos int, col string, dtype string")
+
+
+def as_dict(df):
+    return {
+        r["dataset"]: {e["field"]: e["value"] for e in r["entries"]}
+        for r in df.select("dataset", "entries").collect()
+    }
+
+
+def test_keyword_rules(spark):
+    got = as_dict(keyword_match(columns(
+        spark,
+        whole=["my_text", "texts"],  # whole names only
+        case=["TEXT", "Label"],
+        first=["body", "text", "class", "label"],  # first column wins
+        both=["text", "source"],
+        pair=["hypothesis", "premise"],
+        none=["a"],
+    )))
+    assert got == {
+        "whole": {"task": "classification"},
+        "case": {"text": "TEXT", "label": "Label", "task": "classification"},
+        "first": {"text": "body", "label": "class", "task": "classification"},
+        "both": {"text": "text", "text_a": "source", "task": "nli"},
+        "pair": {"text_a": "premise", "text_b": "hypothesis", "task": "nli"},
+        "none": {"task": "classification"},
+    }
+    assert list(got["both"]) == ["text", "text_a", "task"]
+
+
+def test_every_synonym(spark):
+    words = {f"{f}-{w}": [w] for f, ws in vocab.FIELD_SYNONYMS.items() for w in ws}
+    got = as_dict(keyword_match(columns(spark, **words)))
+    for name in words:
+        field, word = name.split("-")
+        assert got[name][field] == word
+
+
+def test_shared_synonym_serves_both_fields(spark):
+    got = as_dict(keyword_match(columns(spark, d=["x"]), {"question": ["x"], "answer": ["x"]}))
+    assert got["d"] == {"question": "x", "answer": "x", "task": "qa"}
+
+
+def test_embedding_rules(spark):
+    fields = {"input": [1.0, 0.0], "output": [0.0, 1.0], "text": [-1.0, 0.0]}
+    data = [
+        ("d", 0, "half", [0.5, 0.5]), ("d", 1, "right", [2.0, 0.0]), ("d", 2, "also", [3.0, 0.0]),
+        ("zero", 0, "z", [0.0, 0.0]), ("zero", 1, "n", None),
+        ("tie", 0, "a", [1.0, 1.0]), ("tie", 1, "b", [1.0, 1.0]),
+    ]
+    df = spark.createDataFrame(data, "dataset string, pos int, col string, embedding array<float>")
+    got = as_dict(embedding_match(df, fields, threshold=0.7))
+    assert got == {
+        "d": {"input": "right", "output": "half", "task": "generation"},
+        "zero": {"task": "classification"},
+        "tie": {"input": "a", "output": "a", "task": "generation"},
+    }
+
+
+def test_embedding_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(1)
+    data = [("hot" if i % 3 else f"d{i % 50}", i, f"c{i}", rng.normal(size=8).tolist())
+            for i in range(3000)]
+    fields = {f"f{i}": rng.normal(size=8).tolist() for i in range(5)}
+    df = spark.createDataFrame(data, "dataset string, pos int, col string, embedding array<double>")
+    got = as_dict(embedding_match(df.repartition(1), fields, 0.3))
+    assert got == as_dict(embedding_match(df.repartition(37), fields, 0.3))
+    unit = lambda v: np.asarray(v) / np.linalg.norm(v)
+    for dataset in ("hot", "d0", "d3"):
+        mine = [r for r in data if r[0] == dataset]
+        for f, v in fields.items():
+            sims = [float(unit(r[3]) @ unit(v)) for r in mine]
+            best = int(np.argmax(sims))
+            assert got[dataset].get(f) == (mine[best][2] if sims[best] >= 0.3 else None)
+
+
+def test_too_many_field_vectors(spark):
+    with pytest.raises(ValueError, match="field vectors"):
+        embedding_match(columns(spark, d=["a"]), {str(i): [0.0] * 5000 for i in range(300)})
+
+
+def letters(names):
+    return [[float(n.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for n in names]
+
+
+def test_encoder_and_registry(spark):
+    cols = columns(spark, a=["Text", "zzz"], b=["text"])
+    encoded = encode_names(cols, letters)
+    assert encoded.count() == 3
+    methods = method_registry(encoder=letters, api_factory=keyword_model,
+                              local_factory=keyword_model, extra={"mine": None})
+    assert list(methods) == [*vocab.METHOD_ORDER, "mine"]
+    got = as_dict(methods["embedding"](cols, None))
+    assert got["a"]["text"] == "Text" and got["b"]["text"] == "text"
+
+
+def test_catalog_and_counts(spark):
+    df = spark.createDataFrame([(1, "x", None), (2, "x", None)], "a long, B string, b array<int>")
+    assert rows(catalog(spark, {"d": df})) == [
+        ("d", 0, "a", "bigint"), ("d", 1, "B", "string"), ("d", 2, "b", "array<int>")]
+    assert rows(value_counts(df, "d").select("col", "n_rows", "n_values")) == [
+        ("B", 2, 2), ("a", 2, 2), ("b", 2, 0)]
+    assert rows(cells(df, "d")) == [("d", "B", 1, "x"), ("d", "a", 0, "1"), ("d", "a", 0, "2")]
+
+
+def test_columns_of_rows(spark):
+    data = [("d", 2, '{"late": 1}'),
+            ("d", 1, '{"z": "s", "a": 1, "f": 1.5, "e": 1e3, "l": [1], "o": {"k": 1}, "n": null, '
+                     '"t": true}'),
+            ("e", 1, "{}")]
+    df = spark.createDataFrame(data, "dataset string, row_id long, row string")
+    assert rows(columns_of_rows(df).select("pos", "col", "dtype")) == [
+        (0, "z", "str"), (1, "a", "int"), (2, "f", "float"), (3, "e", "float"), (4, "l", "list"),
+        (5, "o", "dict"), (6, "n", "NoneType"), (7, "t", "bool")]
+    assert rows(column_sets(columns_of_rows(df)))[0][1][:2] == ["z", "a"]
+
+
+def test_samples_of_a_hot_dataset(spark):
+    df = spark.range(30000).selectExpr(
+        "if(id % 3 < 2, 'hot', concat('d', id % 11)) as dataset", "29999 - id as row_id",
+        "concat('{\"v\": ', id, '}') as row")
+    got = {r["dataset"]: r["sample"] for r in samples(df.repartition(50), 5).collect()}
+    all_rows = sorted(((r["dataset"], r["row_id"], r["row"]) for r in df.collect()))
+    for name, sample in got.items():
+        assert sample == [r[2] for r in all_rows if r[0] == name][:5]
+    assert len(got) == len({r[0] for r in all_rows})
+
+
+def test_prompts(spark):
+    rows_df = spark.createDataFrame(
+        [("d", i, json.dumps({"ab": f"é{i}"}, ensure_ascii=False)) for i in range(9)],
+        "dataset string, row_id long, row string")
+    cols = columns_of_rows(rows_df)
+    build = lambda *a, **k: build_prompts(cols, samples(rows_df), *a, **k).first()
+    api = build("api", "anthropic/x", "Sales data.")
+    assert api["response_format"] == "json_object" and api["temperature"] == 0.0
+    assert api["max_new_tokens"] is None and "- Note: Sales data." in api["user"]
+    assert '- Columns: ["ab"]' in api["user"] and '- Types: {"ab": "str"}' in api["user"]
+    assert [f'{{"ab": "é{i}"}}' in api["user"] for i in range(6)] == [True] * 5 + [False]
+    local = build("local", "openai-like/x")
+    assert local["response_format"] is None and local["max_new_tokens"] == 1024
+    assert local["method"] == "local_llm" and "- Note" not in local["user"]
+    assert "exactly one" in local["user"] and "exactly one" not in api["user"]
+
+
+def test_model_is_asked_once_per_prompt(spark, folder):
+    log = f"{folder}/calls"
+
+    def factory(model_id):
+        def answer(prompt):
+            with open(log, "a") as f:
+                f.write(prompt["dataset"] + "\n")
+            if prompt["dataset"] == "bad":
+                raise ValueError("down")
+            return model_id
+
+        return answer
+
+    rows_df = spark.createDataFrame(
+        [(d, 1, '{"a": 1}') for d in ("one", "two", "bad")],
+        "dataset string, row_id long, row string")
+    prompts = build_prompts(columns_of_rows(rows_df), samples(rows_df), "api", "m1")
+    path = f"{folder}/responses"
+    first = infer(prompts.where("dataset <> 'two'"), factory, path)
+    assert rows(first.select("dataset", "raw", "error")) == [
+        ("bad", None, "ValueError: down"), ("one", "m1", None)]
+    again = infer(prompts, factory, path)
+    assert again.count() == 3 and again.count() == 3
+    assert sorted(open(log).read().split()) == ["bad", "one", "two"]
+    assert again.where(F.col("dataset") == "two").first()["raw"] == "m1"
