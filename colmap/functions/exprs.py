@@ -186,14 +186,22 @@ def predicted_columns(entries: Column) -> Column:
 
 
 def value_key(value: Column) -> Column:
-    """A value as a key of bounded size: short text as it is, long text as its
-    256-bit digest. Long documents then shuffle 65 bytes instead of themselves.
+    """A value as a key of at most 65 characters: text up to 64 as it is, longer
+    text as its 256-bit digest with a mark, which makes 65. Documents are then
+    compared without being shuffled.
     """
-    return F.when(F.length(value) <= 64, F.concat(F.lit("="), value)).otherwise(
+    return F.when(F.length(value) <= 64, value).otherwise(
         F.concat(F.lit("#"), F.sha2(value, 256))
     )
 
 
+def column_key(name: str, data_type: T.DataType) -> Column:
+    """``value_key`` of a column's text; number and date texts are short anyway."""
+    text = text_form(name, data_type)
+    short = (T.NumericType, T.BooleanType, T.DatetimeType)
+    return text if isinstance(data_type, short) else value_key(text)
+
+
 def text_form(name: str, data_type: T.DataType) -> Column:
     """A column as the text it has after a round trip through JSON, which is how
     the values of ground-truth records arrive."""

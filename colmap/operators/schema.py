@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.functions.exprs import exact_names, first_rows, quoted, text_form, value_key
+from colmap.functions.exprs import column_key, exact_names, first_rows, quoted, text_form
 
 COLUMNS_SCHEMA = "dataset string, pos int, col string, dtype string"
 
@@ -70,32 +71,47 @@ def column_sets(columns: DataFrame) -> DataFrame:
 
 
 def cells(
-    df: DataFrame, dataset: str, columns: list[str] | None = None, keyed: bool = False
+    frames: Mapping[str, DataFrame], keyed: bool = False
 ) -> DataFrame:
-    """Distinct non-null values of a dataset as ``(dataset, col, pos, val)``.
+    """Distinct non-null values of typed datasets as ``(dataset, col, pos, val)``.
 
     ``keyed`` gives values as keys of bounded size, which is all that comparing
-    and counting need; long texts are then not shuffled.
+    and counting need; long texts are then not shuffled. All datasets go through
+    one distinct, on positions; names are put back after it.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    names = columns or df.columns
-    source, name_in = exact_names(df)
-    shape = value_key if keyed else (lambda value: value)
-    pairs = F.array(
+    lines = reduce(
+        DataFrame.unionByName,
+        [_stacked(df, i, keyed) for i, df in enumerate(frames.values())],
+    )
+    names = F.array(
         *[
             F.struct(
-                F.lit(c).alias("col"),
-                F.lit(df.columns.index(c)).alias("pos"),
-                shape(text_form(name_in[c], types[c])).alias("val"),
+                F.lit(name).alias("dataset"),
+                F.array(*[F.lit(c) for c in df.columns]).alias("cols"),
             )
-            for c in names
+            for name, df in frames.items()
         ]
     )
     return (
-        source.select(F.inline(pairs))
-        .where(F.col("val").isNotNull())
+        lines.where(F.col("val").isNotNull())
         .distinct()
-        .select(F.lit(dataset).alias("dataset"), "col", "pos", "val")
+        .select(F.get(names, "table").alias("at"), "pos", "val")
+        .select("at.dataset", F.get("at.cols", "pos").alias("col"), "pos", "val")
+    )
+
+
+def _stacked(df: DataFrame, table: int, keyed: bool) -> DataFrame:
+    """Every value of a table on a line of its own: ``(table, pos, val)``."""
+    source, _ = exact_names(df)
+    form = column_key if keyed else text_form
+    lines = [
+        x
+        for pos, f in enumerate(source.schema.fields)
+        for x in (F.lit(pos), form(f.name, f.dataType))
+    ]
+    return source.select(
+        F.lit(table).alias("table"),
+        F.stack(F.lit(len(source.columns)), *lines).alias("pos", "val"),
     )
 
 

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from colmap.functions import vocab
 from colmap.functions.exprs import (
+    column_key,
     exact_names,
     first_rows,
     is_data_key,
     quoted,
     text_array,
-    text_form,
     value_key,
 )
 
@@ -39,11 +39,9 @@ def expand_task_data(df: DataFrame, order: str, column: str = "task_data") -> Da
     if column not in df.columns:
         return df.sparkSession.createDataFrame([], "struct<>")
     seen = (
-        df.select(order, F.posexplode(F.json_object_keys(column)).alias("pos", "key"))
+        first_seen(df, [], order, column)
         .where(~F.col("key").isin(*vocab.METADATA_KEYS))
-        .groupBy("key")
-        .agg(F.min(F.struct(order, "pos")).alias("seen"))
-        .orderBy("seen")
+        .orderBy("place")
     )
     keys = [r["key"] for r in seen.limit(MAX_KEYS + 1).collect()]
     if len(keys) > MAX_KEYS:
@@ -138,21 +136,27 @@ def overlap_records(
 
 
 def column_places(raw: DataFrame) -> DataFrame:
-    """Where each column of schemaless rows first appears: ``(dataset, col, place)``.
+    """Where each column of schemaless rows first appears: ``(dataset, col, place)``."""
+    return first_seen(raw, ["dataset"], "row_id", "row").withColumnRenamed("key", "col")
+
 
-    Rows of one dataset mostly share their key list, so the lists are counted
-    down to distinct ones before they are taken apart.
+def first_seen(df: DataFrame, by: list[str], order: str, column: str) -> DataFrame:
+    """The row and position at which each key of JSON rows first appears:
+    ``(*by, key, place)``.
+
+    Rows mostly share their key list, so the lists are counted down to distinct
+    ones before they are taken apart.
     """
     shapes = (
-        raw.select("dataset", "row_id", F.to_json(F.json_object_keys("row")).alias("shape"))
-        .groupBy("dataset", "shape")
-        .agg(F.min("row_id").alias("row_id"))
+        df.select(*by, order, F.to_json(F.json_object_keys(column)).alias("shape"))
+        .groupBy(*by, "shape")
+        .agg(F.min(order).alias(order))
     )
     keys = F.from_json("shape", "array<string>")
     return (
-        shapes.select("dataset", "row_id", F.posexplode(keys).alias("pos", "col"))
-        .groupBy("dataset", "col")
-        .agg(F.min(F.struct("row_id", "pos")).alias("place"))
+        shapes.select(*by, order, F.posexplode(keys).alias("pos", "key"))
+        .groupBy(*by, "key")
+        .agg(F.min(F.struct(order, "pos")).alias("place"))
     )
 
 
@@ -194,18 +198,23 @@ def overlap_frames(
     raw, _ = exact_names(raw)
     raw_words, gt_words = _words(len(names)), _words(len(fields))
     raw_side = [
-        _cell(text_form(f.name, f.dataType), i, None, raw_words, gt_words)
+        (column_key(f.name, f.dataType), _masks(i, None, raw_words, gt_words))
         for i, f in enumerate(raw.schema.fields)
     ]
     gt = gt.select(as_map(F.col(column)).alias("_m"))
     gt_side = [
-        _cell(F.try_element_at("_m", F.lit(k)), None, i, raw_words, gt_words)
+        (value_key(F.try_element_at("_m", F.lit(k))), _masks(None, i, raw_words, gt_words))
         for i, (_, k) in enumerate(fields)
     ]
     masks = [f"r{w}" for w in range(raw_words)] + [f"g{w}" for w in range(gt_words)]
+
+    def stacked(df: DataFrame, side: list) -> DataFrame:
+        lines = [x for key, bits in side for x in (key, *bits)]
+        return df.select(F.stack(F.lit(len(side)), *lines).alias("key", *masks))
+
     values = (
-        raw.select(F.inline(F.array(*raw_side)))
-        .unionByName(gt.select(F.inline(F.array(*gt_side))))
+        stacked(raw, raw_side)
+        .unionByName(stacked(gt, gt_side))
         .where(F.col("key").isNotNull())
         .groupBy("key")
         .agg(*[F.bit_or(m).alias(m) for m in masks])
@@ -250,16 +259,16 @@ def _words(bits: int) -> int:
     return -(-bits // _MASK_BITS)
 
 
-def _cell(value: Column, raw_bit, gt_bit, raw_words: int, gt_words: int) -> Column:
-    def mask(bit, word):
-        inside = bit is not None and bit // _MASK_BITS == word
+def _masks(raw_bit, gt_bit, raw_words: int, gt_words: int) -> list[Column]:
+    """Mask words with one bit set, that of a raw column or of a truth field."""
+
+    def word(bit, index):
+        inside = bit is not None and bit // _MASK_BITS == index
         return F.lit(1 << (bit % _MASK_BITS) if inside else 0).cast("long")
 
-    return F.struct(
-        value_key(value).alias("key"),
-        *[mask(raw_bit, w).alias(f"r{w}") for w in range(raw_words)],
-        *[mask(gt_bit, w).alias(f"g{w}") for w in range(gt_words)],
-    )
+    return [word(raw_bit, w) for w in range(raw_words)] + [
+        word(gt_bit, w) for w in range(gt_words)
+    ]
 
 
 def _has(side: str, bit: int) -> Column:

@@ -125,7 +125,7 @@ def test_catalog_and_counts(spark):
         ("d", 0, "a", "bigint"), ("d", 1, "B", "string"), ("d", 2, "b", "array<int>")]
     assert rows(value_counts(df, "d").select("col", "n_rows", "n_values")) == [
         ("B", 2, 2), ("a", 2, 2), ("b", 2, 0)]
-    assert rows(cells(df, "d")) == [("d", "B", 1, "x"), ("d", "a", 0, "1"), ("d", "a", 0, "2")]
+    assert rows(cells({"d": df})) == [("d", "B", 1, "x"), ("d", "a", 0, "1"), ("d", "a", 0, "2")]
 
 
 def test_columns_of_rows(spark):

@@ -146,7 +146,7 @@ def chat_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REPLY_KINDS = 14
-PROSE = "regexp_replace(text, '[^A-Za-z0-9 .,]', ' ')"
+PROSE = "translate(text, '{}`\"<>\\\\', '       ')"
 REPLY_OBJECT = (
     "concat('{\"task\": \"classification\", \"text\": \"', source, '\", \"label\": \"', lang, "
     "'\", \"size\": ', cast(n_chars as string), '}')"

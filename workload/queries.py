@@ -88,12 +88,8 @@ def catalog_columns(spark, sf):
 
 
 def catalog_cells(spark, sf):
-    parts = [
-        cells(df, name, keyed=True).groupBy("dataset", "pos", "col")
-        .agg(F.count(F.lit(1)).alias("n_values"))
-        for name, df in frames(spark, sf).items()
-    ]
-    return union(parts)
+    return cells(frames(spark, sf), keyed=True).groupBy("dataset", "pos", "col").agg(
+        F.count(F.lit(1)).alias("n_values"))
 
 
 def row_columns(spark, sf):
