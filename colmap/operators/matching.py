@@ -73,7 +73,7 @@ def encode_names(
         for batch in batches:
             codes, names = pd.factorize(batch["col"])
             vectors = [np.asarray(v, dtype="float64") for v in encoder(list(names))]
-            yield batch.assign(embedding=[vectors[c] for c in codes])
+            yield batch.assign(embedding=[vectors[c] if c >= 0 else None for c in codes])
 
     return columns.mapInPandas(
         run, "dataset string, pos int, col string, dtype string, embedding array<double>"

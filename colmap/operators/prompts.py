@@ -63,7 +63,7 @@ def build_prompts(
     A prompt holds a whole schema and a few rows by definition, so the arrays
     collected per dataset are as wide as one schema and ``n`` rows long.
     """
-    schema = columns.groupBy("dataset").agg(
+    schema = columns.where(F.col("col").isNotNull()).groupBy("dataset").agg(
         F.array_sort(F.collect_list(F.struct("pos", "col", "dtype"))).alias("schema")
     )
     names = F.array_join(F.transform("schema", lambda c: json_string(c["col"])), ", ")

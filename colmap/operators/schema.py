@@ -27,29 +27,50 @@ _ROW_TYPES = [
 
 
 def catalog(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFrame:
-    """``columns`` of typed datasets, straight from their schemas; reads no rows."""
-    rows = [
-        (name, pos, field.name, field.dataType.simpleString())
-        for name, df in frames.items()
-        for pos, field in enumerate(df.schema.fields)
-    ]
-    return spark.createDataFrame(rows, COLUMNS_SCHEMA)
+    """``columns`` of typed datasets, straight from their schemas; reads no rows.
+
+    A dataset without columns has one line, with no column on it.
+    """
+    lines = []
+    for name, df in frames.items():
+        fields = [
+            (name, pos, field.name, field.dataType.simpleString())
+            for pos, field in enumerate(df.schema.fields)
+        ]
+        lines += fields or [(name, None, None, None)]
+    return spark.createDataFrame(lines, COLUMNS_SCHEMA)
+
+
+def as_rows(df: DataFrame, dataset: str, order: str) -> DataFrame:
+    """A typed table in the form of a schemaless one: ``(dataset, row_id, row)``."""
+    source, name_in = exact_names(df)
+    fields = [F.col(quoted(name_in[c])).alias(c) for c in df.columns]
+    return source.select(
+        F.lit(dataset).alias("dataset"),
+        F.col(quoted(name_in[order])).alias("row_id"),
+        F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("row"),
+    )
 
 
 def columns_of_rows(rows: DataFrame, order: str = "row_id", row: str = "row") -> DataFrame:
     """``columns`` of schemaless datasets from the first row of each.
 
     ``rows`` is ``(dataset, <order>, <row>)`` with one JSON object per row. Keys
-    keep the order they have in the text.
+    keep the order they have in the text. A dataset whose first row has none has
+    one line, with no column on it.
     """
     first = first_rows(rows.select("dataset", order, row), "dataset", [order], 1)
     keyed = first.select(
         "dataset",
         F.from_json(row, "map<string,variant>").alias("_values"),
-        F.posexplode(F.json_object_keys(row)).alias("pos", "col"),
+        F.posexplode_outer(F.json_object_keys(row)).alias("pos", "col"),
     )
     return keyed.select(
-        "dataset", "pos", "col", _row_type(F.element_at("_values", F.col("col"))).alias("dtype")
+        "dataset",
+        "pos",
+        "col",
+        F.when(F.col("col").isNotNull(), _row_type(F.try_element_at("_values", F.col("col"))))
+        .alias("dtype"),
     )
 
 
@@ -66,7 +87,8 @@ def column_sets(columns: DataFrame) -> DataFrame:
 
     The array is as long as one schema is wide.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "col")))
+    known = F.when(F.col("col").isNotNull(), F.struct("pos", "col"))
+    ordered = F.array_sort(F.collect_list(known))
     return columns.groupBy("dataset").agg(F.transform(ordered, lambda c: c["col"]).alias("cols"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colmap.functions import vocab
 from colmap.functions.exprs import (
@@ -26,6 +27,13 @@ MAX_KEYS = 5000
 _MASK_BITS = 63
 
 
+def with_json(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with records given as structs or maps turned into JSON text."""
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return df
+    return df.withColumn(column, F.to_json(column, {"ignoreNullFields": "false"}))
+
+
 def as_map(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
@@ -38,6 +46,7 @@ def expand_task_data(df: DataFrame, order: str, column: str = "task_data") -> Da
     """
     if column not in df.columns:
         return df.sparkSession.createDataFrame([], "struct<>")
+    df = with_json(df, column)
     seen = (
         first_seen(df, [], order, column)
         .where(~F.col("key").isin(*vocab.METADATA_KEYS))
@@ -53,6 +62,7 @@ def expand_task_data(df: DataFrame, order: str, column: str = "task_data") -> Da
 
 def task_data_cells(df: DataFrame, column: str = "task_data") -> DataFrame:
     """Every row of ``df`` once per key of its ``task_data``: ``field``, ``val``."""
+    df = with_json(df, column)
     rest = [F.col(quoted(c)) for c in df.columns if c != column]
     return df.select(*rest, F.explode(as_map(F.col(column))).alias("field", "val")).where(
         ~F.col("field").isin(*vocab.METADATA_KEYS)
@@ -62,7 +72,9 @@ def task_data_cells(df: DataFrame, column: str = "task_data") -> DataFrame:
 def first_fields(gt: DataFrame, order: str = "row_id", column: str = "task_data") -> DataFrame:
     """Keys of each dataset's first record, metadata left out:
     ``(dataset, pos, field)``."""
-    keys = gt.select("dataset", order, F.json_object_keys(column).alias("keys"))
+    keys = with_json(gt, column).select(
+        "dataset", order, F.json_object_keys(column).alias("keys")
+    )
     first = first_rows(keys, "dataset", [order], 1)
     return first.select("dataset", F.posexplode("keys").alias("pos", "field")).where(~F.col("field").isin(*vocab.METADATA_KEYS))
 
@@ -84,6 +96,7 @@ def overlap_records(
     that leaves, per dataset and value, the columns and the fields it occurs in,
     so a value repeated in a third of the rows is combined before the shuffle.
     """
+    raw, gt = with_json(raw, "row"), with_json(gt, "task_data")
     fields = first_fields(gt).where(is_data_key(F.col("field")))
     if n is not None:
         raw = first_rows(raw, "dataset", ["row_id"], n)
@@ -177,6 +190,7 @@ def overlap_frames(
     """
     raw_order = raw_order or raw.columns[:1]
     gt_order = gt_order or gt.columns[:1]
+    gt = with_json(gt, column)
     first = gt.orderBy(*gt_order).select(F.json_object_keys(column).alias("k")).first()
     keys = [] if first is None else (first["k"] or [])
     fields = [

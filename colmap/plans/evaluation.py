@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from colmap.functions import vocab
 from colmap.functions.exprs import mapping_json, text_array
 from colmap.operators.apply import annotation, apply_mapping
+from colmap.operators.matching import keyword_match
 from colmap.operators.prompts import samples
 from colmap.operators.schema import catalog, column_sets, columns_of_rows
 from colmap.operators.scores import struct_scores
@@ -144,7 +145,7 @@ def evaluate_spec_dataset(
 
 def propose_all(
     rows: DataFrame, methods: Mapping[str, Method]
-) -> tuple[DataFrame | None, dict[str, str]]:
+) -> tuple[DataFrame, dict[str, str]]:
     """Proposals of all methods over schemaless datasets. A method that raises
     is left out and its message kept."""
     columns, sampled = columns_of_rows(rows), samples(rows)
@@ -155,13 +156,19 @@ def propose_all(
             proposals = part if proposals is None else proposals.unionByName(part)
         except Exception as exc:
             errors[name] = f"{type(exc).__name__}: {exc}"
+    if proposals is None:
+        proposals = keyword_match(columns).limit(0)
     return proposals, errors
 
 
 def records_truth(rows: DataFrame, gt: DataFrame, n: int | None = vocab.OVERLAP_ROWS) -> DataFrame:
-    """``(dataset, gt_cols)`` of schemaless datasets from their reference records."""
+    """``(dataset, gt_cols)`` of schemaless datasets from their reference records;
+    records that name no column give an empty set."""
     names = column_sets(columns_of_rows(rows))
-    return truth_columns(with_name_fallback(overlap_records(rows, gt, n), names))
+    found = truth_columns(with_name_fallback(overlap_records(rows, gt, n), names))
+    return gt.select("dataset").distinct().join(found, "dataset", "left").select(
+        "dataset", F.coalesce("gt_cols", text_array([])).alias("gt_cols")
+    )
 
 
 def grid(

@@ -53,7 +53,7 @@ def model_method(
         prompts = build_prompts(columns, samples, backend, model_id, instruction, method)
         place = path or scratch_path(columns.sparkSession, f"responses-{method}")
         answered = parse_responses(infer(prompts, factory, place), backend)
-        return fill_missing(answered, samples, method)
+        return fill_missing(answered, columns, method)
 
     return run
 

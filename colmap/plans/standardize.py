@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmap.functions import vocab
-from colmap.functions.exprs import catalog_task, exact_names, quoted
+from colmap.functions.exprs import catalog_task, quoted
 from colmap.operators.apply import apply_mapping
 from colmap.operators.prompts import samples
-from colmap.operators.schema import catalog, columns_of_rows
+from colmap.operators.schema import as_rows, catalog, columns_of_rows
 from colmap.operators.scores import presence_scores, table_presence
 from colmap.plans.methods import Method, embedding_method, keyword_method, model_method
 from colmap.sources.splits import load_split
@@ -32,11 +32,7 @@ def standardize_catalog(rows: DataFrame, method: Method) -> DataFrame:
 def sample_rows(df: DataFrame, order: list[str] | None, n: int) -> DataFrame:
     """First rows of one typed table in the form ``samples`` has."""
     picked = (df.orderBy(*[quoted(c) for c in order]) if order else df).limit(n)
-    source, name_in = exact_names(picked)
-    fields = [F.col(quoted(name_in[c])).alias(c) for c in df.columns]
-    packed = source.select(
-        F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("row")
-    )
+    packed = as_rows(picked, _ONE, df.columns[0])
     return packed.agg(F.collect_list("row").alias("sample")).select(
         F.lit(_ONE).alias("dataset"), "sample"
     )

@@ -24,18 +24,30 @@ def _open(spark: SparkSession, path: str, fmt: str, schema, options: dict) -> Da
     return reader.load(path)
 
 
+class _Files:
+    """Path probing on the driver; looks at names only, never at contents."""
+
+    def __init__(self, spark: SparkSession):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def matches(self, pattern: str) -> list:
+        path = self._path(pattern)
+        return list(path.getFileSystem(self._conf).globStatus(path) or [])
+
+    def folders(self, path: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.matches(f"{path}/*") if s.isDirectory())
+
+
 def _candidates(base: str, split: str, fmt: str) -> list[str]:
     return [f"{base}/{split}", f"{base}/{split}.{fmt}", f"{base}/{split}-*.{fmt}"]
 
 
-def _subfolders(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders in a folder, sorted; looks at no file's contents."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory())
+def _unsplit(files: _Files, base: str, fmt: str) -> list[str]:
+    """Places of data that belongs to no split."""
+    named = [p for split in vocab.SPLITS for p in _candidates(base, split, fmt)]
+    inside = [] if any(files.matches(p) for p in named) else [f"{base}/*.{fmt}"]
+    return [f"{base}.{fmt}", *inside]
 
 
 def load_split(
@@ -52,38 +64,26 @@ def load_split(
     Without a config the dataset's own files are tried first; when it has only
     configs, the first one by name is taken for every split.
     """
+    files = _Files(spark)
     base = f"{root.rstrip('/')}/{name}"
     bases = [f"{base}/{config}"] if config else [base]
     if not config:
-        known = set(vocab.SPLITS)
-        configs = [f for f in _subfolders(spark, base) if f not in known and f[0] not in "._"]
+        configs = [f for f in files.folders(base)
+                   if f not in vocab.SPLITS and f[0] not in "._" and not f.endswith(f".{fmt}")]
         bases += [f"{base}/{configs[0]}"] if configs else []
     last = None
     for split in vocab.SPLITS:
         places = [p for b in bases for p in _candidates(b, split, fmt)]
         if split == "train":
-            places += [f"{b}.{fmt}" for b in bases] + [f"{b}/*.{fmt}" for b in bases]
+            places += [p for b in bases for p in _unsplit(files, b, fmt)]
         for place in places:
-            # unsplit files of a folder must not be another split's files
-            if place.endswith(f"/*.{fmt}") and _has_split_files(spark, place, fmt):
+            if not files.matches(place):
                 continue
             try:
                 return _open(spark, place, fmt, schema, options)
             except AnalysisException as exc:
                 last = exc
-    raise ValueError(f"No accessible split for {name}/{config}: {last}")
-
-
-def _has_split_files(spark: SparkSession, place: str, fmt: str) -> bool:
-    folder = place.rsplit("/", 1)[0]
-    jvm = spark.sparkContext._jvm
-    for split in vocab.SPLITS:
-        for pattern in (f"{split}.{fmt}", f"{split}-*.{fmt}"):
-            path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
-            fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            if fs.globStatus(path):
-                return True
-    return False
+    raise ValueError(f"No accessible split for {name}/{config}: {last or 'no files'}")
 
 
 def load_rows(

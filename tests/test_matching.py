@@ -134,10 +134,12 @@ def test_columns_of_rows(spark):
                      '"t": true}'),
             ("e", 1, "{}")]
     df = spark.createDataFrame(data, "dataset string, row_id long, row string")
-    assert rows(columns_of_rows(df).select("pos", "col", "dtype")) == [
+    assert rows(columns_of_rows(df).where("dataset = 'e'")) == [("e", None, None, None)]
+    assert rows(columns_of_rows(df).where("dataset = 'd'").select("pos", "col", "dtype")) == [
         (0, "z", "str"), (1, "a", "int"), (2, "f", "float"), (3, "e", "float"), (4, "l", "list"),
         (5, "o", "dict"), (6, "n", "NoneType"), (7, "t", "bool")]
-    assert rows(column_sets(columns_of_rows(df)))[0][1][:2] == ["z", "a"]
+    sets = dict(rows(column_sets(columns_of_rows(df))))
+    assert sets["d"][:2] == ["z", "a"] and sets["e"] == []
 
 
 def test_samples_of_a_hot_dataset(spark):

@@ -17,6 +17,7 @@ from colmap.functions.exprs import (
     task_match,
     task_of,
 )
+from colmap.operators.schema import as_rows
 from colmap.operators.scores import (
     all_columns_valid,
     field_recall,
@@ -25,8 +26,14 @@ from colmap.operators.scores import (
     table_presence,
 )
 from colmap.plans import evaluation
-from colmap.plans.evaluation import evaluate, evaluate_spec, report, run_evaluation
-from colmap.plans.methods import keyword_method, model_method
+from colmap.plans.evaluation import (
+    evaluate,
+    evaluate_spec,
+    records_truth,
+    report,
+    run_evaluation,
+)
+from colmap.plans.methods import embedding_method, keyword_method, model_method
 from colmap.plans.report import method_average, present_methods, score_pivot, score_table
 from colmap.plans.standardize import (
     baseline_embedding_match,
@@ -260,3 +267,33 @@ def test_many_tables(spark):
         ("a", "classification", 2), ("b", "classification", 1)]
 
 
+
+
+def test_edges_of_a_catalog(spark):
+    raw = spark.createDataFrame(
+        [("empty", 1, "{}"), ("meta", 1, '{"text": "x"}')], "dataset string, row_id long, row string")
+    gt = spark.createDataFrame(
+        [("empty", 1, '{"text": "x"}'), ("meta", 1, '{"metadata": 1}')],
+        "dataset string, row_id long, task_data string")
+    methods = {"keyword": keyword_method(), "stub": model_method(keyword_model, "api", "s"),
+               "embedding": embedding_method(lambda ns: [[1.0] for _ in ns])}
+    got = {(r["dataset"], r["method"]): r for r in run_evaluation(raw, gt, methods).collect()}
+    assert got["empty", "keyword"]["score"] == 1.0  # nothing expected, nothing predicted
+    assert got["empty", "keyword"]["code"] == "# No rename steps needed"
+    assert got["empty", "embedding"]["code"] == "# No rename steps needed"
+    assert got["empty", "stub"]["code"] == "# Error: no features"
+    assert got["meta", "keyword"]["score"] == 0.0
+    lost = run_evaluation(raw, gt, {"api_llm": failing_method})
+    assert rows(lost.select("dataset", "score", "error")) == [
+        ("empty", None, "ValueError: no service"), ("meta", None, "ValueError: no service")]
+
+
+def test_records_given_as_structs(spark):
+    raw = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "id long, p string")
+    text = raw.selectExpr("id", "to_json(named_struct('t', p)) as task_data")
+    struct = raw.selectExpr("id", "named_struct('t', p) as task_data")
+    for gt in (text, struct):
+        assert evaluate(raw, gt, "d", keyword_method())["gt_cols"] == ["p"]
+    packed = as_rows(raw, "d", "id")
+    assert records_truth(packed, struct.selectExpr("'d' as dataset", "id as row_id", "task_data")
+                         ).first()["gt_cols"] == ["p"]
