@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,11 @@ def configure(builder):
     return builder
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="colmap-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path under the folder all executors share.
 
@@ -34,8 +40,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="colmap-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/colmap-{label}-{uuid.uuid4().hex}"
 
 

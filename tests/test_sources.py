@@ -2,6 +2,7 @@
 
 import json
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +188,17 @@ def test_scratch_is_the_shared_folder(spark):
     assert written(spark.range(5), "five").count() == 5
 
 
+def test_scratch_without_a_shared_folder():
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default),
+                               sparkContext=SimpleNamespace(master=master))
+
+    a, b = (scratch_path(session("local[2]"), "x") for _ in range(2))
+    assert a != b and os.path.dirname(a) == os.path.dirname(b)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(session("spark://host:7077"), "x")
+
+
 def test_by_name(spark, folder):
     put(spark, f"{folder}/d/test", "t")
     spark.createDataFrame([(1, '{"text": "t", "label": "good"}')], "id long, task_data string"
