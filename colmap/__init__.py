@@ -10,6 +10,7 @@ from colmap.plans.evaluation import (
 )
 from colmap.plans.methods import (
     embedding_method,
+    function_method,
     keyword_method,
     method_registry,
     model_method,
@@ -32,6 +33,7 @@ __all__ = [
     "evaluate_dataset",
     "evaluate_spec",
     "evaluate_spec_dataset",
+    "function_method",
     "keyword_method",
     "load_standardized_dataset",
     "load_standardized_dataset_local",

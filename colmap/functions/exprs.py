@@ -29,6 +29,15 @@ def exact_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names.values()), names
 
 
+def union_all(parts: Iterable[DataFrame]) -> DataFrame:
+    """Union by name as a balanced tree: the plan of n tables stays log n deep."""
+    parts = list(parts)
+    while len(parts) > 1:
+        pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
+        parts = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return parts[0]
+
+
 def text_array(words: Iterable[str]) -> Column:
     words = list(words)
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")

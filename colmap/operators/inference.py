@@ -18,11 +18,12 @@ RESPONSES = "dataset string, method string, backend string, raw string, error st
 
 
 def cached_model(model_id: str, factory: Callable[[str], Callable]) -> Callable:
-    """The model a worker process already holds under this id, or a new one."""
-    held = sys.modules.setdefault("_colmap_models", types.ModuleType("_colmap_models"))
-    if model_id not in held.__dict__:
-        held.__dict__[model_id] = factory(model_id)
-    return held.__dict__[model_id]
+    """The model a worker process already holds for this id, or a new one."""
+    held = sys.modules.setdefault("_colmap_models", types.ModuleType("_colmap_models")).__dict__
+    key = f"{factory.__module__}.{getattr(factory, '__qualname__', '')} {model_id}"
+    if key not in held:
+        held[key] = factory(model_id)
+    return held[key]
 
 
 def _answer(factory: Callable[[str], Callable]) -> Callable:

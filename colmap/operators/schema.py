@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.functions.exprs import column_key, exact_names, first_rows, quoted, text_form
+from colmap.functions.exprs import column_key, exact_names, first_rows, quoted, text_form, union_all
 
 COLUMNS_SCHEMA = "dataset string, pos int, col string, dtype string"
 
@@ -52,6 +51,14 @@ def as_rows(df: DataFrame, dataset: str, order: str) -> DataFrame:
     )
 
 
+def catalog_rows(frames: Mapping[str, DataFrame], orders: Mapping[str, str]) -> DataFrame:
+    """Typed tables as one table of schemaless rows; ``orders`` names the column
+    that orders each, by default its first."""
+    return union_all(
+        as_rows(df, name, orders.get(name, df.columns[0])) for name, df in frames.items()
+    )
+
+
 def columns_of_rows(rows: DataFrame, order: str = "row_id", row: str = "row") -> DataFrame:
     """``columns`` of schemaless datasets from the first row of each.
 
@@ -101,10 +108,7 @@ def cells(
     and counting need; long texts are then not shuffled. All datasets go through
     one distinct, on positions; names are put back after it.
     """
-    lines = reduce(
-        DataFrame.unionByName,
-        [_stacked(df, i, keyed) for i, df in enumerate(frames.values())],
-    )
+    lines = union_all(_stacked(df, i, keyed) for i, df in enumerate(frames.values()))
     names = F.array(
         *[
             F.struct(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmap.functions import vocab
-from colmap.functions.exprs import mapping_json, text_array
+from colmap.functions.exprs import mapping_json, text_array, union_all
 from colmap.operators.apply import annotation, apply_mapping
 from colmap.operators.matching import keyword_match
 from colmap.operators.prompts import samples
@@ -25,6 +25,7 @@ from colmap.operators.truth import (
 )
 from colmap.plans.methods import Method
 from colmap.plans.standardize import propose
+from colmap.session import written
 from colmap.sources.registry import dataset_id
 from colmap.sources.sinks import save_evaluation
 from colmap.sources.splits import load_split
@@ -146,19 +147,22 @@ def evaluate_spec_dataset(
 def propose_all(
     rows: DataFrame, methods: Mapping[str, Method]
 ) -> tuple[DataFrame, dict[str, str]]:
-    """Proposals of all methods over schemaless datasets. A method that raises
-    is left out and its message kept."""
+    """Proposals of all methods over schemaless datasets.
+
+    Each method runs on its own and its proposals, a row per dataset, are
+    written. So one that raises, here or in the workers, is left out with its
+    message kept, and scoring runs none of them again.
+    """
     columns, sampled = columns_of_rows(rows), samples(rows)
-    proposals, errors = None, {}
+    parts, errors = [keyword_match(columns).limit(0)], {}
     for name, method in methods.items():
         try:
             part = method(columns, sampled).withColumn("method", F.lit(name))
-            proposals = part if proposals is None else proposals.unionByName(part)
+            parts.append(written(part.select(parts[0].columns), f"proposals-{name}"))
         except Exception as exc:
-            errors[name] = f"{type(exc).__name__}: {exc}"
-    if proposals is None:
-        proposals = keyword_match(columns).limit(0)
-    return proposals, errors
+            message = str(exc).strip().split("\n")[0]
+            errors[name] = f"{type(exc).__name__}: {message}"
+    return union_all(parts), errors
 
 
 def records_truth(rows: DataFrame, gt: DataFrame, n: int | None = vocab.OVERLAP_ROWS) -> DataFrame:
@@ -193,11 +197,15 @@ def run_evaluation(
     n: int | None = vocab.OVERLAP_ROWS, datasets: DataFrame | None = None,
 ) -> DataFrame:
     """All schemaless datasets × methods against reference records:
-    ``(dataset, method, score, struct_score, gt_cols, pred_cols, entries, code, error)``."""
+    ``(dataset, method, score, struct_score, gt_cols, pred_cols, entries, code, error)``.
+
+    The results are written to the shared folder, so that reports read them
+    instead of evaluating again.
+    """
     proposals, errors = propose_all(rows, methods)
     scored = struct_scores(proposals, records_truth(rows, gt, n)).drop("task", "status")
     listed = rows if datasets is None else datasets
-    return grid(listed, list(methods), scored, errors)
+    return written(grid(listed, list(methods), scored, errors), "results")
 
 
 def run_evaluation_specs(
@@ -209,7 +217,7 @@ def run_evaluation_specs(
     truth = spec_truth(spec_entries(named), column_sets(columns_of_rows(rows)))
     proposals, errors = propose_all(rows, methods)
     scored = struct_scores(proposals, truth).drop("task", "status")
-    return grid(named, list(methods), scored, errors)
+    return written(grid(named, list(methods), scored, errors), "results")
 
 
 def report(results: DataFrame) -> DataFrame:

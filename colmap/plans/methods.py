@@ -6,17 +6,27 @@ per dataset out. Any function of that form can join the registry.
 
 from __future__ import annotations
 
+import json
+import sys
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from colmap.functions import vocab
+from colmap.functions.exprs import text_array
 from colmap.operators.inference import infer
 from colmap.operators.matching import embedding_match, encode_names, keyword_match
 from colmap.operators.prompts import build_prompts
 from colmap.operators.responses import fill_missing, parse_responses
+from colmap.operators.schema import column_sets
 from colmap.session import scratch_path
 
+# Tasks carry these functions with them, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Method = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -58,6 +68,39 @@ def model_method(
     return run
 
 
+def function_method(
+    fn: Callable[[list[str], list[dict]], Mapping], name: str, path: str | None = None
+) -> Method:
+    """Any Python function from column names and first rows to a mapping.
+
+    It runs in the workers, once per dataset, and its answers are kept like
+    those of a model. One that raises leaves its dataset without a mapping.
+    """
+
+    own_id = f"{name} {uuid.uuid4().hex}"  # workers must not mix up two functions
+
+    def factory(model_id: str) -> Callable[[dict], str]:
+        return lambda ask: json.dumps(
+            dict(fn(json.loads(ask["system"]), [json.loads(r) for r in json.loads(ask["user"])]))
+        )
+
+    def run(columns: DataFrame, samples: DataFrame) -> DataFrame:
+        names = column_sets(columns.where(F.col("col").isNotNull()))
+        asked = names.join(samples, "dataset", "left").select(
+            "dataset",
+            F.lit(name).alias("method"),
+            F.lit("local").alias("backend"),
+            F.lit(own_id).alias("model_id"),
+            F.to_json("cols").alias("system"),
+            F.to_json(F.coalesce("sample", text_array([]))).alias("user"),
+        )
+        place = path or scratch_path(columns.sparkSession, f"responses-{name}")
+        answered = parse_responses(infer(asked, factory, place), "local")
+        return fill_missing(answered, columns, name)
+
+    return run
+
+
 def method_registry(
     encoder=None, api_factory=None, local_factory=None, extra: Mapping[str, Method] | None = None
 ) -> dict[str, Method]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmap.functions import vocab
-from colmap.functions.exprs import catalog_task, quoted
+from colmap.functions.exprs import catalog_task, quoted, union_all
 from colmap.operators.apply import apply_mapping
 from colmap.operators.prompts import samples
 from colmap.operators.schema import as_rows, catalog, columns_of_rows
@@ -113,7 +113,4 @@ def standardize_tables(
         sample_rows(df, None, vocab.PROMPT_ROWS).withColumn("dataset", F.lit(name))
         for name, df in frames.items()
     ]
-    sampled = parts[0]
-    for part in parts[1:]:
-        sampled = sampled.unionByName(part)
-    return method(columns, sampled)
+    return method(columns, union_all(parts))

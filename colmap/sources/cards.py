@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmap.functions import vocab
-from colmap.functions.exprs import card_family, card_id
+from colmap.functions.exprs import card_family, card_id, union_all
 
 CARD = "__type__ string, loader struct<__type__:string,path:string,name:string>, task string"
 
@@ -26,10 +26,7 @@ def read_cards(spark: SparkSession, roots: list[str]) -> DataFrame:
         )
         for pos, root in enumerate(roots)
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return union_all(parts)
 
 
 def parse_cards(raw: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from colmap.functions.exprs import (
     task_match,
     task_of,
 )
-from colmap.operators.schema import as_rows
+from colmap.operators.schema import as_rows, catalog_rows
 from colmap.operators.scores import (
     all_columns_valid,
     field_recall,
@@ -33,7 +33,12 @@ from colmap.plans.evaluation import (
     report,
     run_evaluation,
 )
-from colmap.plans.methods import embedding_method, keyword_method, model_method
+from colmap.plans.methods import (
+    embedding_method,
+    function_method,
+    keyword_method,
+    model_method,
+)
 from colmap.plans.report import method_average, present_methods, score_pivot, score_table
 from colmap.plans.standardize import (
     baseline_embedding_match,
@@ -205,6 +210,24 @@ def test_run_evaluation(spark, corpus):
     assert lines["d", "broken"]["code"] == "# Error: LLM/API failed"
 
 
+def test_plain_function_as_method(spark, corpus):
+    def first_column(names, sample):
+        if "k" in names:
+            raise ValueError("no idea")
+        return {"text": names[0], "label": "label" if "label" in sample[0] else 3}
+
+    def with_task(names, sample):
+        return {**first_column(names, sample), "task": f"rows-{len(sample)}"}
+
+    methods = {"no_task": function_method(first_column, "no_task"),
+               "mine": function_method(with_task, "mine")}
+    got = {(r["dataset"], r["method"]): r for r in run_evaluation(*corpus, methods).collect()}
+    assert got["d", "mine"]["score"] == 1.0 and got["e", "mine"]["score"] == 0.0
+    assert [e["value_json"] for e in got["d", "mine"]["entries"]] == [
+        '"sentence"', '"label"', '"rows-5"']
+    assert got["d", "no_task"]["code"] == "# Error: local LLM failed"
+
+
 def test_partitions_do_not_matter(spark, corpus):
     raw, gt = corpus
     methods = {"keyword": keyword_method()}
@@ -283,6 +306,17 @@ def test_edges_of_a_catalog(spark):
     assert got["empty", "embedding"]["code"] == "# No rename steps needed"
     assert got["empty", "stub"]["code"] == "# Error: no features"
     assert got["meta", "keyword"]["score"] == 0.0
+    def broken_encoder(names):
+        if "text" in names and len(names) < 8:
+            raise ValueError("encoder is gone")
+        return [[1.0] for _ in names]
+
+    half = run_evaluation(raw, gt, {"embedding": embedding_method(broken_encoder),
+                                    "keyword": keyword_method()})
+    got = {(r["dataset"], r["method"]): r for r in half.collect()}
+    assert got["meta", "embedding"]["score"] is None and "PythonException" in got[
+        "meta", "embedding"]["error"]
+    assert got["meta", "keyword"]["score"] == 0.0
     lost = run_evaluation(raw, gt, {"api_llm": failing_method})
     assert rows(lost.select("dataset", "score", "error")) == [
         ("empty", None, "ValueError: no service"), ("meta", None, "ValueError: no service")]
@@ -294,6 +328,7 @@ def test_records_given_as_structs(spark):
     struct = raw.selectExpr("id", "named_struct('t', p) as task_data")
     for gt in (text, struct):
         assert evaluate(raw, gt, "d", keyword_method())["gt_cols"] == ["p"]
-    packed = as_rows(raw, "d", "id")
+    packed = catalog_rows({"d": raw}, {})
+    assert rows(packed) == rows(as_rows(raw, "d", "id"))
     assert records_truth(packed, struct.selectExpr("'d' as dataset", "id as row_id", "task_data")
                          ).first()["gt_cols"] == ["p"]

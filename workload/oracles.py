@@ -535,7 +535,7 @@ ORACLES = {
         count(*) filter (where col = 'text') > 0 and count(*) filter (where col = 'label') > 0
       from cols group by dataset""",
     "mapping_recall": ctes(*BASE, GT) + """
-      select dataset, round_even(count(k.field) / count(*), 6) as recall, 0.0 as without_truth
+      select dataset, round_even(count(k.field) / count(*), 6) as recall, 0.0::double as without_truth
       from (
         select dataset, field from (
           select dataset, unnest(json_keys(arg_min(task_data, row_id))) as field

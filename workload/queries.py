@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-from functools import reduce
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from colmap.functions.exprs import (
     half_even,
     mapping_json,
     task_match,
+    union_all,
 )
 from colmap.operators.apply import apply_mapping, rename_text, resolve_entries
 from colmap.operators.inference import infer
@@ -72,10 +72,6 @@ DECODED = {**DOC_MAPPING, "classes": ["bad", "good"]}
 DIGITS = ["zero", "one", "two", "three", "four", "five", "six"]
 
 
-def union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def frames(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {name: load_split(spark, sf, name) for name in inputs.TABLES}
 
@@ -84,7 +80,7 @@ def frames(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 # ---- sources and schemas
 
 def catalog_columns(spark, sf):
-    return union([value_counts(df, name) for name, df in frames(spark, sf).items()])
+    return union_all([value_counts(df, name) for name, df in frames(spark, sf).items()])
 
 
 def catalog_cells(spark, sf):
@@ -155,7 +151,7 @@ def table_fields(spark, sf):
         std = apply_mapping(df, mappings[name])
         if std.columns:
             parts.append(value_counts(std, name).withColumn("task", F.lit(mappings[name]["task"])))
-    return union(parts).drop("dtype")
+    return union_all(parts).drop("dtype")
 
 
 def embedding(spark, sf):
@@ -413,7 +409,7 @@ def presence_score(spark, sf):
     make = lambda name, *pairs: kinds.select(
         "dataset", F.lit(name).alias("method"),
         entries_of([(f, F.lit(v)) for f, v in pairs]).alias("entries"))
-    proposals = union([
+    proposals = union_all([
         make("column", ("task", "qa"), ("text", "k"), ("label", "absent")),
         make("task_only", ("task", "qa")),
         make("empty"),
@@ -423,7 +419,7 @@ def presence_score(spark, sf):
             "dataset", "method", F.lit(n).alias("n"), "score")
         for n in (10, 1000000)
     ]
-    return union(parts)
+    return union_all(parts)
 
 
 def presence_records(spark, sf):
