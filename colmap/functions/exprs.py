@@ -204,13 +204,6 @@ def value_key(value: Column) -> Column:
     )
 
 
-def column_key(name: str, data_type: T.DataType) -> Column:
-    """``value_key`` of a column's text; number and date texts are short anyway."""
-    text = text_form(name, data_type)
-    short = (T.NumericType, T.BooleanType, T.DatetimeType)
-    return text if isinstance(data_type, short) else value_key(text)
-
-
 def text_form(name: str, data_type: T.DataType) -> Column:
     """A column as the text it has after a round trip through JSON, which is how
     the values of ground-truth records arrive."""
@@ -230,6 +223,21 @@ def text_form(name: str, data_type: T.DataType) -> Column:
     return col.cast("string")
 
 
+def exact_form(name: str, data_type: T.DataType) -> Column:
+    """A column as text that differs for any two of its values; times keep the
+    digits below a millisecond that JSON drops."""
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+        return F.col(quoted(name)).cast("string")
+    return text_form(name, data_type)
+
+
+def column_key(name: str, data_type: T.DataType, form=text_form) -> Column:
+    """``value_key`` of a column's text; number and date texts are short anyway."""
+    text = form(name, data_type)
+    short = (T.NumericType, T.BooleanType, T.DatetimeType)
+    return text if isinstance(data_type, short) else value_key(text)
+
+
 def first_rows(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of every group, with their place as ``rn``.
 

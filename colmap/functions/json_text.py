@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import sys
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -83,38 +84,51 @@ def lenient(text: str):
     return None
 
 
-def _clean(text: str) -> str:
-    """Lone surrogates have no UTF-8 form."""
-    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-
-
-def entries(raw: str | None, mode: str) -> list[dict] | None:
-    """Mapping entries of a reply; None when it holds no usable object."""
+def mapping_in(raw: str | None, mode: str) -> dict | None:
+    """The mapping in a reply; None when it holds no usable object."""
     if raw is None:
         return None
     try:
         found = strict(raw) if mode == "strict" else lenient(raw)
-        if not isinstance(found, dict) or "task" not in found:
-            return None
-        return [
-            {
-                "pos": pos,
-                "field": _clean(field),
-                "value": _clean(value) if isinstance(value, str) else None,
-                "is_string": isinstance(value, str),
-                "value_json": _clean(json.dumps(value, ensure_ascii=False)),
-            }
-            for pos, (field, value) in enumerate(found.items())
-        ]
     except (ValueError, RecursionError):
         return None
+    return found if isinstance(found, dict) and "task" in found else None
+
+
+def _utf8(text: str) -> str:
+    """Lone surrogates have no UTF-8 form."""
+    try:
+        text.encode()
+        return text
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+_as_json = json.JSONEncoder(ensure_ascii=False).encode
 
 
 def entries_column(mode: str):
-    """Arrow function from a column of replies to a column of entries."""
+    """Arrow function from a column of replies to a column of mapping entries."""
 
     def parse(raw: pa.Array) -> pa.Array:
-        return pa.array([entries(t, mode) for t in raw.to_pylist()], pa.list_(ENTRY_TYPE))
+        found = [mapping_in(text, mode) for text in raw.to_pylist()]
+        pairs = [pair for mapping in found for pair in (mapping or {}).items()]
+        values = [value for _, value in pairs]
+        strings = [isinstance(v, str) for v in values]
+        structs = pa.StructArray.from_arrays(
+            [
+                pa.array([pos for m in found for pos in range(len(m or ()))], pa.int32()),
+                pa.array([_utf8(field) for field, _ in pairs], pa.string()),
+                pa.array([_utf8(v) if s else None for v, s in zip(values, strings)], pa.string()),
+                pa.array(strings, pa.bool_()),
+                pa.array([_utf8(_as_json(v)) for v in values], pa.string()),
+            ],
+            fields=list(ENTRY_TYPE),
+        )
+        ends = list(accumulate((len(m or ()) for m in found), initial=0))
+        return pa.ListArray.from_arrays(
+            pa.array(ends, pa.int32()), structs, mask=pa.array([m is None for m in found])
+        )
 
     parse.__annotations__ = {"raw": pa.Array, "return": pa.Array}
     return parse

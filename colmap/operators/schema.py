@@ -7,7 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.functions.exprs import column_key, exact_names, first_rows, quoted, text_form, union_all
+from colmap.functions.exprs import (
+    column_key,
+    exact_form,
+    exact_names,
+    first_rows,
+    quoted,
+    union_all,
+)
 
 COLUMNS_SCHEMA = "dataset string, pos int, col string, dtype string"
 
@@ -129,12 +136,12 @@ def cells(
 def _stacked(df: DataFrame, table: int, keyed: bool) -> DataFrame:
     """Every value of a table on a line of its own: ``(table, pos, val)``."""
     source, _ = exact_names(df)
-    form = column_key if keyed else text_form
-    lines = [
-        x
-        for pos, f in enumerate(source.schema.fields)
-        for x in (F.lit(pos), form(f.name, f.dataType))
-    ]
+    lines = []
+    for pos, f in enumerate(source.schema.fields):
+        value = exact_form(f.name, f.dataType)
+        if keyed:
+            value = column_key(f.name, f.dataType, exact_form)
+        lines += [F.lit(pos), value]
     return source.select(
         F.lit(table).alias("table"),
         F.stack(F.lit(len(source.columns)), *lines).alias("pos", "val"),

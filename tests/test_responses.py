@@ -2,11 +2,12 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from colmap.functions.json_text import entries, lenient, strict
+from colmap.functions.json_text import entries_column, lenient, mapping_in, strict
 from colmap.operators.responses import extract, fill_missing, parse_responses
 from colmap.streaming.standardize import extract_stream, read_stream, write_stream
 from tests.conftest import rows
@@ -65,16 +66,18 @@ def test_lenient(text, want):
 @pytest.mark.parametrize("raw", [None, "", "{}", '{"text": "x"}', '["task"]', '"task"', "{" * 5000])
 @pytest.mark.parametrize("mode", ["strict", "lenient"])
 def test_unusable(raw, mode):
-    assert entries(raw, mode) is None
+    assert mapping_in(raw, mode) is None
 
 
 def test_deep_object_is_unusable():
     deep = '{"task":' * 100000 + "1" + "}" * 100000
-    assert entries(deep, "strict") is None
+    assert mapping_in(deep, "strict") is None
 
 
 def test_entry_values():
-    got = entries('{"task": "c", "classes": ["a", "é"], "n": 1.5, "x": null, "y": "\\ud800"}', "strict")
+    text = '{"task": "c", "classes": ["a", "é"], "n": 1.5, "x": null, "y": "\\ud800"}'
+    none, got, plain = entries_column("strict")(pa.array([None, text, OBJ])).to_pylist()
+    assert none is None and [e["pos"] for e in plain] == [0, 1]
     assert [(e["field"], e["value"], e["is_string"], e["value_json"]) for e in got] == [
         ("task", "c", True, '"c"'),
         ("classes", None, False, '["a", "é"]'),
