@@ -50,17 +50,29 @@ def _object_in(text: str):
     return None if brace < 0 else _decode(text, brace)
 
 
+def _thought(text: str) -> str:
+    """What the first closed think block holds."""
+    inside, closed, _ = text.partition(vocab.THINK_OPEN)[2].partition(vocab.THINK_CLOSE)
+    return inside if closed else ""
+
+
+def _outside(text: str) -> str:
+    """Text without its think blocks; one that stays open runs to the end."""
+    kept, opened = [], vocab.THINK_OPEN
+    while opened:
+        before, opened, rest = text.partition(vocab.THINK_OPEN)
+        kept.append(before)
+        _, closed, text = rest.partition(vocab.THINK_CLOSE)
+        if not closed:
+            break
+    return "".join(kept).partition(vocab.THINK_OPEN)[0]
+
+
 def strict(text: str):
     """Look in the whole text, then in the first think block, then outside of
     think blocks. An empty object counts in the last place only."""
     text = re.sub(vocab.BROKEN_KEY, r'"\1_\2":', text)
-    think = re.search(vocab.THINK_BLOCK, text, re.DOTALL)
-    for place in (text, think.group(1) if think else ""):
-        found = _object_in(place)
-        if found:
-            return found
-    outside = re.sub(vocab.THINK_BLOCK, "", text, flags=re.DOTALL)
-    return _object_in(re.sub(vocab.THINK_OPEN, "", outside, flags=re.DOTALL).strip())
+    return _object_in(text) or _object_in(_thought(text)) or _object_in(_outside(text))
 
 
 def lenient(text: str):

@@ -101,8 +101,8 @@ INFER_FAILED = {"api": "# Error: LLM/API failed", "local": "# Error: local LLM f
 # response text patterns
 BROKEN_KEY = r'"(\w+)"_(\w+)"\s*:'
 FENCED_OBJECT = r"```(?:json)?\s*(\{[^`]*\})\s*```"
-THINK_BLOCK = r"<think>(.*?)</think>"
-THINK_OPEN = r"<think>.*$"
+THINK_OPEN = "<think>"
+THINK_CLOSE = "</think>"
 
 # sizes
 PROMPT_ROWS = 5

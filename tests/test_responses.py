@@ -7,7 +7,14 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from colmap.functions.json_text import entries_column, lenient, mapping_in, strict
+from colmap.functions.json_text import (
+    _outside,
+    _thought,
+    entries_column,
+    lenient,
+    mapping_in,
+    strict,
+)
 from colmap.operators.responses import extract, fill_missing, parse_responses
 from colmap.streaming.standardize import extract_stream, read_stream, write_stream
 from tests.conftest import rows
@@ -63,6 +70,19 @@ def test_lenient(text, want):
     assert lenient(text) == want
 
 
+@pytest.mark.parametrize("text, inside, outside", [
+    ("a<think>b</think>c", "b", "ac"),
+    ("a<think>b", "", "a"),
+    ("a</think>b", "", "a</think>b"),
+    ("<think>a</think>b<think>c</think>d<think>e", "a", "bd"),
+    ("<think>a<think>b</think>c</think>d", "a<think>b", "c</think>d"),
+    ("<thi<think>x</think>nk>y", "x", ""),  # what is left can open a block
+    ("plain", "", "plain"),
+])
+def test_think_blocks(text, inside, outside):
+    assert (_thought(text), _outside(text)) == (inside, outside)
+
+
 @pytest.mark.parametrize("raw", [None, "", "{}", '{"text": "x"}', '["task"]', '"task"', "{" * 5000])
 @pytest.mark.parametrize("mode", ["strict", "lenient"])
 def test_unusable(raw, mode):
