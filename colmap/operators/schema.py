@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colmap.functions import vocab
 from colmap.functions.exprs import (
     column_key,
     exact_form,
@@ -15,6 +16,7 @@ from colmap.functions.exprs import (
     quoted,
     union_all,
 )
+from colmap.session import written
 
 COLUMNS_SCHEMA = "dataset string, pos int, col string, dtype string"
 
@@ -66,6 +68,16 @@ def catalog_rows(frames: Mapping[str, DataFrame], orders: Mapping[str, str]) ->
     )
 
 
+def head(rows: DataFrame, n: int = vocab.SCORE_ROWS) -> DataFrame:
+    """The first ``n`` rows of every schemaless dataset, written once.
+
+    Schemas, samples and presence scores need no others, so given this table
+    instead of the whole one they share a single pass over the data.
+    """
+    kept = first_rows(rows.select("dataset", "row_id", "row"), "dataset", ["row_id"], n)
+    return written(kept.drop("rn"), "head")
+
+
 def columns_of_rows(rows: DataFrame, order: str = "row_id", row: str = "row") -> DataFrame:
     """``columns`` of schemaless datasets from the first row of each.
 

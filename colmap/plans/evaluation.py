@@ -13,7 +13,7 @@ from colmap.functions.exprs import mapping_json, text_array, union_all
 from colmap.operators.apply import annotation, apply_mapping
 from colmap.operators.matching import keyword_match
 from colmap.operators.prompts import samples
-from colmap.operators.schema import catalog, column_sets, columns_of_rows
+from colmap.operators.schema import catalog, column_sets, columns_of_rows, head
 from colmap.operators.scores import struct_scores
 from colmap.operators.specs import spec_entries, spec_truth
 from colmap.operators.truth import (
@@ -165,10 +165,16 @@ def propose_all(
     return union_all(parts), errors
 
 
-def records_truth(rows: DataFrame, gt: DataFrame, n: int | None = vocab.OVERLAP_ROWS) -> DataFrame:
+def records_truth(
+    rows: DataFrame, gt: DataFrame, n: int | None = vocab.OVERLAP_ROWS,
+    top: DataFrame | None = None,
+) -> DataFrame:
     """``(dataset, gt_cols)`` of schemaless datasets from their reference records;
-    records that name no column give an empty set."""
-    names = column_sets(columns_of_rows(rows))
+    records that name no column give an empty set. ``top`` is ``head(rows)``,
+    where that is at hand."""
+    names = column_sets(columns_of_rows(rows if top is None else top))
+    if top is not None and n is not None and n <= vocab.SCORE_ROWS:
+        rows = top
     found = truth_columns(with_name_fallback(overlap_records(rows, gt, n), names))
     return gt.select("dataset").distinct().join(found, "dataset", "left").select(
         "dataset", F.coalesce("gt_cols", text_array([])).alias("gt_cols")
@@ -202,9 +208,10 @@ def run_evaluation(
     The results are written to the shared folder, so that reports read them
     instead of evaluating again.
     """
-    proposals, errors = propose_all(rows, methods)
-    scored = struct_scores(proposals, records_truth(rows, gt, n)).drop("task", "status")
-    listed = rows if datasets is None else datasets
+    top = head(rows)
+    proposals, errors = propose_all(top, methods)
+    scored = struct_scores(proposals, records_truth(rows, gt, n, top)).drop("task", "status")
+    listed = top if datasets is None else datasets
     return written(grid(listed, list(methods), scored, errors), "results")
 
 
@@ -213,9 +220,10 @@ def run_evaluation_specs(
 ) -> DataFrame:
     """The same against declared specs ``(name, config, spec)``, spec as JSON; a
     dataset's id is ``name/config``."""
+    top = head(rows)
     named = specs.select(dataset_id(F.col("name"), F.col("config")).alias("dataset"), "spec")
-    truth = spec_truth(spec_entries(named), column_sets(columns_of_rows(rows)))
-    proposals, errors = propose_all(rows, methods)
+    truth = spec_truth(spec_entries(named), column_sets(columns_of_rows(top)))
+    proposals, errors = propose_all(top, methods)
     scored = struct_scores(proposals, truth).drop("task", "status")
     return written(grid(named, list(methods), scored, errors), "results")
 

@@ -12,7 +12,7 @@ from colmap.functions import vocab
 from colmap.functions.exprs import catalog_task, quoted, union_all
 from colmap.operators.apply import apply_mapping
 from colmap.operators.prompts import samples
-from colmap.operators.schema import as_rows, catalog, columns_of_rows
+from colmap.operators.schema import as_rows, catalog, columns_of_rows, head
 from colmap.operators.scores import presence_scores, table_presence
 from colmap.plans.methods import Method, embedding_method, keyword_method, model_method
 from colmap.sources.splits import load_split
@@ -23,8 +23,9 @@ _ONE = "dataset"
 def standardize_catalog(rows: DataFrame, method: Method) -> DataFrame:
     """Mappings for all schemaless datasets in ``rows`` ``(dataset, row_id, row)``:
     ``(dataset, method, entries, task, status, code, score, catalog_task)``."""
-    proposals = method(columns_of_rows(rows), samples(rows))
-    return presence_scores(proposals, rows).withColumn(
+    top = head(rows)
+    proposals = method(columns_of_rows(top), samples(top))
+    return presence_scores(proposals, top).withColumn(
         "catalog_task", catalog_task(F.col("task"))
     )
 

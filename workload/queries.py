@@ -27,6 +27,7 @@ from colmap.operators.schema import (
     cells,
     column_sets,
     columns_of_rows,
+    head,
     value_counts,
 )
 from colmap.operators.scores import (
@@ -182,8 +183,8 @@ def embedding(spark, sf):
 
 
 def prompt_texts(spark, sf):
-    rows = inputs.records(spark, sf)
-    columns, sampled = columns_of_rows(rows), samples(rows)
+    top = head(inputs.records(spark, sf))
+    columns, sampled = columns_of_rows(top), samples(top)
     api = build_prompts(columns, sampled, "api", "openai/some-model", "All rows are invented.")
     local = build_prompts(columns, sampled, "local", "other/model")
     return api.unionByName(local).select(
@@ -233,8 +234,8 @@ def infer_stub(spark, sf):
 
 def infer_errors(spark, sf):
     """A model that always fails: error kept per prompt, mapping empty."""
-    rows = inputs.records(spark, sf)
-    prompts = build_prompts(columns_of_rows(rows), samples(rows), "api", "broken")
+    top = head(inputs.records(spark, sf))
+    prompts = build_prompts(columns_of_rows(top), samples(top), "api", "broken")
     responses = infer(prompts, broken_model, scratch_path(spark, "responses"))
     failed = parse_responses(responses, "api").drop("entries")
     return failed.join(responses.select("dataset", "error"), "dataset")
@@ -434,8 +435,9 @@ def presence_records(spark, sf):
 
 def _scored(spark, sf):
     rows, gt = inputs.records(spark, sf), inputs.reference(spark, sf)
-    found = keyword_match(columns_of_rows(rows))
-    return struct_scores(found, records_truth(rows, gt, None))
+    top = head(rows)
+    found = keyword_match(columns_of_rows(top))
+    return struct_scores(found, records_truth(rows, gt, None, top))
 
 
 def jaccard_scores(spark, sf):
@@ -469,7 +471,7 @@ def task_matches(spark, sf):
 
 
 def columns_valid(spark, sf):
-    """Mappings parsed from replies, checked against the columns of ``records``."""
+    """Synonym mappings, and one fixed mapping that fits some datasets only."""
     columns = column_sets(columns_of_rows(inputs.records(spark, sf)))
     found = keyword(spark, sf).select("dataset", "entries").unionByName(
         columns.select("dataset", entries_of([
