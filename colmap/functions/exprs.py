@@ -90,6 +90,11 @@ def entries_from_json(text: Column) -> Column:
     return F.coalesce(F.transform(items, one).cast(ENTRIES), no_entries())
 
 
+def annotation_key(key: str) -> bool:
+    """``is_annotation`` for a key the driver holds."""
+    return key in vocab.ANNOTATION_KEYS or key.endswith(vocab.ANNOTATION_SUFFIX)
+
+
 def is_annotation(field: Column, with_task: bool = False) -> Column:
     """Keys that describe the data instead of naming a column."""
     names = vocab.ANNOTATION_KEYS + (["task"] if with_task else [])

@@ -9,12 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colmap.functions import vocab
-from colmap.functions.exprs import exact_names, is_annotation, quoted, rename_plan
-
-
-def annotation(key: str) -> bool:
-    return key in vocab.ANNOTATION_KEYS or key.endswith(vocab.ANNOTATION_SUFFIX)
+from colmap.functions.exprs import annotation_key, exact_names, is_annotation, quoted, rename_plan
 
 
 @dataclass
@@ -37,7 +32,7 @@ def resolve(mapping: Mapping, columns: list[str]) -> Resolved:
     for key, value in mapping.items():
         if key in ("task", "classes") or not isinstance(value, str):
             continue
-        if value in present and not annotation(key):
+        if value in present and not annotation_key(key):
             out.renames[value] = key
         else:
             out.constants[key] = value

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from colmap.functions import vocab
 from colmap.functions.exprs import (
+    annotation_key,
     column_key,
     exact_names,
     first_rows,
@@ -76,7 +77,8 @@ def first_fields(gt: DataFrame, order: str = "row_id", column: str = "task_data"
         "dataset", order, F.json_object_keys(column).alias("keys")
     )
     first = first_rows(keys, "dataset", [order], 1)
-    return first.select("dataset", F.posexplode("keys").alias("pos", "field")).where(~F.col("field").isin(*vocab.METADATA_KEYS))
+    listed = first.select("dataset", F.posexplode("keys").alias("pos", "field"))
+    return listed.where(~F.col("field").isin(*vocab.METADATA_KEYS))
 
 
 def needed(n_gt: Column) -> Column:
@@ -196,9 +198,7 @@ def overlap_frames(
     fields = [
         (pos, k)
         for pos, k in enumerate(keys)
-        if k not in vocab.METADATA_KEYS
-        and k not in vocab.ANNOTATION_KEYS
-        and not k.endswith(vocab.ANNOTATION_SUFFIX)
+        if k not in vocab.METADATA_KEYS and not annotation_key(k)
     ]
     spark = raw.sparkSession
     schema = "dataset string, field string, pos int, n_gt bigint, col string, hits bigint"

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmap.functions import vocab
-from colmap.functions.exprs import mapping_json, text_array, union_all
-from colmap.operators.apply import annotation, apply_mapping
+from colmap.functions.exprs import entries_from_json, mapping_json, text_array, union_all
+from colmap.operators.apply import apply_mapping
 from colmap.operators.matching import keyword_match
 from colmap.operators.prompts import samples
 from colmap.operators.schema import catalog, column_sets, columns_of_rows, head
@@ -33,16 +33,25 @@ from colmap.sources.splits import load_split
 _ONE = "dataset"
 
 
-def jaccard(truth: set, predicted: set) -> float:
-    both = truth | predicted
-    return len(truth & predicted) / len(both) if both else 1.0
-
+def score_mapping(
+    spark: SparkSession, dataset: str, mapping: Mapping, truth: DataFrame | None
+) -> dict:
+    """``score``, ``gt_cols`` and ``pred_cols`` of one mapping given as a dict.
 
-def predicted(mapping: Mapping) -> set[str]:
-    return {
-        v for k, v in mapping.items()
-        if k != "task" and not annotation(k) and isinstance(v, str)
-    }
+    ``truth`` is ``(dataset, gt_cols)``; without it, or without its row, nothing
+    is expected.
+    """
+    found = spark.createDataFrame(
+        [(dataset, json.dumps(dict(mapping), ensure_ascii=False))], "dataset string, mapping string"
+    ).select("dataset", F.lit("one").alias("method"),
+             entries_from_json(F.col("mapping")).alias("entries"))
+    known = found.select("dataset")
+    if truth is not None:
+        known = known.join(truth, "dataset", "left")
+    else:
+        known = known.withColumn("gt_cols", F.lit(None).cast("array<string>"))
+    filled = known.select("dataset", F.coalesce("gt_cols", text_array([])).alias("gt_cols"))
+    return struct_scores(found, filled).first().asDict()
 
 
 def evaluate(
@@ -64,13 +73,12 @@ def evaluate(
     order, gt_order = order or raw.columns[:1], gt_order or gt.columns[:1]
     found = propose(raw, method, order)
     mapping = found["mapping"]
-    gt_cols: set[str] = set()
+    truth = None
     if "task_data" in gt.columns and not raw.isEmpty():
         matches = overlap_frames(raw, gt, dataset, n, order, gt_order)
         names = column_sets(catalog(raw.sparkSession, {dataset: raw}))
-        filled = with_name_fallback(matches, names).where(F.col("col").isNotNull())
-        gt_cols = {r["col"] for r in filled.select("col").distinct().collect()}
-    score = round(jaccard(gt_cols, predicted(mapping)), 3)
+        truth = truth_columns(with_name_fallback(matches, names))
+    scored = score_mapping(raw.sparkSession, dataset, mapping, truth)
     if n_samples is not None:
         raw = raw.orderBy(*order).limit(n_samples)
         gt = gt.orderBy(*gt_order).limit(n_samples)
@@ -79,10 +87,10 @@ def evaluate(
         save_evaluation(save_dir, standardized, expand_task_data(gt, gt_order[0]))
     return {
         "dataset": dataset,
-        "score": score,
-        "struct_score": score,
-        "gt_cols": sorted(gt_cols),
-        "pred_cols": sorted(predicted(mapping)),
+        "score": scored["score"],
+        "struct_score": scored["struct_score"],
+        "gt_cols": scored["gt_cols"],
+        "pred_cols": scored["pred_cols"],
         "mapping": mapping,
         "code": found["code"],
         "standardized": standardized,
@@ -102,19 +110,18 @@ def evaluate_spec(
     """One table and one method against a declared spec."""
     order = order or raw.columns[:1]
     mapping = propose(raw, method, order)["mapping"]
-    declared = spec_truth(
-        spec_entries(raw.sparkSession.createDataFrame(
-            [(_ONE, json.dumps(dict(spec), ensure_ascii=False))], "dataset string, spec string")),
-        column_sets(catalog(raw.sparkSession, {_ONE: raw})),
-    ).first()
-    truth = {e["field"]: e["value"] for e in declared["truth"]}
-    score = round(jaccard(set(truth.values()), predicted(mapping)), 3)
+    spark = raw.sparkSession
+    stated = spark.createDataFrame(
+        [(_ONE, json.dumps(dict(spec), ensure_ascii=False))], "dataset string, spec string"
+    )
+    truth = spec_truth(spec_entries(stated), column_sets(catalog(spark, {_ONE: raw})))
+    scored = score_mapping(spark, _ONE, mapping, truth)
     rows = raw if n_samples is None else raw.orderBy(*order).limit(n_samples)
     return {
         "dataset": f"{name}/{config}" if config else name,
-        "score": score,
-        "struct_score": score,
-        "truth": truth,
+        "score": scored["score"],
+        "struct_score": scored["struct_score"],
+        "truth": {e["field"]: e["value"] for e in truth.first()["truth"]},
         "mapping": mapping,
         "standardized": apply_mapping(rows, mapping),
         "error": None,

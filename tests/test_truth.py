@@ -179,8 +179,11 @@ def test_name_fallback(spark, cols, field, want):
 
 
 def spec(spark, fields, cols=None):
-    df = spec_entries(spark.createDataFrame([("d", json.dumps(fields))], "dataset string, spec string"))
-    sets = None if cols is None else spark.createDataFrame([("d", cols)], "dataset string, cols array<string>")
+    df = spec_entries(
+        spark.createDataFrame([("d", json.dumps(fields))], "dataset string, spec string"))
+    sets = None
+    if cols is not None:
+        sets = spark.createDataFrame([("d", cols)], "dataset string, cols array<string>")
     got = spec_truth(df, sets).first()
     return {e["field"]: e["value"] for e in got["truth"]}, got["gt_cols"], got["structure"]
 

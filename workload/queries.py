@@ -42,7 +42,6 @@ from colmap.operators.truth import (
     first_fields,
     overlap_frames,
     overlap_records,
-    truth_columns,
     with_name_fallback,
 )
 from colmap.plans.evaluation import records_truth, report, run_evaluation, run_evaluation_specs
