@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tests.conftest import SMALL
 from workload.inputs import TABLES
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.QUERIES, entry.ORACLES
 
 
 @pytest.fixture(scope="module")
