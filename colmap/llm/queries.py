@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.llm import langid
+from colmap.llm import langid, simhash
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,7 +22,13 @@ def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     ).select("doc_id", "held_out", "found.*")
 
 
+def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"), shingle=3, max_bits=3)
+    return found.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
+
+
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op6_language_id": op6_language_id,
 }
 
