@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.llm import langid, simhash
+from colmap.llm import decontam, langid, simhash
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,9 +27,16 @@ def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("fingerprint", simhash.as_hex(F.col("fingerprint")))
 
 
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op6_language_id": op6_language_id,
+    "op9_decontamination": op9_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_decontamination": decontam.ORACLE,
+}
