@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.llm import decontam, langid, simhash
+from colmap.llm import decontam, langid, mixing, simhash
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -31,8 +31,18 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.contained(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    found = mixing.draws(table(spark, sf, "documents"), shards=16)
+    mix = F.col("mix")
+    return found.select(
+        "doc_id", mix["size"].alias("size"), mix["source_size"].alias("source_size"),
+        mix["target"].alias("target"), (mix["size"] * mix["copies"]).alias("taken"),
+        mix["shards"].alias("shards"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op4_mixing": op4_mixing,
     "op6_language_id": op6_language_id,
     "op9_decontamination": op9_decontamination,
 }
