@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.llm import decontam, langid, mixing, simhash
+from colmap.llm import decontam, langid, mixing, simhash, tokens
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,11 +41,17 @@ def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
         mix["shards"].alias("shards"))
 
 
+def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return tokens.tokenized(spark, table(spark, sf, "documents"), path)
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_mixing": op4_mixing,
     "op6_language_id": op6_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_token_ids": op10_token_ids,
 }
 
 ORACLES: dict[str, str] = {
