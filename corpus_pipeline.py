@@ -1,11 +1,17 @@
-"""A corpus pipeline: each stage reads what the one before it wrote."""
+"""A corpus pipeline from raw documents to token files.
+
+Each stage takes what the one before it wrote; all but the last return the columns
+of the documents they were given.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.llm import langid
+from colmap.llm import decontam, langid, mixing, simhash, tokens
+from colmap.llm.common import quoted
 from colmap.session import written
 
 
@@ -15,7 +21,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(~langid.predict(F.col("text"), model)["rejected"])
 
 
-STAGES = [("language_id", language_id)]
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near-duplicates."""
+    return simhash.keep_one(docs, shingle=3, max_bits=3)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents in which an item of the benchmark is found."""
+    return decontam.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mixed(docs, shards=16).select(*[quoted(c) for c in docs.columns])
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the documents as token files; one row per document, read from them."""
+    return tokens.tokenized(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_dedup", simhash_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mix),
+    ("token_ids", token_ids),
+]
 
 #: learned models and fingerprints cannot be expressed in SQL
 ORACLE_SQL = None
