@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.llm import decontam, langid, mixing, simhash, tokens
+from colmap.llm import chat, decontam, langid, mixing, simhash, tokens
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,8 +46,14 @@ def op10_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.tokenized(spark, table(spark, sf, "documents"), path)
 
 
+def op3_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    rows = chat.with_conflict(table(spark, sf, "conversations"))
+    return chat.digest(chat.formatted(rows))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
     "op6_language_id": op6_language_id,
     "op9_decontamination": op9_decontamination,
@@ -55,5 +61,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat_formatting": chat.ORACLE,
     "op9_decontamination": decontam.ORACLE,
 }
