@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.llm import chat, decontam, langid, mixing, simhash, tokens
+from colmap.llm import chat, decontam, langid, mixing, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -51,11 +51,19 @@ def op3_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digest(chat.formatted(rows))
 
 
+def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf, "documents"), shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
     "op6_language_id": op6_language_id,
+    "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_token_ids": op10_token_ids,
 }
