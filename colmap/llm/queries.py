@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.llm import chat, decontam, langid, mixing, sharding, simhash, tokens
+from colmap.llm import chat, decontam, langid, mixing, pii, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -58,7 +58,12 @@ def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.spans(table(spark, sf, "documents")))
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
