@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.llm import chat, decontam, langid, mixing, pii, sharding, simhash, tokens
+from colmap.llm import chat, decontam, html, langid, mixing, pii, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -62,11 +62,16 @@ def op1_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digest(pii.spans(table(spark, sf, "documents")))
 
 
+def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html.extract(table(spark, sf, "pages"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_mixing": op4_mixing,
+    "op5_html_extraction": op5_html_extraction,
     "op6_language_id": op6_language_id,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
