@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.llm import chat, decontam, html, langid, mixing, pii, sharding, simhash, tokens
+from colmap.llm import chat, decontam, html, langid, mixing, pii, search, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -66,6 +66,13 @@ def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return html.extract(table(spark, sf, "pages"))
 
 
+def op7_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document whose id is divisible by 20 is a query, against all documents."""
+    docs = table(spark, sf, "documents")
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, asked, k=10)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
@@ -73,6 +80,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_html_extraction": op5_html_extraction,
     "op6_language_id": op6_language_id,
+    "op7_search": op7_search,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_token_ids": op10_token_ids,
@@ -80,5 +88,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_chat_formatting": chat.ORACLE,
+    "op7_search": search.ORACLE,
     "op9_decontamination": decontam.ORACLE,
 }
