@@ -58,12 +58,12 @@ def hashes(w: Column) -> Column:
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """(item_id, h): the bottom-k hashes of each item; k follows from its size."""
+    """(item, h): the bottom-k hashes of each item; k follows from its size."""
     n = F.size("hs")
     allowed = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int")
     return (
-        items.select("item_id", F.array_sort(F.array_distinct(hashes(F.col("w")))).alias("hs"))
-        .select("item_id", F.explode(F.slice("hs", F.lit(1), allowed + 1)).alias("h"))
+        items.select("item", F.array_sort(F.array_distinct(hashes(F.col("w")))).alias("hs"))
+        .select("item", F.explode(F.slice("hs", F.lit(1), allowed + 1)).alias("h"))
     )
 
 
@@ -79,30 +79,31 @@ def contained(
         quoted(id_col).alias("doc_id"), words(F.lower(quoted(text_col))).alias("w"))
     items = written(
         benchmark.select("item_id", words(F.lower("text")).alias("w")).where(F.size("w") > 0)
-        .groupBy("w").agg(F.min("item_id").alias("item_id")), "items")
+        .groupBy("w").agg(F.min("item_id").alias("item_id"))
+        .withColumn("item", F.monotonically_increasing_id()), "items")
     sketch = written(sketches(items, threshold), "sketches")
     # exploded hashes meet the sketches before anything is shuffled
     candidates = written(
         split.select("doc_id", F.explode(hashes(F.col("w"))).alias("h"))
-        .join(_small(sketch, sketch.count()), "h").select("doc_id", "item_id").distinct(),
+        .join(_small(sketch, sketch.count()), "h").select("doc_id", "item").distinct(),
         "candidates")
     n, n_items = candidates.count(), items.count()
-    wanted = items.select("item_id", F.array_distinct(shingles(F.col("w"))).alias("item_shingles"))
+    wanted = items.select("item", "item_id", F.array_distinct(shingles(F.col("w"))).alias("item_shingles"))
     listed = split.join(_small(
         candidates.groupBy(F.col("doc_id").alias("found_id")).agg(
-            F.collect_set("item_id").alias("items")), n), F.col("doc_id").eqNullSafe(
+            F.collect_set("item").alias("items")), n), F.col("doc_id").eqNullSafe(
                 F.col("found_id")))
     shared = F.size(F.array_intersect("item_shingles", "doc_shingles"))
     size = F.size("item_shingles")
     return (
         listed.select("doc_id", F.array_distinct(shingles(F.col("w"))).alias("doc_shingles"),
-                      F.explode("items").alias("item_id"))
-        .join(_small(wanted, n_items), "item_id")
-        .select("doc_id", "item_id", size.cast("long").alias("n_shingles"),
+                      F.explode("items").alias("item"))
+        .join(_small(wanted, n_items), "item")
+        .select("doc_id", "item", "item_id", size.cast("long").alias("n_shingles"),
                 shared.cast("long").alias("n_shared"))
         .where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9))
-        .groupBy("doc_id", "item_id")
-        .agg(F.max("n_shingles").alias("n_shingles"), F.max("n_shared").alias("n_shared"))
+        .groupBy("doc_id", "item", "item_id", "n_shingles")
+        .agg(F.max("n_shared").alias("n_shared")).drop("item")
         .withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
     )
 
