@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: rows of a table of keys and numbers that may be sent to every executor
+BROADCAST_ROWS = 500_000
+
 #: a run of characters between ASCII white space
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -31,3 +34,8 @@ def free_name(df: DataFrame, name: str) -> str:
 def quoted(name: str) -> Column:
     """The column of exactly this name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if its counted ``rows`` are few; else joins shuffle it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

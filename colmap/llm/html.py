@@ -5,7 +5,7 @@ notices, adverts, forms and comments are known by their elements, classes and ro
 and are out. The first pass labels every other block by its own link density,
 length and stop-word density: good, bad or undecided. In the second, each undecided
 block takes the label of the nearest decided block around it; at equal distance,
-good wins, and where nothing is decided the block is kept if it is in an article.
+good wins, and where nothing is decided the block is kept.
 
 If an ``article`` or ``main`` element has good blocks, only such elements count, and
 in them lack of stop words alone does not make a block bad: stop words are known for
@@ -246,7 +246,7 @@ def _second_pass(found: list[Block]) -> None:
             last = (i, b.label)
             continue
         near = [(abs(i - n[0]), not n[1]) for n in (before[i], last) if n]
-        b.label = not min(near)[1] if near else b.main
+        b.label = not min(near)[1] if near else True
 
 
 def main_text(page: str | None) -> str:

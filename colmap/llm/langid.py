@@ -119,7 +119,7 @@ def fit(
     allowed: Column,
     sample_rows: int = 2000,
     centroids: int = 4,
-    margin: float = 0.4,
+    margin: float = 0.5,
 ) -> Model:
     """Learn from rows of ``docs`` (doc_id, text, lang) where ``allowed`` holds.
 
@@ -169,14 +169,15 @@ def _fitted(found: list[tuple[str, bytes, int]], centroids: int, margin: float)
     centres = np.concatenate(parts).astype(np.float32)
     cosine = x @ centres.T
     best = np.argmax(cosine, axis=1)
-    floor = np.zeros((len(centres), 32))
-    for k in range(len(centres)):
-        low = None
-        for c in range(32):
-            seen = cosine[(best == k) & (lengths == c), k]
-            if len(seen):
-                low = min(seen.min(), low if low is not None else 1.0)
-            floor[k, c] = margin * low if low is not None else 0.0
+    top = cosine.max(axis=1)
+    common, floor = np.zeros(32), np.zeros((len(centres), 32))
+    for c in range(32):
+        seen = top[lengths == c]
+        # lengths that were not seen get the limit of the next shorter ones
+        common[c] = margin * seen.min() if len(seen) else common[c - 1] if c else 0.0
+        for k in range(len(centres)):
+            own = top[(lengths == c) & (best == k)]
+            floor[k, c] = margin * own.min() if len(own) else common[c]
     return Model(centres, tuple(names), idf, floor)
 
 

@@ -27,12 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colmap.llm.common import GAP, WORD, free_name, quoted
+from colmap.llm.common import GAP, WORD, free_name, quoted, small
 from colmap.session import written
 
 #: hash ranges per source; also the most rows of a window over blocks
 BLOCKS = 4096
-BROADCAST_ROWS = 500_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -45,10 +44,6 @@ def size_of(text: Column) -> Column:
     return F.when(text.rlike(WORD), parts).otherwise(0).cast("long")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def targets(
     sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0,
 ) -> DataFrame:
@@ -193,7 +188,7 @@ def draws(
     turn = F.xxhash64(F.lit(seed), F.col("source_no"), F.col("block"))
     along = Window.partitionBy("source_no").orderBy("turn", "block")
     tape = written(
-        sums.join(_small(plan.withColumnRenamed("source", "name"), n_sources),
+        sums.join(small(plan.withColumnRenamed("source", "name"), n_sources),
                   F.col("source").eqNullSafe(F.col("name")))
         .select("source", "source_no", "whole", "rest", "block", "words", turn.alias("turn"))
         .withColumn("upto", F.sum("words").over(along))
@@ -208,7 +203,7 @@ def draws(
 
     # documents of the block in which the tape ends: those before the cut
     def lookup(columns: list[str]) -> DataFrame:
-        return _small(last.select(F.col("source").alias("name"), *columns), n_sources)
+        return small(last.select(F.col("source").alias("name"), *columns), n_sources)
 
     def of_source(df: DataFrame, *columns: str) -> DataFrame:
         return df.join(lookup(list(columns)), F.col("source").eqNullSafe(F.col("name")))
@@ -225,7 +220,7 @@ def draws(
 
     # one more document, the nearest in size to what is missing
     ranks = tape.select(F.col("source").alias("of"), F.col("block").alias("in_block"), "rank")
-    ranks = _small(ranks, n_sources * BLOCKS)
+    ranks = small(ranks, n_sources * BLOCKS)
     seen = of_source(marked, "source_no", "end_rank", "cut", "missing").join(
         ranks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in_block")))
     drawn = (F.col("rank") < F.col("end_rank")) | (
@@ -239,7 +234,7 @@ def draws(
     )
     # rows that share the hash would all come along
     alike = of_source(marked, "source_no").join(
-        _small(fill, n_sources), "source_no").where("h = fill").groupBy("source_no").agg(
+        small(fill, n_sources), "source_no").where("h = fill").groupBy("source_no").agg(
         F.sum("size").alias("fill_words"))
     last = written(
         last.join(fill.join(alike, "source_no"), "source_no", "left")
@@ -249,7 +244,7 @@ def draws(
 
     # units: a copy of a block; the quota of a source is how many units it gives
     units = written(
-        tape.join(_small(last.select("source_no", "end_rank"), n_sources), "source_no")
+        tape.join(small(last.select("source_no", "end_rank"), n_sources), "source_no")
         .where("rest + whole > 0")
         .withColumn("copies", F.col("whole") + F.when(
             F.col("rank") <= F.col("end_rank"), 1).otherwise(0))
@@ -266,7 +261,7 @@ def draws(
         tree.withColumn("to", to).withColumn("above", F.col("to") - F.col("units"))
         .where("units > 0").select("source_no", "shard", "above", "to"), "stretches")
     placed = (
-        units.join(_small(stretches, n_sources * shards), "source_no")
+        units.join(small(stretches, n_sources * shards), "source_no")
         .where("place > above and place <= to")
         .groupBy(F.col("source").alias("of"), F.col("block").alias("in_block"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))),
@@ -277,8 +272,8 @@ def draws(
         placed.withColumnsRenamed({"of": "o", "in_block": "b"}),
         F.col("of").eqNullSafe(F.col("o")) & (F.col("in_block") == F.col("b")), "left").drop("o", "b")
 
-    chosen = F.coalesce(drawn | (F.col("h") == F.col("fill")), F.col("h") == F.col("fill"),
-                        F.lit(False))
+    chosen = (F.col("rest") > 0) & (
+        F.coalesce(drawn, F.lit(False)) | F.coalesce(F.col("h") == F.col("fill"), F.lit(False)))
     copies = F.col("whole") + chosen.cast("long")
     own = F.slice(F.coalesce("unit_shards", F.array().cast("array<int>")), F.lit(1),
                   copies.cast("int"))
@@ -288,8 +283,8 @@ def draws(
     kept = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("doc"), mark.alias("m"))
     kept = kept.select("doc", "m.*").withColumn("block", block)
     found = of_source(
-        kept, "source_size", "target", "whole", "end_rank", "cut", "fill",
-    ).join(_small(ranks, n_sources * BLOCKS),
+        kept, "source_size", "target", "whole", "rest", "end_rank", "cut", "fill",
+    ).join(small(ranks, n_sources * BLOCKS),
            F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in_block")))
     return found.select("doc.*", F.struct(
         "size", "source_size", "target", copies.alias("copies"), own.alias("shards"),

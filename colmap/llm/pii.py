@@ -33,6 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colmap.llm.common import small
 from colmap.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -60,11 +61,6 @@ SHAPES = {
     "card": r"^(?=(?:[^0-9]*[0-9]){8})[0-9-]+$",
     "phone": r"^(?=(?:[^0-9]*[0-9]){6})[+(]?[0-9().-]+$",
 }
-BROADCAST_ROWS = 500_000
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
@@ -163,7 +159,7 @@ def _corpus_counts(docs: DataFrame, text_col: str, contexts: DataFrame, n: int)
         F.array().cast("array<long>"))
     return (
         docs.select(w.alias("w")).select(F.explode(pairs).alias("context"))
-        .join(_small(contexts, n), "context")
+        .join(small(contexts, n), "context")
         .groupBy("context").agg(F.count(F.lit(1)).alias("total"))
     )
 
@@ -179,13 +175,13 @@ def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     n = patterns.count()
     counts = written(_corpus_counts(
         docs, text_col, patterns.select("context").distinct(), n), "pii-contexts")
-    patterns = patterns.join(_small(counts, n), "context")
+    patterns = patterns.join(small(counts, n), "context")
     shape = F.lit(False)
     for kind, rule in SHAPES.items():
         shape = shape | ((F.col("kind") == kind) & F.col("core").rlike(rule))
     places = written(
         _candidates(found).join(
-            _small(patterns.select("context", "kind", "weight", "total"), n), "context")
+            small(patterns.select("context", "kind", "weight", "total"), n), "context")
         .where(shape), "pii-candidates")
     edges = written(
         places.groupBy("kind", "context", "weight", "total", F.lower("core").alias("instance"))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colmap.llm.common import free_name, quoted
+from colmap.llm.common import free_name, quoted, small
 from colmap.session import written
 
 BINS = 4096
@@ -37,11 +37,6 @@ CHUNKS = 1024
 TOLERANCE = 0.01
 DIMENSIONS = ("source", "lang", "size", "id")
 DEPTHS = ("bin", "by_text", "by_id", "by_row")
-BROADCAST_ROWS = 500_000
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _hash_bin(*parts) -> Column:
@@ -117,7 +112,7 @@ def _cuts(rows: DataFrame, spans: list[float], nodes: int) -> DataFrame:
     state = written(goals.withColumns({
         "cut": F.array().cast("array<int>"), "open": F.lit(True)}), "shard-goals")
     for depth, key in enumerate(DEPTHS):
-        pending = _small(state.where("open"), nodes)
+        pending = small(state.where("open"), nodes)
         inside = binned(rows.join(pending, "node"))
         for d in range(depth):
             inside = inside.where(F.col(DEPTHS[d]) == F.get("cut", F.lit(d)))
@@ -134,7 +129,7 @@ def _cuts(rows: DataFrame, spans: list[float], nodes: int) -> DataFrame:
         # the undecided rows go to the side that is nearer to its share
         value = F.col("c.value") + F.when(done & (before * 2 > F.col("c.weight")), 1).otherwise(0)
         state = written(
-            state.join(_small(crossing, nodes), "node", "left").select(
+            state.join(small(crossing, nodes), "node", "left").select(
                 "node", "dim", "low", "step", "slack",
                 F.when(F.col("open") & F.col("c").isNotNull(), before)
                 .otherwise(F.col("goal")).alias("goal"),
@@ -164,7 +159,7 @@ def assigned(rows: DataFrame, shards: int) -> DataFrame:
         left = F.floor(F.col("shards") / 2).cast("int")
         key = F.array(*[F.col(k) for k in DEPTHS])
         before = F.slice(key, F.lit(1), F.size("cut")) < F.col("cut")
-        split = binned(rows.join(_small(cuts, shards), "node", "left")).withColumn(
+        split = binned(rows.join(small(cuts, shards), "node", "left")).withColumn(
             "goes_left", before)
         # a node is named by its first shard
         rows = written(split.select(
@@ -191,7 +186,7 @@ def numbered(rows: DataFrame, shards: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("row"))
     return (
         rows.withColumn("place", place)
-        .join(_small(offsets, shards * CHUNKS), ["shard", "chunk"])
+        .join(small(offsets, shards * CHUNKS), ["shard", "chunk"])
         .withColumn("slot", F.col("offset") + F.col("place") - 1).drop("chunk", "place", "offset")
     )
 
