@@ -20,6 +20,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def exact_order(order: Iterable[str | Column]) -> list[str | Column]:
+    """Names to order by, quoted, so that a dot in one is not taken for a path."""
+    return [F.col(quoted(c)) if isinstance(c, str) else c for c in order]
+
+
 def exact_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """A table whose columns can be told apart whatever their case, and the name
     each original column has in it."""

@@ -6,6 +6,8 @@ that holds a field's values, or null with 0 hits.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,15 +17,14 @@ from colmap.functions.exprs import (
     annotation_key,
     column_key,
     exact_names,
+    exact_order,
     first_rows,
     is_data_key,
     quoted,
     text_array,
     value_key,
 )
-
-# ``expand_task_data`` makes one column per key, and the driver plans them all
-MAX_KEYS = 5000
+from colmap.session import written
 
 _MASK_BITS = 63
 
@@ -36,26 +37,38 @@ def with_json(df: DataFrame, column: str) -> DataFrame:
 
 
 def as_map(text: Column) -> Column:
-    return F.from_json(text, "map<string,string>")
+    """A JSON object as a map; null if the text is anything else.
+
+    The text is parsed as the only element of a list, since the parser would ignore
+    anything after a bare object.
+    """
+    listed = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>",
+        {"allowSingleQuotes": "false"})
+    return F.when(F.size(listed) == 1, F.get(listed, 0))
+
 
+def unreadable(text: Column) -> Column:
+    """Is a record there that is not a JSON object?"""
+    return text.isNotNull() & as_map(text).isNull()
 
-def expand_task_data(df: DataFrame, order: str, column: str = "task_data") -> DataFrame:
+
+def expand_task_data(
+    df: DataFrame, order: str, column: str = "task_data", keys: Sequence[str] | None = None,
+) -> DataFrame:
     """``task_data`` objects as one text column per key, metadata keys dropped.
 
-    Columns come in order of first appearance. Tables whose rows invent their
-    own keys should stay in the long form of ``task_data_cells`` instead.
+    Columns come in order of first appearance, or are ``keys`` where given. Tables
+    whose rows invent their own keys should stay in the long form of
+    ``task_data_cells`` instead. Records that cannot be read have no values.
     """
     if column not in df.columns:
         return df.sparkSession.createDataFrame([], "struct<>")
     df = with_json(df, column)
-    seen = (
-        first_seen(df, [], order, column)
-        .where(~F.col("key").isin(*vocab.METADATA_KEYS))
-        .orderBy("place")
-    )
-    keys = [r["key"] for r in seen.limit(MAX_KEYS + 1).collect()]
-    if len(keys) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} distinct keys; use task_data_cells")
+    if keys is None:
+        # one column each, so the driver has to know them all
+        seen = first_seen(df, [], order, column).where(~F.col("key").isin(*vocab.METADATA_KEYS))
+        keys = [r["key"] for r in seen.orderBy("place").collect()]
     return df.select(as_map(F.col(column)).alias("_m")).select(
         *[F.try_element_at("_m", F.lit(k)).alias(k) for k in keys]
     )
@@ -74,13 +87,18 @@ def first_fields(gt: DataFrame, order: str = "row_id", column: str = "task_data"
     """Keys of each dataset's first record, metadata left out:
     ``(dataset, pos, field)``."""
     keys = with_json(gt, column).select(
-        "dataset", order, F.json_object_keys(column).alias("keys")
+        "dataset", order, object_keys(F.col(column)).alias("keys")
     )
     first = first_rows(keys, "dataset", [order], 1)
     listed = first.select("dataset", F.posexplode("keys").alias("pos", "field"))
     return listed.where(~F.col("field").isin(*vocab.METADATA_KEYS))
 
 
+def object_keys(text: Column) -> Column:
+    """Keys of a JSON object in order; null if the text is anything else."""
+    return F.when(as_map(text).isNotNull(), F.json_object_keys(text))
+
+
 def needed(n_gt: Column) -> Column:
     """Hits that make a column a match: half of the field's values, rounded
     down, and at least one."""
@@ -94,62 +112,92 @@ def overlap_records(
 
     ``raw`` is ``(dataset, row_id, row)`` and ``gt`` is
     ``(dataset, row_id, task_data)``, one JSON object per row; ``n`` limits both
-    to their first rows, None takes all. Both sides go through one aggregate
-    that leaves, per dataset and value, the columns and the fields it occurs in,
-    so a value repeated in a third of the rows is combined before the shuffle.
+    to their first rows, None takes all. Records that cannot be read have no values;
+    ``unreadable_datasets`` names the datasets that have some.
     """
     raw, gt = with_json(raw, "row"), with_json(gt, "task_data")
-    fields = first_fields(gt).where(is_data_key(F.col("field")))
     if n is not None:
-        raw = first_rows(raw, "dataset", ["row_id"], n)
+        raw = written(first_rows(raw, "dataset", ["row_id"], n).drop("rn"), "first-rows")
         gt = first_rows(gt, "dataset", ["row_id"], n)
-    nothing = F.lit(None).cast("string")
-    raw_cells = raw.select(
-        "dataset", F.explode(as_map(F.col("row"))).alias("col", "val")
-    ).select("dataset", value_key(F.col("val")).alias("key"), "col", nothing.alias("field"))
-    gt_cells = (
-        gt.select("dataset", F.explode(as_map(F.col("task_data"))).alias("field", "val"))
+    return overlap_of(truth_cells(gt), raw)
+
+
+def truth_cells(gt: DataFrame) -> DataFrame:
+    """Every distinct value of reference records, written once:
+    ``(dataset, field, key, place, bad)``.
+
+    ``place`` is where a value first appears. A record without keys has a line
+    without a field; ``bad`` marks those that cannot be read.
+    """
+    parsed = gt.select(
+        "dataset", "row_id", as_map(F.col("task_data")).alias("m"),
+        F.json_object_keys("task_data").alias("keys"), F.col("task_data").isNotNull().alias("given"))
+    lines = parsed.select(
+        "dataset", "row_id", "m", (F.col("given") & F.col("m").isNull()).alias("bad"),
+        F.posexplode_outer(F.when(F.col("m").isNotNull(), F.col("keys"))).alias("pos", "field"))
+    return written(
+        lines.select(
+            "dataset", "field", value_key(F.try_element_at("m", F.col("field"))).alias("key"),
+            F.struct("row_id", "pos").alias("place"), "bad")
+        .groupBy("dataset", "field", "key")
+        .agg(F.min("place").alias("place"), F.bool_or("bad").alias("bad")),
+        "truth-cells")
+
+
+def fields_of(cells: DataFrame) -> DataFrame:
+    """Data fields of each dataset's first record, from ``truth_cells``:
+    ``(dataset, pos, field)``."""
+    first = cells.groupBy("dataset").agg(F.min("place.row_id").alias("first"))
+    return (
+        cells.join(first, "dataset").where("place.row_id = first and field is not null")
         .where(is_data_key(F.col("field")))
-        .select("dataset", value_key(F.col("val")).alias("key"), nothing.alias("col"), "field")
-    )
-    values = (
-        raw_cells.unionByName(gt_cells)
-        .where(F.col("key").isNotNull())
-        .groupBy("dataset", "key")
-        .agg(F.collect_set("col").alias("cols"), F.collect_set("field").alias("fields"))
-        .where(F.size("fields") > 0)
+        .groupBy("dataset", "field").agg(F.min("place.pos").alias("pos"))
+        .select("dataset", "pos", "field")
     )
-    # one line per field for its own size, under no column, and one per column hit
-    lines = F.concat(F.array(nothing), F.col("cols"))
-    counts = (
-        values.select("dataset", F.explode("fields").alias("field"), lines.alias("cols"))
-        .select("dataset", "field", F.explode("cols").alias("col"))
-        .groupBy("dataset", "field", "col")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    hit = F.struct("place", "col", F.col("n").alias("hits"))
-    found = (
-        counts.join(column_places(raw), ["dataset", "col"], "left")
-        .groupBy("dataset", "field")
-        .agg(
-            F.max(F.when(F.col("col").isNull(), F.col("n"))).alias("n_gt"),
-            F.array_sort(F.collect_list(F.when(F.col("col").isNotNull(), hit))).alias("hits"),
-        )
+
+
+def overlap_of(cells: DataFrame, raw: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """Matches of ``truth_cells`` with the values of ``raw`` rows.
+
+    Raw values meet the truth's distinct values before anything else, so only those
+    that occur in the truth are shuffled and counted.
+    """
+    truth = cells.where(is_data_key(F.col("field")) & F.col("key").isNotNull()).select(
+        "dataset", "key", "field")
+    sizes = truth.groupBy("dataset", "field").agg(F.count(F.lit(1)).alias("n_gt"))
+    raw_cells = raw.select(
+        "dataset", F.explode(as_map(F.col("row"))).alias("col", "val")
+    ).select("dataset", value_key(F.col("val")).alias("key"), "col").where("key is not null")
+    known = raw_cells.join(truth.select("dataset", "key").distinct(), ["dataset", "key"],
+                           "left_semi").distinct()
+    hits = known.join(truth, ["dataset", "key"]).groupBy("dataset", "field", "col").agg(
+        F.count(F.lit(1)).alias("hits"))
+    places = column_places(raw) if places is None else places
+    best = (
+        hits.join(sizes, ["dataset", "field"]).where(F.col("hits") >= needed(F.col("n_gt")))
+        .join(places, ["dataset", "col"]).groupBy("dataset", "field")
+        .agg(F.min(F.struct("place", "col", "hits")).alias("best"))
     )
-    enough = F.filter("hits", lambda h: h["hits"] >= needed(F.col("n_gt")))
     return (
-        fields.join(found.withColumn("best", F.get(enough, 0)), ["dataset", "field"], "left")
+        fields_of(cells).join(sizes, ["dataset", "field"], "left")
+        .join(best, ["dataset", "field"], "left")
         .select(
-            "dataset",
-            "field",
-            "pos",
-            F.coalesce("n_gt", F.lit(0)).alias("n_gt"),
-            F.col("best.col").alias("col"),
-            F.coalesce("best.hits", F.lit(0)).alias("hits"),
-        )
+            "dataset", "field", "pos", F.coalesce("n_gt", F.lit(0)).alias("n_gt"),
+            F.col("best.col").alias("col"), F.coalesce("best.hits", F.lit(0)).alias("hits"))
     )
 
 
+def seen_columns(places: DataFrame) -> DataFrame:
+    """``(dataset, cols)``: all columns of a dataset by their first appearance."""
+    return places.groupBy("dataset").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("place", "col"))), lambda c: c["col"]).alias("cols"))
+
+
+def unreadable_datasets(cells: DataFrame) -> DataFrame:
+    """Datasets with a record that is not a JSON object, from ``truth_cells``."""
+    return cells.where("bad").select("dataset").distinct()
+
+
 def column_places(raw: DataFrame) -> DataFrame:
     """Where each column of schemaless rows first appears: ``(dataset, col, place)``."""
     return first_seen(raw, ["dataset"], "row_id", "row").withColumnRenamed("key", "col")
@@ -163,7 +211,7 @@ def first_seen(df: DataFrame, by: list[str], order: str, column: str) -> DataFra
     ones before they are taken apart.
     """
     shapes = (
-        df.select(*by, order, F.to_json(F.json_object_keys(column)).alias("shape"))
+        df.select(*by, order, F.to_json(object_keys(F.col(column))).alias("shape"))
         .groupBy(*by, "shape")
         .agg(F.min(order).alias(order))
     )
@@ -186,14 +234,15 @@ def overlap_frames(
 ) -> DataFrame:
     """Value-overlap matches of one typed table.
 
-    The schema is known here, so each distinct value carries two bit masks, the
-    raw columns and the truth fields it occurs in. Both sides go through one
-    aggregate: one shuffle, no join, and repeated values are combined before it.
+    The schema is known here, so each distinct value carries bit masks, of the raw
+    columns and of the truth fields it occurs in. Raw values are joined with the
+    distinct values of the truth first; only what occurs there is aggregated.
     """
     raw_order = raw_order or raw.columns[:1]
     gt_order = gt_order or gt.columns[:1]
     gt = with_json(gt, column)
-    first = gt.orderBy(*gt_order).select(F.json_object_keys(column).alias("k")).first()
+    raw_order, gt_order = exact_order(raw_order), exact_order(gt_order)
+    first = gt.orderBy(*gt_order).select(object_keys(F.col(column)).alias("k")).first()
     keys = [] if first is None else (first["k"] or [])
     fields = [
         (pos, k)
@@ -215,34 +264,39 @@ def overlap_frames(
         (column_key(f.name, f.dataType), _masks(i, None, raw_words, gt_words))
         for i, f in enumerate(raw.schema.fields)
     ]
-    gt = gt.select(as_map(F.col(column)).alias("_m"))
+    # the fields are known, so records are parsed into these alone
+    known = T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for _, k in fields]))
+    listed = F.from_json(F.concat(F.lit("["), F.col(column), F.lit("]")), known,
+                         {"allowSingleQuotes": "false"})
+    gt = gt.select(F.when(F.size(listed) == 1, F.get(listed, 0)).alias("_m"))
     gt_side = [
-        (value_key(F.try_element_at("_m", F.lit(k))), _masks(None, i, raw_words, gt_words))
+        (value_key(F.col("_m").getField(k)), _masks(None, i, raw_words, gt_words))
         for i, (_, k) in enumerate(fields)
     ]
-    masks = [f"r{w}" for w in range(raw_words)] + [f"g{w}" for w in range(gt_words)]
+    raw_masks = [f"r{w}" for w in range(raw_words)]
+    gt_masks = [f"g{w}" for w in range(gt_words)]
 
     def stacked(df: DataFrame, side: list) -> DataFrame:
         lines = [x for key, bits in side for x in (key, *bits)]
-        return df.select(F.stack(F.lit(len(side)), *lines).alias("key", *masks))
-
-    values = (
-        stacked(raw, raw_side)
-        .unionByName(stacked(gt, gt_side))
-        .where(F.col("key").isNotNull())
-        .groupBy("key")
-        .agg(*[F.bit_or(m).alias(m) for m in masks])
+        return df.select(
+            F.stack(F.lit(len(side)), *lines).alias("key", *raw_masks, *gt_masks)
+        ).where(F.col("key").isNotNull())
+
+    # raw values meet the truth's before they are shuffled
+    truth = written(
+        stacked(gt, gt_side).groupBy("key").agg(*[F.bit_or(m).alias(m) for m in gt_masks]),
+        "truth-keys")
+    hits = (
+        stacked(raw, raw_side).select("key", *raw_masks).join(truth.select("key"), "key")
+        .groupBy("key").agg(*[F.bit_or(m).alias(m) for m in raw_masks])
     )
-    in_truth = F.lit(False)
-    for w in range(gt_words):
-        in_truth = in_truth | (F.col(f"g{w}") != 0)
     owners = F.array(
         *[F.when(_has("g", i), F.struct(F.lit(p).alias("pos"), F.lit(k).alias("field")))
           for i, (p, k) in enumerate(fields)]
     )
     counted = (
-        values.where(in_truth)
-        .select(F.inline(F.array_compact(owners)), *[f"r{w}" for w in range(raw_words)])
+        truth.join(hits, "key", "left")
+        .select(F.inline(F.array_compact(owners)), *raw_masks)
         .groupBy("pos", "field")
         .agg(
             F.count(F.lit(1)).alias("n_gt"),

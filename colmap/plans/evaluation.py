@@ -5,11 +5,19 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmap.functions import vocab
-from colmap.functions.exprs import entries_from_json, mapping_json, text_array, union_all
+from colmap.functions.exprs import (
+    entries_from_json,
+    exact_order,
+    first_rows,
+    mapping_json,
+    text_array,
+    union_all,
+)
 from colmap.operators.apply import apply_mapping
 from colmap.operators.matching import keyword_match
 from colmap.operators.prompts import samples
@@ -18,9 +26,14 @@ from colmap.operators.scores import struct_scores
 from colmap.operators.specs import spec_entries, spec_truth
 from colmap.operators.truth import (
     expand_task_data,
+    column_places,
     overlap_frames,
-    overlap_records,
+    overlap_of,
+    seen_columns,
+    truth_cells,
     truth_columns,
+    unreadable_datasets,
+    with_json,
     with_name_fallback,
 )
 from colmap.plans.methods import Method
@@ -80,8 +93,8 @@ def evaluate(
         truth = truth_columns(with_name_fallback(matches, names))
     scored = score_mapping(raw.sparkSession, dataset, mapping, truth)
     if n_samples is not None:
-        raw = raw.orderBy(*order).limit(n_samples)
-        gt = gt.orderBy(*gt_order).limit(n_samples)
+        raw = raw.orderBy(*exact_order(order)).limit(n_samples)
+        gt = gt.orderBy(*exact_order(gt_order)).limit(n_samples)
     standardized = apply_mapping(raw, mapping)
     if save_dir:
         save_evaluation(save_dir, standardized, expand_task_data(gt, gt_order[0]))
@@ -116,7 +129,7 @@ def evaluate_spec(
     )
     truth = spec_truth(spec_entries(stated), column_sets(catalog(spark, {_ONE: raw})))
     scored = score_mapping(spark, _ONE, mapping, truth)
-    rows = raw if n_samples is None else raw.orderBy(*order).limit(n_samples)
+    rows = raw if n_samples is None else raw.orderBy(*exact_order(order)).limit(n_samples)
     return {
         "dataset": f"{name}/{config}" if config else name,
         "score": scored["score"],
@@ -166,43 +179,62 @@ def propose_all(
         try:
             part = method(columns, sampled).withColumn("method", F.lit(name))
             parts.append(written(part.select(parts[0].columns), f"proposals-{name}"))
+        except Py4JError:  # the engine itself, not the method
+            raise
         except Exception as exc:
-            message = str(exc).strip().split("\n")[0]
-            errors[name] = f"{type(exc).__name__}: {message}"
+            errors[name] = f"{type(exc).__name__}: {str(exc).strip()}"
     return union_all(parts), errors
 
 
 def records_truth(
     rows: DataFrame, gt: DataFrame, n: int | None = vocab.OVERLAP_ROWS,
-    top: DataFrame | None = None,
 ) -> DataFrame:
-    """``(dataset, gt_cols)`` of schemaless datasets from their reference records;
-    records that name no column give an empty set. ``top`` is ``head(rows)``,
-    where that is at hand."""
-    names = column_sets(columns_of_rows(rows if top is None else top))
-    if top is not None and n is not None and n <= vocab.SCORE_ROWS:
-        rows = top
-    found = truth_columns(with_name_fallback(overlap_records(rows, gt, n), names))
-    return gt.select("dataset").distinct().join(found, "dataset", "left").select(
-        "dataset", F.coalesce("gt_cols", text_array([])).alias("gt_cols")
+    """``(dataset, gt_cols, error)`` of schemaless datasets from their reference records.
+
+    Records that name no column give an empty set; a dataset with a record that cannot
+    be read has no set but an ``error``. ``n`` rows of each side take part in value
+    matching, all rows in the names.
+    """
+    rows, gt = with_json(rows, "row"), with_json(gt, "task_data")
+    places = written(column_places(rows), "places")
+    near = rows
+    if n is not None:
+        near = written(first_rows(rows, "dataset", ["row_id"], n).drop("rn"), "first-rows")
+        gt = first_rows(gt, "dataset", ["row_id"], n)
+    cells = truth_cells(gt)
+    found = truth_columns(
+        with_name_fallback(overlap_of(cells, near, places), seen_columns(places)))
+    broken = unreadable_datasets(cells).withColumn("error", F.lit(vocab.UNREADABLE))
+    return (
+        cells.select("dataset").distinct().join(found, "dataset", "left")
+        .join(broken, "dataset", "left")
+        .select("dataset", F.when(F.col("error").isNull(), F.coalesce(
+            "gt_cols", text_array([]))).alias("gt_cols"), "error")
     )
 
 
 def grid(
     datasets: DataFrame, methods: Sequence[str], scored: DataFrame,
-    errors: Mapping[str, str] | None = None,
+    errors: Mapping[str, str] | None = None, truth: DataFrame | None = None,
 ) -> DataFrame:
     """Every (dataset, method) pair with its score, null where it failed."""
-    pairs = datasets.select("dataset").distinct().select(
-        "dataset", F.explode(text_array(methods)).alias("method")
+    listed = datasets.select("dataset").distinct()
+    if truth is None:
+        listed = listed.withColumn("truth_error", F.lit(None).cast("string"))
+    else:
+        listed = listed.join(
+            truth.select("dataset", F.col("error").alias("truth_error")), "dataset", "left")
+    pairs = listed.select(
+        "dataset", "truth_error", F.explode(text_array(methods)).alias("method")
     )
     message = F.lit(None).cast("string")
     for name, text in (errors or {}).items():
         message = F.when(F.col("method") == name, F.lit(text)).otherwise(message)
     return pairs.join(scored, ["dataset", "method"], "left").withColumn(
         "error",
-        F.when(F.col("score").isNull(), F.coalesce(message, F.lit("no mapping or ground truth"))),
-    )
+        F.when(F.col("score").isNull(), F.coalesce(
+            message, "truth_error", F.lit("no mapping or ground truth"))),
+    ).drop("truth_error")
 
 
 def run_evaluation(
@@ -217,9 +249,11 @@ def run_evaluation(
     """
     top = head(rows)
     proposals, errors = propose_all(top, methods)
-    scored = struct_scores(proposals, records_truth(rows, gt, n, top)).drop("task", "status")
+    truth = written(records_truth(rows, gt, n), "truth")
+    known = truth.where("error is null")
+    scored = struct_scores(proposals, known).drop("task", "status")
     listed = top if datasets is None else datasets
-    return written(grid(listed, list(methods), scored, errors), "results")
+    return written(grid(listed, list(methods), scored, errors, truth), "results")
 
 
 def run_evaluation_specs(

@@ -59,4 +59,5 @@ def score_table(
 def show_scores(results: DataFrame, score: str = "score") -> None:
     """Print the score table, datasets by name and the average last."""
     table = score_table(results, score)
-    table.orderBy(F.col("dataset") == vocab.AVERAGE, "dataset").show(100, truncate=False)
+    ordered = table.orderBy(F.col("dataset") == vocab.AVERAGE, "dataset")
+    ordered.show(max(1, table.count()), truncate=False)

@@ -10,13 +10,14 @@ from colmap.functions.exprs import first_rows
 from colmap.operators.schema import catalog, column_sets, columns_of_rows
 from colmap.operators.specs import inspection, spec_entries, spec_truth
 from colmap.operators.truth import (
-    MAX_KEYS,
     expand_task_data,
     first_fields,
     overlap_frames,
     overlap_records,
     task_data_cells,
+    truth_cells,
     truth_columns,
+    unreadable_datasets,
     with_name_fallback,
 )
 from tests.conftest import rows
@@ -42,12 +43,25 @@ def test_expand(spark):
         (0, "b"), (1, "a"), (1, "b"), (2, "c")]
 
 
-def test_expand_refuses_made_up_keys(spark):
-    gt = spark.range(MAX_KEYS + 5).selectExpr(
+def test_expand_made_up_keys(spark):
+    gt = spark.range(6000).selectExpr(
         "id as row_id", "concat('{\"k', id, '\": 1}') as task_data")
-    with pytest.raises(ValueError, match="task_data_cells"):
-        expand_task_data(gt, "row_id")
-    assert task_data_cells(gt).count() == MAX_KEYS + 5
+    assert expand_task_data(gt, "row_id", keys=["k7", "none"]).where("k7 = '1'").count() == 1
+    assert len(expand_task_data(gt.where("row_id < 300"), "row_id").columns) == 300
+    assert task_data_cells(gt).count() == 6000
+
+
+def test_only_objects_are_records(spark):
+    bad = ["{'a': 'x'}", '{"a": "x"} y', '{"a": "x"}{"a": 2}', '{"a": "x"', "[1]", '{"a":1},{"a":2}']
+    gt = spark.createDataFrame([("d", i, t) for i, t in enumerate(['{"a": "x"}', None] + bad)],
+                               "dataset string, row_id long, task_data string")
+    raw = spark.createDataFrame([("d", 0, '{"p": "x", "a": 2}')],
+                                "dataset string, row_id long, row string")
+    assert task_data_cells(gt).count() == 1
+    found = overlap_records(raw, gt, None).collect()
+    assert [(r["field"], r["n_gt"], r["col"]) for r in found] == [("a", 1, "p")]
+    assert unreadable_datasets(truth_cells(gt)).count() == 1
+    assert unreadable_datasets(truth_cells(gt.where("row_id < 2"))).count() == 0
 
 
 def test_first_fields(spark):

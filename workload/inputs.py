@@ -65,6 +65,14 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def late_records(spark: SparkSession, sf: str) -> DataFrame:
+    """``records`` in which a null label is left out, so that some datasets show
+    their label column only after the first row."""
+    rows = records(spark, sf)
+    return rows.withColumn("row", F.regexp_replace(
+        "row", r',"(label|target|class|labels)":null\}$', "}"))
+
+
 GOOD = "case grade when 1 then 'good' when 0 then 'bad' end"
 
 
@@ -82,6 +90,18 @@ def reference(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def malformed_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """``reference`` in which some records of some sources cannot be read."""
+    broken = """case when cast(substr(source, 4) as int) % 3 <> 0 then task_data
+      else case doc_id % 11 when 1 then concat(task_data, ' x')
+        when 2 then concat(task_data, '{"text": "other"}')
+        when 3 then replace(task_data, '"', '\\'')
+        when 4 then substr(task_data, 1, length(task_data) - 1) else task_data end end"""
+    listed = reference(spark, sf).withColumn("source", F.split_part("dataset", F.lit("/"), F.lit(1)))
+    return listed.withColumn("doc_id", F.col("row_id")).select(
+        "dataset", "row_id", F.expr(broken).alias("task_data"))
+
+
 SPECS = [
     ("Classification", {"sentence1": "sentence", "labels": "label"}),
     ("Classification", {"sentence1": "Review", "labels": "target", "splits": ["train"]}),

@@ -51,6 +51,16 @@ _gen = json_object({"input": "head", "output": "tail",
 GT = ("gt as (select dataset, doc_id as row_id, "
       f"{by_style([_single, _single, _pair, _qa, _pair, _gen, _single])} as task_data from docs)")
 
+# the same rows without null labels
+LATE = ("raw as (select dataset, row_id, regexp_replace(row, "
+        "',\"(label|target|class|labels)\":null\\}$', '}') as row from allraw)")
+
+# records that can be read; broken ones count as rows without keys
+READABLE = """gt as (select w.dataset, row_id,
+    case when cast(substr(d.source, 4) as int) % 3 = 0 and row_id % 11 between 1 and 4
+      then '{}' else task_data end as task_data
+  from whole w join documents d on d.doc_id = w.row_id)"""
+
 # columns of the first row of each dataset
 COLS = """cols as (
   select dataset, cast(unnest(range(len(ks))) as int) as pos, unnest(ks) as col, row from (
@@ -145,11 +155,11 @@ FALLBACK = """filled as (
          when m.field in ('label', 'labels', 'target', 'answer', 'class')
               and near.col is not null then 'name' end as how
   from matches m
-  left join cols same on same.dataset = m.dataset and same.col = m.field
+  left join places same on same.dataset = m.dataset and same.col = m.field
   left join (
     select dataset, arg_min(col, list_position(
         ['label', 'labels', 'target', 'answer', 'class'], col)) as col
-    from cols where col in ('label', 'labels', 'target', 'answer', 'class') group by dataset
+    from places where col in ('label', 'labels', 'target', 'answer', 'class') group by dataset
   ) near on near.dataset = m.dataset)"""
 
 SCORED = """truth as (
@@ -478,7 +488,22 @@ ORACLES = {
         "lineitem", COLUMN_NAMES["lineitem"].split(),
         [("order", "l_orderkey"), ("amount", "l_quantity"), ("rebate", "l_discount"),
          ("flag", "l_returnflag"), ("day", "l_shipdate")], "lineitem"),
-    "label_fallback": ctes(DOCS, RAW, GT, COLS, overlap(None), FALLBACK)
+    "overlap_malformed": ctes(DOCS, RAW, GT.replace("gt as", "whole as"), READABLE, overlap(None))
+    + "select dataset, field, pos, n_gt, col, hits from matches",
+    "unreadable_truth": ctes(DOCS, RAW, GT.replace("gt as", "whole as"), READABLE, overlap(None),
+                             FALLBACK) + """,
+      sets as (
+        select dataset, coalesce(string_agg(distinct col, ',' order by col), '') as gt_cols
+        from filled group by dataset),
+      broken as (
+        select distinct dataset from docs
+        where cast(substr(source, 4) as int) % 3 = 0 and doc_id % 11 between 1 and 4)
+      select d.dataset, case when b.dataset is null then coalesce(gt_cols, '') end as gt_cols,
+        case when b.dataset is not null then 'ValueError: a reference record is not a JSON object'
+        end as error
+      from (select distinct dataset from docs) d left join sets using (dataset)
+      left join broken b on b.dataset = d.dataset""",
+    "label_fallback": ctes(DOCS, RAW.replace("raw as", "allraw as"), LATE, GT, overlap(None), FALLBACK)
     + "select dataset, field, col, how from filled",
     "spec_ground_truth": ctes(DOCS, RAW, COLS, SPECS)
     + "select dataset, pos, field, value from spectruth",
@@ -496,10 +521,17 @@ ORACLES = {
                  from cols group by dataset) c on c.dataset = s.dataset
       group by s.dataset, s.task_type""",
     "presence_score": """
-      select dataset, method, n, case method when 'empty' then 0.0 else least(n, total) / n end as score
-      from (select event_type as dataset, count(*) as total from events group by all),
+      with shown as (
+        select event_type as dataset, event_id % 5 <> 4 as has,
+          row_number() over (partition by event_type order by event_id) as r from events),
+      need as (select dataset, bool_or(has and r = 1) as needed from shown group by all)
+      select dataset, method, n, case method when 'empty' then 0.0
+          when 'task_only' then count(*) filter (where r <= n) / n
+          else count(*) filter (where r <= n and (has or not needed)) / n end as score
+      from shown join need using (dataset),
         (values ('column'), ('task_only'), ('empty')) m(method),
-        (values (10), (1000000)) s(n)""",
+        (values (10), (1000000)) s(n)
+      group by dataset, method, n""",
     "presence_records": ctes(DOCS, RAW, COLS) + """
       select dataset, count(*) filter (where not needed or has) / 20 as score from (
         select dataset, list_contains(json_keys(row), 'flag') as has,
@@ -565,6 +597,6 @@ ORACLES = {
     + "select method, round_even(avg(score), 3) as score from grid group by method",
     "stream_standardize": """
       select event_id as id, event_type as text, value as label, 'number' as label_type
-      from events where event_type = 'click'""",
+      from events""",
     "stream_extract": "select event_id, props from events",
 }

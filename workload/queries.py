@@ -38,6 +38,8 @@ from colmap.operators.scores import (
 )
 from colmap.operators.specs import inspection, spec_entries, spec_truth
 from colmap.operators.truth import (
+    column_places,
+    seen_columns,
     expand_task_data,
     first_fields,
     overlap_frames,
@@ -166,10 +168,8 @@ def embedding(spark, sf):
              .alias("v"))
         .orderBy("label")
     )
-    most = 1000
-    fields = {f"like{r['label']}": r["v"] for r in means.limit(most + 1).collect()}
-    if len(fields) > most:
-        raise ValueError("too many fields")
+    # one vector per label, as any caller of the operator has them
+    fields = {f"like{r['label']}": r["v"] for r in means.collect()}
     columns = vectors.select(
         F.concat(F.lit("label"), "label").alias("dataset"),
         F.col("vec_id").alias("pos"),
@@ -367,9 +367,21 @@ def value_overlap_lineitem(spark, sf):
         table(spark, sf, "lineitem"), inputs.lineitem_reference(spark, sf), "lineitem", None))
 
 
+def overlap_malformed(spark, sf):
+    """Records of which some are broken, followed by text, or quoted otherwise."""
+    rows, gt = inputs.records(spark, sf), inputs.malformed_reference(spark, sf)
+    return _matches(overlap_records(rows, gt, None))
+
+
+def unreadable_truth(spark, sf):
+    rows, gt = inputs.records(spark, sf), inputs.malformed_reference(spark, sf)
+    return records_truth(rows, gt, None).select(
+        "dataset", F.array_join("gt_cols", ",").alias("gt_cols"), "error")
+
+
 def label_fallback(spark, sf):
-    rows, gt = inputs.records(spark, sf), inputs.reference(spark, sf)
-    names = column_sets(columns_of_rows(rows))
+    rows, gt = inputs.late_records(spark, sf), inputs.reference(spark, sf)
+    names = seen_columns(column_places(rows))
     return with_name_fallback(overlap_records(rows, gt, None), names).select(
         "dataset", "field", "col", "how"
     )
@@ -403,7 +415,8 @@ def spec_structure(spark, sf):
 def presence_score(spark, sf):
     events = table(spark, sf, "events").select(
         F.col("event_type").alias("dataset"), F.col("event_id").alias("row_id"),
-        F.col("props").alias("row"),
+        # some rows lack the mapped column
+        F.when(F.col("event_id") % 5 == 4, F.lit('{"z": 1}')).otherwise(F.col("props")).alias("row"),
     )
     kinds = events.select("dataset").distinct()
     make = lambda name, *pairs: kinds.select(
@@ -436,7 +449,7 @@ def _scored(spark, sf):
     rows, gt = inputs.records(spark, sf), inputs.reference(spark, sf)
     top = head(rows)
     found = keyword_match(columns_of_rows(top))
-    return struct_scores(found, records_truth(rows, gt, None, top))
+    return struct_scores(found, records_truth(rows, gt, None).where("error is null"))
 
 
 def jaccard_scores(spark, sf):
@@ -547,7 +560,7 @@ def _stream(spark, sf, name, change, label):
 
 def stream_standardize(spark, sf):
     return _stream(spark, sf, "events",
-                   lambda s: standardize_stream(s, EVENT_MAPPING).where("text = 'click'"), "events")
+                   lambda s: standardize_stream(s, EVENT_MAPPING), "events")
 
 
 def stream_extract(spark, sf):
@@ -602,6 +615,8 @@ QUERIES = {
     "value_overlap_table": value_overlap_table,
     "value_overlap_lineitem": value_overlap_lineitem,
     "label_fallback": label_fallback,
+    "overlap_malformed": overlap_malformed,
+    "unreadable_truth": unreadable_truth,
     "spec_ground_truth": spec_ground_truth,
     "spec_unknown_columns": spec_unknown_columns,
     "spec_structure": spec_structure,
