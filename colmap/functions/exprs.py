@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colmap.functions import vocab
+from colmap.session import written
 
 # One mapping entry: a canonical field with what a method proposed for it.
 # ``value`` is set for strings only; ``value_json`` holds any value as JSON.
@@ -141,7 +142,7 @@ def card_family(task: Column, requested: Iterable[str] | None = None) -> Column:
 
     A task given as a JSON object or list belongs to no family.
     """
-    wanted = list(vocab.CARD_FAMILIES) if requested is None else list(requested)
+    wanted = list(requested or vocab.CARD_FAMILIES)
     result = F.lit(None).cast("string")
     for family in reversed([w for w in wanted if w in vocab.CARD_FAMILIES]):
         some, none = vocab.CARD_FAMILIES[family]
@@ -155,10 +156,9 @@ def card_family(task: Column, requested: Iterable[str] | None = None) -> Column:
     return F.when(task.isNotNull() & ~nested, result)
 
 
-def card_id(path: Column, root: str = "cards") -> Column:
+def card_id(path: Column) -> Column:
     """Card name: path below the ``cards`` folder, extension off, ``/`` -> ``.``"""
-    below = F.regexp_replace(path, rf"^.*?(?:^|/){root}/", "")
-    return F.replace(F.regexp_replace(below, r"(?<=[^/])\.[^./]*$", ""), F.lit("/"), F.lit("."))
+    return F.replace(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit("/"), F.lit("."))
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -248,13 +248,39 @@ def column_key(name: str, data_type: T.DataType, form=text_form) -> Column:
     return text if isinstance(data_type, short) else value_key(text)
 
 
+#: places up to which Spark prunes groups while it ranks them (its default)
+GROUP_LIMIT = 1000
+
+
+def _first_of_ranges(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
+    """``first_rows`` without a task that gets a whole group."""
+    placed = written(
+        df.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = counts.where(F.col("_before") < n).select(
+        F.col(by).alias("_by"), F.col("_part").alias("_in"), "_before")
+    near = Window.partitionBy(by, "_part").orderBy(*order)
+    return (
+        placed.withColumn("rn", F.row_number().over(near))
+        .join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_in")))
+        .withColumn("rn", (F.col("rn") + F.col("_before")).cast("int"))
+        .where(F.col("rn") <= n).drop("_part", "_by", "_in", "_before")
+    )
+
+
 def first_rows(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of every group, with their place as ``rn``.
 
     Ranks twice: first within (group, salt), where the salt is the number of the
     input partition, so no task ever gets more than its share of one large
-    group; then over the at most ``64 * n`` rows left of each group.
+    group; then over the at most ``64 * n`` rows left of each group. Spark keeps
+    only the first rows while it ranks up to ``GROUP_LIMIT``; for more, rows are
+    placed by ranges and numbered with the counts of the ranges in front.
     """
+    if n > GROUP_LIMIT:
+        return _first_of_ranges(df, by, order, n)
     salted = df.withColumn("_salt", F.spark_partition_id() % 64)
     near = Window.partitionBy(by, "_salt").orderBy(*order)
     far = Window.partitionBy(by).orderBy(*order)

@@ -56,6 +56,70 @@ def resolve_entries(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
     )
 
 
+def mapping_plans(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
+    """What each mapping does: ``(dataset, method, plan, classes)``.
+
+    ``plan`` is an array of (field, col, text), in the order of ``apply_mapping``: a
+    column to read, or a constant. Of two fields on one column the later one names
+    it, in the earlier one's place; of two lines for one field the later one counts.
+    """
+    lines = resolve_entries(proposals, column_sets).where("kind <> 'ignored'")
+    columns = lines.where("kind = 'column'").groupBy("dataset", "method", "value").agg(
+        F.min("pos").alias("pos"), F.max_by("field", "pos").alias("field")
+    ).select("dataset", "method", F.lit(0).alias("rank"), "pos", "field",
+             F.col("value").alias("col"), F.lit(None).cast("string").alias("text"))
+    constants = lines.where("kind = 'constant'").select(
+        "dataset", "method", F.lit(1).alias("rank"), "pos", "field",
+        F.lit(None).cast("string").alias("col"), F.col("value").alias("text"))
+    every = columns.unionByName(constants).groupBy("dataset", "method", "field").agg(
+        F.min(F.struct("rank", "pos")).alias("place"),
+        F.max_by(F.struct("col", "text"), F.struct("rank", "pos")).alias("source"))
+    plans = every.groupBy("dataset", "method").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("place", "field", "source"))),
+        lambda p: F.struct(p["field"].alias("field"), p["source"]["col"].alias("col"),
+                           p["source"]["text"].alias("text"))).alias("plan"))
+    classes = proposals.select(
+        "dataset", "method", F.filter("entries", lambda e: e["field"] == "classes").alias("c")
+    ).select("dataset", "method", F.get("c", 0)["value_json"].alias("classes"))
+    return classes.join(plans, ["dataset", "method"], "left").withColumn(
+        "plan", F.coalesce("plan", F.array().cast(
+            "array<struct<field:string,col:string,text:string>>")))
+
+
+def apply_rows(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """Every schemaless row under every mapping of its dataset:
+    ``(dataset, method, row_id, fields)``, ``fields`` a map from field to text.
+
+    One join with a table that has a line per mapping; integer labels become class
+    names, nulls stay null.
+    """
+    values = F.from_json("row", "map<string,variant>")
+    names = F.from_json("classes", "array<string>")
+
+    def text(value):
+        return F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
+
+    def shown(p):
+        value = F.try_element_at(F.col("_values"), p["col"])
+        plain = F.when(F.schema_of_variant(value) != "VOID", text(value))
+        index = F.try_variant_get(value, "$", "int")
+        whole = F.schema_of_variant(value).isin("BIGINT", "BOOLEAN")
+        named = F.when(whole & (index >= 0), F.get(names, index))
+        decoded = F.when(p["field"] == "label", F.coalesce(named, plain)).otherwise(plain)
+        return F.struct(p["field"].alias("a"), F.when(
+            p["col"].isNull(), p["text"]).otherwise(decoded).alias("b"))
+
+    return (
+        rows.join(plans, "dataset")
+        .select("dataset", "method", "row_id", "plan", "classes", values.alias("_values"))
+        .select("dataset", "method", "row_id", F.map_from_entries(F.concat(
+            F.transform("plan", shown),
+            F.when(F.col("classes").isNotNull(), F.array(F.struct(
+                F.lit("classes").alias("a"), F.col("classes").alias("b")))).otherwise(
+                F.array().cast("array<struct<a:string,b:string>>")))).alias("fields"))
+    )
+
+
 def decode_label(value: Column, data_type: T.DataType, classes: list | str) -> Column:
     """Class name of an integer label; numbers out of range stay as text."""
     if not isinstance(data_type, (T.IntegralType, T.BooleanType)):

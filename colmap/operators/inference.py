@@ -10,11 +10,15 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from colmap.functions.exprs import quoted
+from colmap.session import written
 
 # Tasks carry these functions with them, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-RESPONSES = "dataset string, method string, backend string, raw string, error string"
+STORED = "digest string, raw string, error string, at timestamp"
 
 
 def cached_model(model_id: str, factory: Callable[[str], Callable]) -> Callable:
@@ -26,18 +30,47 @@ def cached_model(model_id: str, factory: Callable[[str], Callable]) -> Callable:
     return held[key]
 
 
-def _answer(factory: Callable[[str], Callable]) -> Callable:
+def _replies(model: Callable, prompts: list[dict]) -> list[tuple[str | None, str | None]]:
+    """(raw, error) of each prompt; a model with a ``batch`` method gets them at once.
+
+    If a batch fails, its prompts are asked one by one, so that one bad prompt costs
+    no other its answer.
+    """
+    batch = getattr(model, "batch", None)
+    if batch is not None and len(prompts) > 1:
+        try:
+            raws = list(batch(prompts))
+            if len(raws) == len(prompts):
+                return [(raw, None) for raw in raws]
+        except Exception:
+            pass
+    found = []
+    for prompt in prompts:
+        try:
+            raw = batch([prompt])[0] if batch is not None else model(prompt)
+            found.append((raw, None))
+        except Exception as exc:
+            found.append((None, f"{type(exc).__name__}: {exc}"))
+    return found
+
+
+def _answer(factory: Callable[[str], Callable], size: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            raws, errors = [], []
-            for prompt in batch.to_dict("records"):
-                try:
-                    raws.append(cached_model(prompt["model_id"], factory)(prompt))
-                    errors.append(None)
-                except Exception as exc:
-                    raws.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}")
-            yield batch[["dataset", "method", "backend"]].assign(raw=raws, error=errors)
+        for frame in batches:
+            for at in range(0, len(frame), size):
+                part = frame.iloc[at:at + size]
+                replies = {}
+                for model_id, asked in part.groupby("model_id", dropna=False, sort=False):
+                    prompts = asked.to_dict("records")
+                    try:
+                        found = _replies(cached_model(model_id, factory), prompts)
+                    except Exception as exc:
+                        found = [(None, f"{type(exc).__name__}: {exc}")] * len(prompts)
+                    replies |= dict(zip(asked["digest"], found, strict=True))
+                listed = [replies[d] for d in part["digest"]]
+                yield part[["digest"]].assign(
+                    raw=[r for r, _ in listed], error=[e for _, e in listed],
+                    at=pd.Timestamp.now(tz="UTC"))
 
     return run
 
@@ -47,25 +80,30 @@ def infer(
     factory: Callable[[str], Callable],
     path: str,
     parallelism: int | None = None,
+    batch: int = 16,
 ) -> DataFrame:
-    """Send every prompt to a model and return the ``responses`` table at ``path``.
+    """Send every prompt to a model; ``(dataset, method, backend, raw, error)`` of each.
 
     ``factory(model_id)`` builds a model in a worker; the model takes a prompt as
-    a dict and returns text. An exception becomes the row's ``error``. Responses
-    are written before anything reads them, and prompts answered by an earlier
-    run at the same path are not sent again.
+    a dict and returns text, or has a method ``batch`` that takes up to ``batch``
+    prompts and returns a list of texts. An exception becomes the row's ``error``.
+    Responses are written at ``path`` before anything reads them. They are known by a
+    digest of the whole prompt with its model, so a run at the same path sends what
+    is new or changed and what failed before, and returns only what it was asked.
     """
     spark = prompts.sparkSession
+    asked = written(prompts.withColumn("digest", F.sha2(F.to_json(
+        F.struct(*[F.col(quoted(c)) for c in prompts.columns])), 256)), "prompts")
     try:
-        done = spark.read.schema(RESPONSES).parquet(path)
+        done = spark.read.schema(STORED).parquet(path).where("error is null")
+        todo = asked.join(done.select("digest").distinct(), "digest", "left_anti")
     except AnalysisException:
-        done = None
-    if done is not None:
-        prompts = prompts.join(done.select("dataset", "method"), ["dataset", "method"], "left_anti")
+        todo = asked
     # a fixed number of tasks, so that few small prompts do not end up in one
     tasks = parallelism or spark.sparkContext.defaultParallelism
-    answers = prompts.repartition(tasks, "dataset", "method").mapInPandas(
-        _answer(factory), RESPONSES
-    )
-    answers.write.mode("append").parquet(path)
-    return spark.read.schema(RESPONSES).parquet(path)
+    todo.dropDuplicates(["digest"]).repartition(tasks, "digest").mapInPandas(
+        _answer(factory, batch), STORED
+    ).write.mode("append").parquet(path)
+    best = spark.read.schema(STORED).parquet(path).groupBy("digest").agg(F.max_by(
+        F.struct("raw", "error"), F.struct(F.col("error").isNull(), "at")).alias("r"))
+    return asked.join(best, "digest").select("dataset", "method", "backend", "r.raw", "r.error")

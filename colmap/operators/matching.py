@@ -22,10 +22,6 @@ from colmap.functions.exprs import entries_of, rename_plan, task_of
 # Tasks carry these functions with them, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Field vectors travel inside the task closure, so their size is checked.
-MAX_FIELD_BYTES = 8 << 20
-
-
 def keyword_match(
     columns: DataFrame,
     synonyms: Mapping[str, Sequence[str]] = vocab.FIELD_SYNONYMS,
@@ -67,17 +63,21 @@ def with_task(wide: DataFrame, pairs, method: str) -> DataFrame:
 def encode_names(
     columns: DataFrame, encoder: Callable[[list[str]], Sequence[Sequence[float]]]
 ) -> DataFrame:
-    """``columns`` with a vector per name. Each Arrow batch encodes a name once."""
+    """``columns`` with a vector per name; distinct names are spread over the tasks
+    and each is encoded once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            codes, names = pd.factorize(batch["col"])
-            vectors = [np.asarray(v, dtype="float64") for v in encoder(list(names))]
-            yield batch.assign(embedding=[vectors[c] if c >= 0 else None for c in codes])
+            vectors = [np.asarray(v, dtype="float64") for v in encoder(list(batch["col"]))]
+            yield batch.assign(embedding=vectors)
 
-    return columns.mapInPandas(
-        run, "dataset string, pos int, col string, dtype string, embedding array<double>"
+    tasks = columns.sparkSession.sparkContext.defaultParallelism
+    vectors = (
+        columns.where(F.col("col").isNotNull()).select("col").distinct()
+        .repartition(tasks, "col").mapInPandas(run, "col string, embedding array<double>")
     )
+    return columns.join(vectors, "col", "left").select(
+        "dataset", "pos", "col", "dtype", "embedding")
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -88,8 +88,6 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 def similarities(vectors: Sequence[Sequence[float]]) -> Callable:
     """A function from a vector column to its cosines with every given vector."""
     fields = _unit(np.asarray(vectors, dtype="float64"))
-    if fields.nbytes > MAX_FIELD_BYTES:
-        raise ValueError(f"{fields.nbytes} bytes of field vectors; at most {MAX_FIELD_BYTES}")
     width = fields.shape[1]
 
     def cosines(col: pa.Array) -> pa.Array:

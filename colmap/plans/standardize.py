@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from colmap.functions import vocab
 from colmap.functions.exprs import catalog_task, quoted, union_all
-from colmap.operators.apply import apply_mapping
+from colmap.operators.apply import apply_mapping, apply_rows, mapping_plans
 from colmap.operators.prompts import samples
 from colmap.operators.schema import as_rows, catalog, columns_of_rows, head
 from colmap.operators.scores import presence_scores, table_presence
+from colmap.operators.truth import column_places, seen_columns
 from colmap.plans.methods import Method, embedding_method, keyword_method, model_method
+from colmap.session import written
 from colmap.sources.splits import load_split
 
 _ONE = "dataset"
@@ -30,6 +32,16 @@ def standardize_catalog(rows: DataFrame, method: Method) -> DataFrame:
     )
 
 
+def standardize_rows(rows: DataFrame, method: Method) -> DataFrame:
+    """All rows of all schemaless datasets in standard form:
+    ``(dataset, method, row_id, fields)``."""
+    top = head(rows)
+    columns = columns_of_rows(top)
+    proposals = written(method(columns, samples(top)), "proposals")
+    plans = mapping_plans(proposals, seen_columns(column_places(rows)))
+    return apply_rows(rows, written(plans, "plans"))
+
+
 def sample_rows(df: DataFrame, order: list[str] | None, n: int) -> DataFrame:
     """First rows of one typed table in the form ``samples`` has."""
     picked = (df.orderBy(*[quoted(c) for c in order]) if order else df).limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,23 +10,34 @@ from pyspark.sql import functions as F
 
 from colmap.functions import vocab
 from colmap.functions.exprs import card_family, card_id, union_all
+from colmap.sources.splits import Files
 
 CARD = "__type__ string, loader struct<__type__:string,path:string,name:string>, task string"
 
 
 def read_cards(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Raw card files of all catalogs as ``(catalog_pos, path, body)``."""
-    parts = [
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
-        .text(f"{root.rstrip('/')}/cards", wholetext=True)
-        .select(
-            F.lit(pos).alias("catalog_pos"),
-            F.col("_metadata.file_path").alias("path"),
-            F.col("value").alias("body"),
+    """Raw card files of all catalogs as ``(catalog_pos, path, body)``.
+
+    ``path`` is relative to the catalog's ``cards`` folder; roots without one are
+    left out.
+    """
+    files, parts = Files(spark), []
+    for pos, root in enumerate(roots):
+        folder = f"{root.rstrip('/')}/cards"
+        if not files.matches(folder):
+            continue
+        # file paths are encoded as addresses; a plus sign stands for itself
+        plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        below = F.split(plain, re.escape(files.full_path(folder)) + "/", 2)
+        parts.append(
+            spark.read.option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.json")
+            .text(folder, wholetext=True)
+            .select(F.lit(pos).alias("catalog_pos"), F.get(below, 1).alias("path"),
+                    F.col("value").alias("body"))
         )
-        for pos, root in enumerate(roots)
-    ]
+    if not parts:
+        return spark.createDataFrame([], "catalog_pos int, path string, body string")
     return union_all(parts)
 
 

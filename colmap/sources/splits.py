@@ -10,7 +10,6 @@ A dataset lies under ``<root>/<name>``. Its files are either
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -24,7 +23,7 @@ def _open(spark: SparkSession, path: str, fmt: str, schema, options: dict) -> Da
     return reader.load(path)
 
 
-class _Files:
+class Files:
     """Path probing on the driver; looks at names only, never at contents."""
 
     def __init__(self, spark: SparkSession):
@@ -35,6 +34,11 @@ class _Files:
         path = self._path(pattern)
         return list(path.getFileSystem(self._conf).globStatus(path) or [])
 
+    def full_path(self, path: str) -> str:
+        """The path on its file system, without the system's name."""
+        made = self._path(path)
+        return made.getFileSystem(self._conf).makeQualified(made).toUri().getPath()
+
     def folders(self, path: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self.matches(f"{path}/*") if s.isDirectory())
 
@@ -43,7 +47,7 @@ def _candidates(base: str, split: str, fmt: str) -> list[str]:
     return [f"{base}/{split}", f"{base}/{split}.{fmt}", f"{base}/{split}-*.{fmt}"]
 
 
-def _unsplit(files: _Files, base: str, fmt: str) -> list[str]:
+def _unsplit(files: Files, base: str, fmt: str) -> list[str]:
     """Places of data that belongs to no split."""
     named = [p for split in vocab.SPLITS for p in _candidates(base, split, fmt)]
     inside = [] if any(files.matches(p) for p in named) else [f"{base}/*.{fmt}"]
@@ -64,7 +68,7 @@ def load_split(
     Without a config the dataset's own files are tried first; when it has only
     configs, the first one by name is taken for every split.
     """
-    files = _Files(spark)
+    files = Files(spark)
     base = f"{root.rstrip('/')}/{name}"
     bases = [f"{base}/{config}"] if config else [base]
     if not config:
@@ -81,7 +85,7 @@ def load_split(
                 continue
             try:
                 return _open(spark, place, fmt, schema, options)
-            except AnalysisException as exc:
+            except Exception as exc:  # unreadable files are no split
                 last = exc
     raise ValueError(f"No accessible split for {name}/{config}: {last or 'no files'}")
 

@@ -170,6 +170,24 @@ def test_prompts(spark):
     assert "exactly one" in local["user"] and "exactly one" not in api["user"]
 
 
+def test_models_with_batches(spark, folder):
+    class Model:
+        def batch(self, prompts):
+            if len(prompts) > 1 and any(p["dataset"] == "d3" for p in prompts):
+                raise ValueError("one of many")
+            if prompts[0]["dataset"] == "d3":
+                raise ValueError("this one")
+            return [f"{len(prompts)}" for p in prompts]
+
+    rows_df = spark.createDataFrame(
+        [(f"d{i}", 1, '{"a": 1}') for i in range(9)], "dataset string, row_id long, row string")
+    prompts = build_prompts(columns_of_rows(rows_df), samples(rows_df), "local", "m")
+    got = infer(prompts, lambda model_id: Model(), f"{folder}/r", parallelism=1, batch=4).collect()
+    assert len(got) == 9
+    assert {r["dataset"]: r["error"] for r in got if r["error"]} == {"d3": "ValueError: this one"}
+    assert {r["raw"] for r in got} == {None, "1", "4"}
+
+
 def test_model_is_asked_once_per_prompt(spark, folder):
     log = f"{folder}/calls"
 
@@ -193,5 +211,9 @@ def test_model_is_asked_once_per_prompt(spark, folder):
         ("bad", None, "ValueError: down"), ("one", "m1", None)]
     again = infer(prompts, factory, path)
     assert again.count() == 3 and again.count() == 3
-    assert sorted(open(log).read().split()) == ["bad", "one", "two"]
+    assert sorted(open(log).read().split()) == ["bad", "bad", "one", "two"]
+    only = infer(prompts.where("dataset = 'one'"), factory, path)
+    assert rows(only.select("dataset", "raw")) == [("one", "m1")]
+    other = infer(prompts.withColumn("model_id", F.lit("m2")), factory, path)
+    assert other.where("raw = 'm2'").count() == 2
     assert again.where(F.col("dataset") == "two").first()["raw"] == "m1"

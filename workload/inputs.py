@@ -231,12 +231,12 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
                       '}}, "task": "', case p_partkey % 5 {task} end, '"}}')
         end""")
     part = table(spark, sf, "part")
-    path = F.concat(F.lit("file:/catalog/cards/"), F.lower("p_type"), F.lit("/"), "p_partkey",
+    path = F.concat(F.lower("p_type"), F.lit("/"), "p_partkey",
                     F.lit(".json"))
     first = part.select(F.lit(0).alias("catalog_pos"), path.alias("path"), body.alias("body"))
     second = part.select(
         F.lit(1).alias("catalog_pos"),
-        F.replace(path, F.lit("/catalog/"), F.lit("/more/")).alias("path"),
+        path.alias("path"),
         F.concat(
             F.lit('{"__type__": "task_card", "loader": {"__type__": "load_hf", "path": "copy"}, '
                   '"task": "tasks.generation"}')

@@ -405,6 +405,30 @@ ORACLES = {
     "prompt_inputs": ctes(DOCS, RAW, COLS, DTYPES)
     + prompt("api", "", "\n- Note: All rows are invented.", "api_llm", "'json_object'")
     + " union all " + prompt("local", "", "", "local_llm", "null"),
+    "infer_resume": ctes(*BASE) + """
+      select dataset, case when list_contains(ks, 'idx') then 'RuntimeError: busy' end as first_error,
+        'ok' as status, task
+      from kwtask join (select dataset, list(col) as ks from cols group by dataset) using (dataset)""",
+    "standardize_rows": ctes(*BASE) + """,
+      std as (
+        select r.dataset, row_id, field, json_extract_string(row, '$."' || value || '"') as v
+        from raw r join kw using (dataset) where field <> 'task'
+        union all select dataset, row_id, 'text_type', 'document' from raw
+        union all select dataset, row_id, 'classes', '["bad","good"]' from raw)
+      select dataset, row_id, field, md5(case when field = 'label' and v = '0' then 'bad'
+        when field = 'label' and v = '1' then 'good' else v end) as value_md5 from std""",
+    "embedding_names": ctes(DOCS, RAW, COLS) + f""",
+      fields(fpos, field) as (values {rows(*enumerate(vocab.STANDARD_FIELDS))}),
+      vec as (
+        select distinct name, list_transform(range(97, 123), lambda c:
+          (length(lower(name)) - length(replace(lower(name), chr(c::int), '')))::double) as v
+        from (select col as name from cols union select field from fields)),
+      sims as (
+        select dataset, pos, col, field, list_cosine_similarity(a.v, b.v) as sim
+        from cols join vec a on a.name = col, fields join vec b on b.name = field)
+      select dataset, field, col as value from sims
+      qualify row_number() over (partition by dataset, field order by sim desc, pos) = 1
+        and sim >= 0.6""",
     "infer_stub": ctes(*BASE, PLAN, MAPPING) + """,
       refs as (
         select kw.dataset, kw.value from kw join cols

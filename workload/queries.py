@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from colmap.functions import vocab
 from colmap.functions.exprs import (
     catalog_task,
+    entries_from_json,
     entries_of,
     half_even,
     mapping_json,
@@ -47,10 +48,10 @@ from colmap.operators.truth import (
     with_name_fallback,
 )
 from colmap.plans.evaluation import records_truth, report, run_evaluation, run_evaluation_specs
-from colmap.plans.methods import keyword_method, model_method
+from colmap.plans.methods import embedding_method, keyword_method, model_method
 from colmap.plans.report import method_average, score_pivot, score_table
-from colmap.plans.standardize import standardize_catalog
-from colmap.session import scratch_path
+from colmap.plans.standardize import standardize_catalog, standardize_rows
+from colmap.session import scratch_path, written
 from colmap.sources.cards import discover
 from colmap.sources.registry import discover_tasks, seeded_sample
 from colmap.sources.sinks import read_csv, write_csv
@@ -231,6 +232,57 @@ def infer_stub(spark, sf):
     )
 
 
+def patchy_model(model_id: str):
+    """Answers like ``keyword_model``, but not for datasets with an ``idx`` column."""
+    answer = keyword_model(model_id)
+
+    def some(prompt: dict) -> str:
+        if '"idx"' in prompt["user"]:
+            raise RuntimeError("busy")
+        return answer(prompt)
+
+    return some
+
+
+def infer_resume(spark, sf):
+    """A first run fails for some; a second one at the same path fills only those."""
+    top = head(inputs.records(spark, sf))
+    prompts = build_prompts(columns_of_rows(top), samples(top), "local", "stub")
+    path = scratch_path(spark, "responses")
+    first = written(infer(prompts, patchy_model, path), "first").select(
+        "dataset", F.col("error").alias("first_error"))
+    second = infer(prompts, keyword_model, path)
+    return parse_responses(second, "local").join(first, "dataset").select(
+        "dataset", "first_error", "status", "task")
+
+
+def standardize_all(spark, sf):
+    """Every document's row in the standard form of its dataset."""
+    fields = standardize_rows(inputs.records(spark, sf), classes_method)
+    return fields.select("dataset", "row_id", F.explode("fields").alias("field", "value")).select(
+        "dataset", "row_id", "field", F.md5("value").alias("value_md5"))
+
+
+def classes_method(columns, sampled):
+    """Synonyms, with class names and an annotation."""
+    extra = entries_from_json(F.lit('{"classes": ["bad", "good"], "text_type": "document"}'))
+    return keyword_match(columns).withColumn("entries", F.transform(
+        F.concat("entries", extra), lambda e, i: e.withField("pos", i)))
+
+
+def letter_vectors(names):
+    """An encoder: how often each letter occurs in a name."""
+    return [[float(n.lower().count(chr(c))) for c in range(97, 123)] for n in names]
+
+
+def embedding_names(spark, sf):
+    """Column names encoded, compared with the encoded standard fields."""
+    found = embedding_method(letter_vectors)(
+        columns_of_rows(inputs.records(spark, sf)), None)
+    return found.select("dataset", F.inline("entries")).where("field <> 'task'").select(
+        "dataset", "field", "value")
+
+
 def infer_errors(spark, sf):
     """A model that always fails: error kept per prompt, mapping empty."""
     top = head(inputs.records(spark, sf))
@@ -596,6 +648,9 @@ QUERIES = {
     "prompt_inputs": prompt_texts,
     "infer_stub": infer_stub,
     "infer_errors": infer_errors,
+    "infer_resume": infer_resume,
+    "standardize_rows": standardize_all,
+    "embedding_names": embedding_names,
     "response_extract": response_extract,
     "response_lenient": response_lenient,
     "response_failures": response_failures,
