@@ -63,10 +63,14 @@ def entries_of(pairs: list[tuple[str, Column]]) -> Column:
     """Entries from (field, column name or null) pairs; null ones are left out."""
     if not pairs:
         return no_entries()
-    found = F.filter(
+    return listed_entries(F.filter(
         F.array(*[F.struct(F.lit(f).alias("field"), v.cast("string").alias("value")) for f, v in pairs]),
         lambda e: e["value"].isNotNull(),
-    )
+    ))
+
+
+def listed_entries(found: Column) -> Column:
+    """Entries from an array of (field, value)."""
     return F.transform(
         found,
         lambda e, i: F.struct(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colmap.functions import vocab
-from colmap.functions.exprs import entries_of, rename_plan, task_of
+from colmap.functions.exprs import entries_of, listed_entries, rename_plan, task_of, text_array
 
 # Tasks carry these functions with them, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -85,21 +85,37 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def similarities(vectors: Sequence[Sequence[float]]) -> Callable:
-    """A function from a vector column to its cosines with every given vector."""
-    fields = _unit(np.asarray(vectors, dtype="float64"))
-    width = fields.shape[1]
+def nearest(vectors: Sequence[Sequence[float]]) -> Callable:
+    """Turns columns with vectors into the best of each batch, dataset and field.
 
-    def cosines(col: pa.Array) -> pa.Array:
-        absent = col.is_null()
-        rows = np.asarray(col.flatten(), dtype="float64").reshape(-1, width)
-        sims = np.zeros((len(col), len(fields)))
-        sims[~np.asarray(absent)] = _unit(rows) @ fields.T
-        offsets = pa.array(np.arange(len(col) + 1, dtype="int32") * len(fields))
-        return pa.ListArray.from_arrays(offsets, pa.array(sims.ravel()), mask=absent)
+    One matrix product per batch; pairs of a column and a field are never rows.
+    """
+    fields = _unit(np.asarray(vectors, dtype="float64"))
 
-    cosines.__annotations__ = {"col": pa.Array, "return": pa.Array}
-    return F.arrow_udf(cosines, "array<double>")
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(batch.column("embedding").is_valid())
+            if not part.num_rows:
+                continue
+            rows = np.asarray(part.column("embedding").flatten(), dtype="float64")
+            sims = _unit(rows.reshape(part.num_rows, -1)) @ fields.T
+            pos = part.column("pos").to_numpy(zero_copy_only=False)
+            group, names = pd.factorize(part.column("dataset").to_pandas())
+            order = np.lexsort((pos, group))
+            starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            for at, end in zip(starts, [*starts[1:], len(order)], strict=True):
+                own = order[at:end]  # by pos, so that the first of equals wins
+                top = own[np.argmax(sims[own], axis=0)]
+                n = len(fields)
+                yield pa.RecordBatch.from_pydict({
+                    "dataset": pa.array([names[group[own[0]]]] * n, pa.string()),
+                    "fpos": pa.array(np.arange(n, dtype="int32")),
+                    "pos": pa.array(pos[top].astype("int64")),
+                    "col": part.column("col").take(pa.array(top)),
+                    "sim": pa.array(sims[top, np.arange(n)]),
+                })
+
+    return best
 
 
 def embedding_match(
@@ -111,24 +127,31 @@ def embedding_match(
     """Per field, the column whose vector is nearest by cosine, if near enough.
 
     ``columns`` is ``(dataset, pos, col, embedding)``. Every Arrow batch is one
-    matrix product with the field vectors; one aggregate per dataset then keeps
-    the best column of each field, so column-field pairs are never rows. On a
+    matrix product with the field vectors, of which the best column of each dataset
+    and field is kept; one aggregate then finds the best over all batches. On a
     tie the first column wins. One column may serve several fields.
     """
-    cosines = similarities(list(fields.values()))
-    scored = columns.select(
-        "dataset", "pos", "col", cosines("embedding").alias("_sims")
+    found = columns.select("dataset", "pos", "col", "embedding").mapInArrow(
+        nearest(list(fields.values())),
+        "dataset string, fpos int, pos long, col string, sim double")
+    best = found.groupBy("dataset", "fpos").agg(F.max_by(
+        F.struct("col", "sim"), F.struct("sim", -F.col("pos"))).alias("b"))
+    names = text_array(fields)
+    chosen = (
+        best.where(F.col("b.sim") >= threshold).groupBy("dataset")
+        .agg(F.array_sort(F.collect_list(F.struct("fpos", "b.col"))).alias("chosen"))
+    )
+    pair = "array<struct<field:string,value:string>>"
+    pairs = F.transform("chosen", lambda c: F.struct(
+        F.get(names, c["fpos"]).alias("field"), c["col"].alias("value")))
+    listed = columns.select("dataset").distinct().join(chosen, "dataset", "left").withColumn(
+        "pairs", F.coalesce(pairs, F.array().cast(pair)))
+    task = F.struct(F.lit("task").alias("field"), F.col("task").alias("value"))
+    return (
+        listed.withColumn("task", task_of(F.transform("pairs", lambda p: p["field"])))
+        .select(
+            "dataset", F.lit(method).alias("method"),
+            listed_entries(F.concat("pairs", F.array(task))).alias("entries"),
+            "task", F.lit("ok").alias("status"))
+        .withColumn("code", rename_plan(F.col("entries")))
     )
-    best = [
-        F.max_by(
-            F.struct("col", F.col("_sims")[i].alias("sim")),
-            F.struct(F.col("_sims")[i], -F.col("pos")),
-        ).alias(f"f{i}")
-        for i in range(len(fields))
-    ]
-    wide = scored.groupBy("dataset").agg(*best)
-    pairs = [
-        (field, F.when(F.col(f"f{i}.sim") >= threshold, F.col(f"f{i}.col")))
-        for i, field in enumerate(fields)
-    ]
-    return with_task(wide, pairs, method)

@@ -99,9 +99,17 @@ def test_embedding_does_not_depend_on_partitions(spark):
             assert got[dataset].get(f) == (mine[best][2] if sims[best] >= 0.3 else None)
 
 
-def test_too_many_field_vectors(spark):
-    with pytest.raises(ValueError, match="field vectors"):
-        embedding_match(columns(spark, d=["a"]), {str(i): [0.0] * 5000 for i in range(300)})
+def test_many_field_vectors(spark):
+    table = spark.createDataFrame(
+        [("d", i, f"c{i}", [float(i == k) for k in range(40)]) for i in range(40)]
+        + [("d", 40, "late", [1.0] + [0.0] * 39), ("e", 0, "none", None)],
+        "dataset string, pos int, col string, embedding array<double>").repartition(5)
+    fields = {f"f{k}": [float(k == i % 40) for i in range(40)] for k in range(40)}
+    fields |= {f"g{k}": [0.0] * 40 for k in range(2000)}
+    got = {r["dataset"]: r["entries"] for r in embedding_match(table, fields).collect()}
+    assert [(e["field"], e["value"]) for e in got["d"]] == [
+        (f"f{k}", f"c{k}") for k in range(40)] + [("task", "classification")]
+    assert [e["field"] for e in got["e"]] == ["task"]
 
 
 def letters(names):
