@@ -24,18 +24,19 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 
 # query -> table whose rows it goes through
 HEADLINE = {
-    "standardize_single": "documents",
+    "standardize_single": "labels",
     "standardize_pair": "conversations",
-    "label_decode": "documents",
+    "standardize_rows": "documents",
+    "label_decode": "labels",
     "keyword_match": "documents",
     "embedding_match": "embeddings",
     "prompt_inputs": "documents",
     "response_extract": "documents",
     "response_lenient": "documents",
-    "taskdata_expand": "documents",
+    "taskdata_expand": "labels",
     "value_overlap_10": "documents",
     "value_overlap_full": "documents",
-    "value_overlap_table": "documents",
+    "value_overlap_table": "labels",
     "value_overlap_lineitem": "lineitem",
     "catalog_cells": "lineitem",
     "presence_score": "events",

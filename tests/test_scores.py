@@ -7,6 +7,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from colmap.functions.exprs import first_rows
+from colmap.plans.report import show_scores
 from colmap.functions.exprs import (
     catalog_task,
     entries_from_json,
@@ -335,3 +337,34 @@ def test_records_given_as_structs(spark):
     assert rows(packed) == rows(as_rows(raw, "d", "id"))
     assert records_truth(packed, struct.selectExpr("'d' as dataset", "id as row_id", "task_data")
                          ).first()["gt_cols"] == ["p"]
+
+
+def test_report_shows_all_datasets(spark, capsys):
+    results = spark.range(150).select(
+        F.concat(F.lit("d"), "id").alias("dataset"), F.lit("keyword").alias("method"),
+        F.lit(0.5).alias("score"))
+    show_scores(results)
+    printed = capsys.readouterr().out
+    assert "Average" in printed and "d149" in printed
+
+
+def test_first_rows_of_large_groups(spark):
+    """More rows than Spark prunes groups for: placed by ranges, no task has a group."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("b")).otherwise(F.lit("a")).alias("g"),
+        (30_000 - F.col("id")).alias("o"))
+    got = first_rows(df.repartition(7), "g", ["o"], 5_000)
+    stats = {r["g"]: (r["n"], r["top"], r["last"]) for r in got.groupBy("g").agg(
+        F.count("*").alias("n"), F.max("rn").alias("top"), F.max("o").alias("last")).collect()}
+    want = {g: sorted(30_000 - i for i in range(30_000) if (i % 3 == 0) == (g == "b"))[4_999]
+            for g in "ab"}
+    assert stats == {g: (5_000, 5_000, want[g]) for g in "ab"}
+    near = got.where("g = 'a'").orderBy("o").limit(3).collect()
+    assert [r["rn"] for r in near] == [1, 2, 3]
+
+
+def test_evaluate_table_with_a_dotted_first_column(spark):
+    raw = spark.createDataFrame([(1, "x", 7), (2, "y", 8)], "`a.b` long, text string, label long")
+    gt = raw.select("`a.b`", F.to_json(F.struct("text", "label")).alias("task_data"))
+    got = evaluate(raw, gt, "d", keyword_method())
+    assert got["score"] == 1.0 and got["gt_cols"] == ["label", "text"]

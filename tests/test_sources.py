@@ -213,3 +213,26 @@ def test_by_name(spark, folder):
         assert out["mapping"] == {"text": "text", "label": "label", "task": "classification"}
         assert out["score"] == 0.1 and out["code"] == "# No rename steps needed"
     assert baseline_keyword_match(spark, "d", root=folder)["mapping"]["text"] == "text"
+
+
+def test_corrupt_split_is_passed_over(spark, folder):
+    os.makedirs(f"{folder}/d")
+    with open(f"{folder}/d/train.parquet", "wb") as f:
+        f.write(b"PAR1 not a table")
+    put(spark, f"{folder}/d/test", "test")
+    assert opened(load_split(spark, folder, "d")) == "test"
+    with pytest.raises(ValueError, match="No accessible split"):
+        load_split(spark, folder, "none")
+
+
+def test_cards_of_odd_roots(spark, folder):
+    """A root below a folder named cards, names with spaces and signs, a missing root."""
+    card(folder, "cards/one/cards/my card.json", CARD)
+    card(folder, "cards/one/cards/cards/a+b%20.json", CARD)
+    card(folder, "two/cards/my card.json", CARD)
+    os.makedirs(f"{folder}/empty")
+    raw = read_cards(spark, [f"{folder}/cards/one", f"{folder}/empty", f"{folder}/two/"])
+    assert rows(raw.select("catalog_pos", "path")) == [
+        (0, "cards/a+b%20.json"), (0, "my card.json"), (2, "my card.json")]
+    assert rows(discover(raw, []).select("card_id")) == [("cards.a+b%20",), ("my card",)]
+    assert read_cards(spark, [f"{folder}/empty"]).count() == 0
