@@ -26,17 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colmap.llm.common import free_name, quoted, words
+from colmap.llm.common import free_name, quoted, small, words
 from colmap.session import written
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: rows of a table of a few numbers that may be sent to every executor
-BROADCAST_ROWS = 500_000
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def shingles(w: Column) -> Column:
@@ -85,11 +79,11 @@ def contained(
     # exploded hashes meet the sketches before anything is shuffled
     candidates = written(
         split.select("doc_id", F.explode(hashes(F.col("w"))).alias("h"))
-        .join(_small(sketch, sketch.count()), "h").select("doc_id", "item").distinct(),
+        .join(small(sketch, sketch.count()), "h").select("doc_id", "item").distinct(),
         "candidates")
     n, n_items = candidates.count(), items.count()
     wanted = items.select("item", "item_id", F.array_distinct(shingles(F.col("w"))).alias("item_shingles"))
-    listed = split.join(_small(
+    listed = split.join(small(
         candidates.groupBy(F.col("doc_id").alias("found_id")).agg(
             F.collect_set("item").alias("items")), n), F.col("doc_id").eqNullSafe(
                 F.col("found_id")))
@@ -98,7 +92,7 @@ def contained(
     return (
         listed.select("doc_id", F.array_distinct(shingles(F.col("w"))).alias("doc_shingles"),
                       F.explode("items").alias("item"))
-        .join(_small(wanted, n_items), "item")
+        .join(small(wanted, n_items), "item")
         .select("doc_id", "item", "item_id", size.cast("long").alias("n_shingles"),
                 shared.cast("long").alias("n_shared"))
         .where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9))
@@ -113,12 +107,14 @@ def without_benchmark(
 ) -> DataFrame:
     """The rows of ``docs`` in which no item is found.
 
-    Rows are numbered in a written copy, so null and repeated ids do no harm.
+    What is found in a row follows from its text, so rows are known by its hash; null
+    and repeated ids do no harm.
     """
-    row = free_name(docs, "row_number")
-    copy = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-copy")
-    found = contained(copy, benchmark, threshold, row, text_col)
-    return copy.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(
+    key = free_name(docs, "text_hash")
+    marked = docs.withColumn(key, F.xxhash64(quoted(text_col)))
+    found = written(contained(marked, benchmark, threshold, key, text_col).select(
+        F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return marked.join(small(found, found.count()), key, "left_anti").select(
         *[quoted(c) for c in docs.columns])
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colmap.llm.common import free_name, quoted
+from colmap.llm.common import free_name, quoted, small
 from colmap.llm.components import components
 from colmap.session import written
 
@@ -243,21 +243,28 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs`` with one row left of each group of near-duplicates.
 
-    The row with the least id stays, of several any one. Rows are numbered in a
-    written copy, so that null and repeated ids do no harm; rows to drop are found
-    from (number, id, fingerprint) alone.
+    The row with the least id stays, of several any one. What to drop is found from
+    (id, hash of the text, fingerprint) alone and taken out of ``docs`` by these
+    keys; rows that repeat both id and text are told apart only where they stay.
     """
-    row = free_name(docs, "row_number")
-    fp = free_name(docs, "simhash")
-    copy = written(docs.withColumns({
-        row: F.monotonically_increasing_id(),
-        fp: fingerprint(F.col(text_col), shingle)}), "simhash-copy")
-    marked = copy.select(
-        F.col(fp).alias("fp"),
-        F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
-                 F.col(row).alias("row")).alias("pick"))
-    out = (
-        marked.join(classes(marked, max_bits), "fp")
-        .where(F.col("pick.row") != F.col("first.row")).select(F.col("pick.row").alias(row))
-    )
-    return copy.join(out, row, "left_anti").select(*[quoted(c) for c in docs.columns])
+    doc_id, same = quoted(id_col), F.xxhash64(quoted(text_col))
+    marked = written(docs.select(
+        F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), same.alias("same"))
+        .alias("pick"), fingerprint(quoted(text_col), shingle).alias("fp")), "fingerprints")
+    keys = marked.groupBy("pick", "fp").agg(F.count(F.lit(1)).alias("n")).join(
+        classes(marked, max_bits), "fp")
+    out = written(keys.where("pick != first").select("pick"), "simhash-dropped")
+    repeated = written(keys.where("pick = first and n > 1").select("pick"), "simhash-repeated")
+    n_out, n_repeated = out.count(), repeated.count()
+    pick, key = free_name(docs, "pick"), F.struct(
+        doc_id.isNull().alias("none"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), same.alias("same"))
+
+    def keyed(df):
+        return df.select(F.struct(
+            F.col("pick.none").alias("none"), F.coalesce(F.col("pick.id").cast("string"), F.lit("")).alias("id"),
+            F.col("pick.same").alias("same")).alias(pick))
+
+    rows = docs.withColumn(pick, key).join(small(keyed(out), n_out), pick, "left_anti")
+    once = rows.join(small(keyed(repeated), n_repeated), pick, "left_anti")
+    twice = rows.join(small(keyed(repeated), n_repeated), pick, "left_semi").dropDuplicates([pick])
+    return once.union(twice).select(*[quoted(c) for c in docs.columns])
