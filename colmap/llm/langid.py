@@ -119,7 +119,7 @@ def fit(
     allowed: Column,
     sample_rows: int = 2000,
     centroids: int = 4,
-    margin: float = 0.5,
+    margin: float = 0.3,
 ) -> Model:
     """Learn from rows of ``docs`` (doc_id, text, lang) where ``allowed`` holds.
 
