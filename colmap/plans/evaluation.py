@@ -32,12 +32,13 @@ from colmap.operators.truth import (
     seen_columns,
     truth_cells,
     truth_columns,
+    unreadable,
     unreadable_datasets,
     with_json,
     with_name_fallback,
 )
 from colmap.plans.methods import Method
-from colmap.plans.standardize import propose
+from colmap.plans.standardize import propose, sample_rows
 from colmap.session import written
 from colmap.sources.registry import dataset_id
 from colmap.sources.sinks import save_evaluation
@@ -165,15 +166,14 @@ def evaluate_spec_dataset(
 
 
 def propose_all(
-    rows: DataFrame, methods: Mapping[str, Method]
+    columns: DataFrame, sampled: DataFrame, methods: Mapping[str, Method]
 ) -> tuple[DataFrame, dict[str, str]]:
-    """Proposals of all methods over schemaless datasets.
+    """Proposals of all methods over the columns and first rows of datasets.
 
     Each method runs on its own and its proposals, a row per dataset, are
     written. So one that raises, here or in the workers, is left out with its
     message kept, and scoring runs none of them again.
     """
-    columns, sampled = columns_of_rows(rows), samples(rows)
     parts, errors = [keyword_match(columns).limit(0)], {}
     for name, method in methods.items():
         try:
@@ -248,7 +248,7 @@ def run_evaluation(
     instead of evaluating again.
     """
     top = head(rows)
-    proposals, errors = propose_all(top, methods)
+    proposals, errors = propose_all(columns_of_rows(top), samples(top), methods)
     truth = written(records_truth(rows, gt, n), "truth")
     known = truth.where("error is null")
     scored = struct_scores(proposals, known).drop("task", "status")
@@ -256,6 +256,42 @@ def run_evaluation(
     return written(grid(listed, list(methods), scored, errors, truth), "results")
 
 
+def run_evaluation_tables(
+    frames: Mapping[str, DataFrame], truths: Mapping[str, DataFrame],
+    methods: Mapping[str, Method], n: int | None = vocab.OVERLAP_ROWS,
+    orders: Mapping[str, list[str]] | None = None, column: str = "task_data",
+) -> DataFrame:
+    """``run_evaluation`` over typed tables, each with a table of reference records.
+
+    Columns stay columns: names come from the schemas, and value matching reads the
+    tables as they are. ``orders`` names the columns that order each pair of tables.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    orders = orders or {}
+    columns = catalog(spark, frames)
+    sampled = union_all(
+        sample_rows(df, orders.get(name, df.columns[:1]), vocab.PROMPT_ROWS)
+        .withColumn("dataset", F.lit(name)) for name, df in frames.items())
+    proposals, errors = propose_all(columns, sampled, methods)
+    matched, broken = [], []
+    for name, gt in truths.items():
+        order = orders.get(name)
+        matched.append(overlap_frames(frames[name], gt, name, n, order, order, column))
+        records = with_json(gt, column)
+        if n is not None:
+            records = records.orderBy(*exact_order(order or gt.columns[:1])).limit(n)
+        broken.append(records.agg(F.bool_or(unreadable(F.col(column))).alias("bad")).select(
+            F.lit(name).alias("dataset"), F.coalesce("bad", F.lit(False)).alias("bad")))
+    found = truth_columns(with_name_fallback(union_all(matched), column_sets(columns)))
+    truth = written(
+        union_all(broken).join(found, "dataset", "left").select(
+            "dataset",
+            F.when(~F.col("bad"), F.coalesce("gt_cols", text_array([]))).alias("gt_cols"),
+            F.when(F.col("bad"), F.lit(vocab.UNREADABLE)).alias("error")), "truth")
+    scored = struct_scores(proposals, truth.where("error is null")).drop("task", "status")
+    return written(grid(columns, list(methods), scored, errors, truth), "results")
+
+
 def run_evaluation_specs(
     rows: DataFrame, specs: DataFrame, methods: Mapping[str, Method]
 ) -> DataFrame:
@@ -264,7 +300,7 @@ def run_evaluation_specs(
     top = head(rows)
     named = specs.select(dataset_id(F.col("name"), F.col("config")).alias("dataset"), "spec")
     truth = spec_truth(spec_entries(named), column_sets(columns_of_rows(top)))
-    proposals, errors = propose_all(top, methods)
+    proposals, errors = propose_all(columns_of_rows(top), samples(top), methods)
     scored = struct_scores(proposals, truth).drop("task", "status")
     return written(grid(named, list(methods), scored, errors), "results")
 

@@ -624,3 +624,44 @@ ORACLES = {
       from events""",
     "stream_extract": "select event_id, props from events",
 }
+
+# typed tables: matches as above, names for what no values matched, then set similarity
+_tables = {"doc_quality": "doc_id body lang target".split(),
+           "lineitem": COLUMN_NAMES["lineitem"].split()}
+ORACLES["eval_tables"] = f"""
+with cols(dataset, pos, col) as (values {rows(*[
+    (d, i, c) for d, cs in _tables.items() for i, c in enumerate(cs)])}),
+m as (select * from ({ORACLES["value_overlap_table"]})
+      union all select * from ({ORACLES["value_overlap_lineitem"]})),
+filled as (
+  select m.dataset, coalesce(m.col, same.col, case when m.field = 'label' then near.col end) as col
+  from m left join cols same on same.dataset = m.dataset and same.col = m.field
+  left join (select dataset, arg_min(col, list_position(
+      ['label', 'labels', 'target', 'answer', 'class'], col)) as col from cols
+      where col in ('label', 'labels', 'target', 'answer', 'class') group by dataset) near
+    on near.dataset = m.dataset),
+truth as (select dataset, list_sort(list(distinct col) filter (where col is not null)) as g
+          from filled group by dataset),
+syn(fpos, field, syn) as (values {rows(*[
+    (i, f, w) for i, (f, ws) in enumerate(vocab.FIELD_SYNONYMS.items()) for w in ws])}),
+fields(fpos, field) as (values {rows(*enumerate(vocab.STANDARD_FIELDS))}),
+vec as (
+  select distinct name, list_transform(range(97, 123), lambda c:
+    (length(name) - length(replace(name, chr(c::int), '')))::double) as v
+  from (select col as name from cols union select field from fields)),
+near as (
+  select dataset, field, col, list_cosine_similarity(a.v, b.v) as sim
+  from cols join vec a on a.name = col, fields join vec b on b.name = field
+  qualify row_number() over (partition by dataset, field order by sim desc, pos) = 1),
+chosen as (
+  select dataset, 'keyword' as method, arg_min(col, pos) as col
+  from cols join syn on lower(col) = syn group by dataset, field
+  union all select dataset, 'letters', col from near where sim >= 0.6),
+pred as (select dataset, method, list(distinct col) as p from chosen group by all),
+pairs as (select dataset, method from truth, (values ('keyword'), ('letters'), ('api_llm')) t(method))
+select dataset, method, case when method <> 'api_llm' then round_even(
+    len(list_intersect(g, coalesce(p, []))) * 1.0
+    / greatest(1, len(list_distinct(list_concat(g, coalesce(p, []))))), 3) end as score,
+  case when method <> 'api_llm' then array_to_string(g, ',') end as gt_cols,
+  case when method = 'api_llm' then 'ValueError: no service' end as error
+from pairs join truth using (dataset) left join pred using (dataset, method)"""

@@ -47,7 +47,13 @@ from colmap.operators.truth import (
     overlap_records,
     with_name_fallback,
 )
-from colmap.plans.evaluation import records_truth, report, run_evaluation, run_evaluation_specs
+from colmap.plans.evaluation import (
+    records_truth,
+    report,
+    run_evaluation,
+    run_evaluation_specs,
+    run_evaluation_tables,
+)
 from colmap.plans.methods import embedding_method, keyword_method, model_method
 from colmap.plans.report import method_average, score_pivot, score_table
 from colmap.plans.standardize import standardize_catalog, standardize_rows
@@ -572,6 +578,17 @@ def _grid(spark, sf):
     return run_evaluation(inputs.records(spark, sf), inputs.reference(spark, sf), methods, None)
 
 
+def eval_tables(spark, sf):
+    """Typed tables against their records, without a detour through JSON rows."""
+    frames = {"doc_quality": inputs.doc_quality(spark, sf), "lineitem": table(spark, sf, "lineitem")}
+    truths = {"doc_quality": inputs.doc_task_data(spark, sf),
+              "lineitem": inputs.lineitem_reference(spark, sf)}
+    methods = {"keyword": keyword_method(), "letters": embedding_method(letter_vectors),
+               "api_llm": failing_method}
+    return run_evaluation_tables(frames, truths, methods, None).select(
+        "dataset", "method", "score", F.array_join("gt_cols", ",").alias("gt_cols"), "error")
+
+
 GRID_METHODS = ["keyword", "local_llm", "api_llm"]
 
 
@@ -684,6 +701,7 @@ QUERIES = {
     "mapping_recall": mapping_recall,
     "eval_grid": eval_grid,
     "eval_report": eval_report,
+    "eval_tables": eval_tables,
     "score_pivot": score_pivots,
     "score_table": score_tables,
     "method_average": method_averages,
