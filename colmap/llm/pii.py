@@ -4,7 +4,8 @@ Base entities are the leftmost non-overlapping matches of one pattern per kind;
 matches that fail the kind's check are dropped. They seed a bootstrap:
 
 1. The two words left of a seed are a lexical pattern for its kind. A pattern needs
-   ``MIN_SEEDS`` distinct seeds.
+   ``MIN_SEEDS`` distinct seeds, and ``PURITY`` of the seeds behind its words must be
+   of its kind: words before which every kind stands say nothing.
 2. Tokens with a digit or an at sign outside all seeds are candidate instances.
    Patterns and instances form a graph, an edge for each context in which an
    instance stands.
@@ -51,7 +52,8 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 #: code points of context kept on the left
 REACH = 80
-MIN_SEEDS = 3
+MIN_SEEDS = 5
+PURITY = 0.9
 ROUNDS = 3
 ACCEPT = 0.8
 #: shape that a candidate of a kind must have
@@ -138,7 +140,7 @@ def _candidates(found: DataFrame) -> DataFrame:
     behind = Window.partitionBy("row").orderBy(*order).rowsBetween(
         Window.currentRow, Window.unboundedFollowing)
     core = F.regexp_replace(F.regexp_replace("value", r"^[^\p{L}\p{N}+(]+", ""),
-                            r"[^\p{L}\p{N}]+$", "")
+                            r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
     lead = F.length("value") - F.length(F.regexp_replace("value", r"^[^\p{L}\p{N}+(]+", ""))
     return (
         spans.withColumn("reached", F.max(F.when(F.col("base"), F.col("end"))).over(ahead))
@@ -171,7 +173,9 @@ def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     patterns = written(
         seeds.groupBy("kind", "context").agg(
             F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("weight"))
-        .where(F.col("seeds") >= MIN_SEEDS), "pii-patterns")
+        .withColumn("all", F.sum("seeds").over(Window.partitionBy("context")))
+        .where((F.col("seeds") >= MIN_SEEDS) & (F.col("seeds") >= PURITY * F.col("all")))
+        .drop("all"), "pii-patterns")
     n = patterns.count()
     counts = written(_corpus_counts(
         docs, text_col, patterns.select("context").distinct(), n), "pii-contexts")
