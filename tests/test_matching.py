@@ -4,7 +4,6 @@ import json
 import sys
 
 import numpy as np
-import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
