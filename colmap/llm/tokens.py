@@ -46,12 +46,11 @@ NO_ID = np.iinfo(np.int64).min
 BLOCK_BITS = 512
 END = 1
 #: a file is closed when it has this many ids
-FILE_TOKENS = 1 << 22
+FILE_TOKENS = 1 << 21
 #: ids that a reader decodes at a time
 READ_TOKENS = 1 << 20
 #: words whose ids a worker remembers
-CACHE_WORDS = 400_000
-SEPARATOR = "<|startoftext|>"
+CACHE_WORDS = 200_000
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -59,11 +58,13 @@ _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 # ---- encoding texts
 
 class WordEncoder(dict):
-    """Ids of texts, as little-endian unsigned 32-bit integers.
+    """Ids of texts by word, as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and encodes what stands between it on its own,
-    so words are encoded once each: all new ones of a batch together, with a special
-    token between them, and then looked up.
+    so each word is encoded once and then looked up. A word of Latin letters is one
+    token of the pre-tokenizer, in lower case; its ids come from the tokenizer's
+    model alone, which spares most of the time. Marks behind such a word are tokens
+    of their own. All other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -72,32 +73,59 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(SEPARATOR)
-
-    def _ids(self, text: str) -> np.ndarray:
-        encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(encoded.ids, "<u4")
-
-    def learn(self, new: list[str]) -> None:
-        plain = [w for w in new if "<|" not in w]
-        for w in new:
-            if "<|" in w:  # may hold the separator itself
-                self[w] = self._ids(w).tobytes()
-        if not plain:
-            return
-        ids = self._ids(f" {SEPARATOR} ".join(plain))
-        cut = np.flatnonzero(ids == self.mark)
-        starts = (np.concatenate([[0], cut + 1]) * 4).tolist()
-        ends = (np.concatenate([cut, [len(ids)]]) * 4).tolist()
-        raw = ids.tobytes()
-        self.update((w, raw[i:j]) for w, i, j in zip(plain, starts, ends, strict=True))
+        self.model = self.tokenizer.model
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.plain = self._is_expected()
+
+    def _is_expected(self) -> bool:
+        """Whether the short way gives what the whole tokenizer gives."""
+        probes = ("word", "Straße", "Éléphant", "ªºµ", "x" * 40)
+        return all(self._ids(p) == self._model_ids(p.lower()) for p in probes) and all(
+            self._ids(p + m) == self._ids(p) + self._ids(m) for p in probes for m in MARKS)
+
+    def _ids(self, word: str) -> bytes:
+        encoded = self.tokenizer.encode(word, add_special_tokens=False)
+        return np.array(encoded.ids, "<u4").tobytes()
+
+    def _model_ids(self, word: str) -> bytes:
+        units = word.encode().decode("latin-1").translate(BYTE_UNITS)
+        return np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        ids = self.letters.get(word)
+        if ids is None:
+            if len(self.letters) >= CACHE_WORDS:
+                self.letters.clear()
+            ids = self.letters[word] = self._model_ids(word)
+        return ids
+
+    def _marks(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            if len(self.marks) >= CACHE_WORDS:
+                self.marks.clear()
+            ids = self.marks[marks] = self._ids(marks)
+        return ids
+
+    def learn(self, new: list[bytes]) -> None:
+        for word in new:
+            w = word.decode("utf-8", "surrogatepass")
+            core = w.rstrip(MARKS)
+            if not self.plain or not core.isalpha() or not (
+                    core.isascii() or max(core) < "\u0250" and "\u0130" not in core):
+                self[word] = self._ids(w)
+            elif len(core) == len(w):
+                self[word] = self._letters(core.lower())
+            else:
+                self[word] = self._letters(core.lower()) + self._marks(w[len(core):])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; texts are handled in groups of bounded size."""
         return [ids for group in _groups(texts) for ids in self._encode(group)]
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [split_words(t or "") for t in texts]
+        parts = [split_words(t) for t in texts]
         new = list(set().union(*parts) - self.keys())
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
@@ -107,6 +135,21 @@ class WordEncoder(dict):
         return [b"".join(map(get, p)) for p in parts]
 
 
+def _byte_units() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Printable bytes stand for themselves, the others for characters from 256 on.
+    """
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_UNITS = _byte_units()
+#: marks that often follow a word
+MARKS = ".,;:!?#*%&$)\""
+
+
 def _groups(texts: list[str | None], size: int = 1 << 21) -> Iterator[list[str | None]]:
     group, chars = [], 0
     for t in texts:
@@ -119,15 +162,9 @@ def _groups(texts: list[str | None], size: int = 1 << 21) -> Iterator[list[str |
         yield group
 
 
-_GAPS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
-
-
-def split_words(text: str) -> list[str]:
-    """Words between ASCII white space."""
-    if text.isascii():
-        if not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return text.split()
-    return [w for w in text.translate(_GAPS).split(" ") if w]
+def split_words(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, in UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
 
 
 @cache

@@ -154,8 +154,9 @@ def test_shard_edges(spark, edges, no_docs, folder):
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def test_words_are_encoded_as_whole_texts_are(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+@pytest.mark.parametrize("words", [1, 3, 50])
+def test_words_are_encoded_as_whole_texts_are(monkeypatch, words):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", words)
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(PATH)
     rnd = random.Random(8)
