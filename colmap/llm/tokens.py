@@ -50,7 +50,7 @@ FILE_TOKENS = 1 << 21
 #: ids that a reader decodes at a time
 READ_TOKENS = 1 << 20
 #: words whose ids a worker remembers
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
