@@ -4,8 +4,7 @@ Base entities are the leftmost non-overlapping matches of one pattern per kind;
 matches that fail the kind's check are dropped. They seed a bootstrap:
 
 1. The two words left of a seed are a lexical pattern for its kind. A pattern needs
-   ``MIN_SEEDS`` distinct seeds, and ``PURITY`` of the seeds behind its words must be
-   of its kind: words before which every kind stands say nothing.
+   ``MIN_SEEDS`` distinct seeds.
 2. Tokens with a digit or an at sign outside all seeds are candidate instances.
    Patterns and instances form a graph, an edge for each context in which an
    instance stands.
@@ -31,6 +30,8 @@ columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +53,7 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 #: code points of context kept on the left
 REACH = 80
-MIN_SEEDS = 5
-PURITY = 0.9
+MIN_SEEDS = 3
 ROUNDS = 3
 ACCEPT = 0.8
 #: shape that a candidate of a kind must have
@@ -132,7 +132,10 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _candidates(found: DataFrame) -> DataFrame:
-    """Tokens that touch no base entity, without the punctuation around them."""
+    """Tokens that touch no base entity, without the punctuation around them.
+
+    Only those that have the shape of some kind.
+    """
     spans = found.where("base or kind = 'token'")
     order = [F.col("start"), F.col("base").desc()]
     ahead = Window.partitionBy("row").orderBy(*order).rowsBetween(
@@ -149,9 +152,14 @@ def _candidates(found: DataFrame) -> DataFrame:
                "and coalesce(reached <= start, true) and coalesce(next >= end, true)")
         .select("row", "context", (F.col("start") + lead).alias("start"), core.alias("core"))
         .withColumn("end", F.col("start") + F.length("core"))
+        .where(_any([F.col("core").rlike(rule) for rule in SHAPES.values()]))
     )
 
 
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
 def _corpus_counts(docs: DataFrame, text_col: str, contexts: DataFrame, n: int) -> DataFrame:
     """(context, total): how often each context occurs in all texts."""
     w = _plain_words(F.coalesce(F.col(text_col), F.lit("")))
@@ -161,8 +169,8 @@ def _corpus_counts(docs: DataFrame, text_col: str, contexts: DataFrame, n: int)
         F.array().cast("array<long>"))
     return (
         docs.select(w.alias("w")).select(F.explode(pairs).alias("context"))
-        .join(small(contexts, n), "context")
         .groupBy("context").agg(F.count(F.lit(1)).alias("total"))
+        .join(small(contexts, n), "context")
     )
 
 
@@ -173,23 +181,17 @@ def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     patterns = written(
         seeds.groupBy("kind", "context").agg(
             F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("weight"))
-        .withColumn("all", F.sum("seeds").over(Window.partitionBy("context")))
-        .where((F.col("seeds") >= MIN_SEEDS) & (F.col("seeds") >= PURITY * F.col("all")))
-        .drop("all"), "pii-patterns")
+        .where(F.col("seeds") >= MIN_SEEDS), "pii-patterns")
     n = patterns.count()
     counts = written(_corpus_counts(
         docs, text_col, patterns.select("context").distinct(), n), "pii-contexts")
     patterns = patterns.join(small(counts, n), "context")
-    shape = F.lit(False)
-    for kind, rule in SHAPES.items():
-        shape = shape | ((F.col("kind") == kind) & F.col("core").rlike(rule))
-    places = written(
-        _candidates(found).join(
-            small(patterns.select("context", "kind", "weight", "total"), n), "context")
-        .where(shape), "pii-candidates")
+    places = written(_candidates(found).withColumn("instance", F.lower("core")), "pii-candidates")
+    fits = _any([(F.col("kind") == k) & F.col("instance").rlike(r) for k, r in SHAPES.items()])
     edges = written(
-        places.groupBy("kind", "context", "weight", "total", F.lower("core").alias("instance"))
-        .agg(F.count(F.lit(1)).alias("n")), "pii-edges")
+        places.groupBy("context", "instance").agg(F.count(F.lit(1)).alias("n"))
+        .join(small(patterns.select("context", "kind", "weight", "total"), n), "context")
+        .where(fits), "pii-edges")
     trust = edges.select("kind", "instance").distinct().withColumn("confidence", F.lit(0.0))
     for _ in range(ROUNDS):
         scored = edges.join(trust, ["kind", "instance"]).groupBy(
@@ -203,8 +205,9 @@ def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     trust = written(trust.where(F.col("confidence") >= ACCEPT), "pii-trusted")
     rank = F.row_number().over(Window.partitionBy("row", "start", "end").orderBy(
         F.col("confidence").desc(), _number(F.col("kind"))))
+    taken = edges.select("kind", "context", "instance").join(trust, ["kind", "instance"])
     return (
-        places.withColumn("instance", F.lower("core")).join(trust, ["kind", "instance"])
+        places.join(taken, ["context", "instance"])
         .withColumn("r", rank).where("r = 1").select("row", "kind", "start", "end", "confidence")
     )
 

@@ -184,6 +184,29 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[31]["spans"] == got[32]["spans"] == ""
 
 
+def discovered_spans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.digest(pii.spans(df)).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+def test_three_seeds_make_a_context(spark):
+    texts = [f"kunde ruf unter +49 30 123456{i} an" for i in range(3)] + ["nun ruf unter 030-987654 an"]
+    texts = texts[:3] * 4 + texts[3:]
+    assert discovered_spans(spark, texts)[-1]["spans"] == "phone:14:24"
+
+
+def test_contexts_of_several_kinds_confirm_together(spark):
+    """Phones and e-mails stand behind both cues; neither alone is sure of phones."""
+    texts = []
+    for cue in ("write me at", "reach us under"):
+        texts += [f"{cue} +49 30 123456{i} now" for i in range(6)]
+        texts += [f"{cue} joe{i}@mail.example now" for i in range(4)]
+        texts += [f"{cue} 030-987654 now"]
+    got = discovered_spans(spark, texts)
+    assert got[10]["spans"] == "phone:12:22" and got[21]["spans"] == "phone:15:25"
+
+
 # ---- chat
 
 def test_round_trip(spark):
