@@ -5,14 +5,22 @@ matches that fail the kind's check are dropped. They seed a bootstrap:
 
 1. The two words left of a seed are a lexical pattern for its kind. A pattern needs
    ``MIN_SEEDS`` distinct seeds.
-2. Tokens with a digit or an at sign outside all seeds are candidate instances.
-   Patterns and instances form a graph, an edge for each context in which an
-   instance stands.
+2. Tokens with a digit or an at sign outside all seeds are candidate instances, and
+   so is a run of number tokens with only blanks between them, unless each of them
+   has the shape of a kind alone, as in a list. Patterns and instances form a graph,
+   an edge for each context in which an instance stands.
 3. A pattern's confidence is the confidence of the instances in it by the number of
-   times its two words occur in the corpus, whatever follows; an instance's is one
+   times its two words occur in the corpus, whatever follows, further entries of a
+   list behind them counted too; an instance's is one
    less the product of its patterns' doubts. Seeds have confidence one. ``ROUNDS``
    rounds are made.
-4. Candidates of confidence ``ACCEPT`` or more that look like their kind are added.
+4. Candidates of confidence ``ACCEPT`` or more that look like their kind are added; of
+   a run that is added, the tokens alone are not.
+
+The two words are looked for in the whole text before the token, tokens with a digit or
+an at sign left out, by one rule for seeds, candidates and totals: each entry of a list
+has the words before the list. A token begins after white space, a colon or an equals
+sign.
 
 Dividing by all occurrences keeps patterns apart from words that merely happen to
 stand before an entity now and then.
@@ -46,13 +54,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+TOKEN = r"(?<![^\s:=])[^\s:=0-9@]*+[0-9@]\S*+"
+#: number tokens that another may follow, and that may follow another, in one number
+LEADING = r"^[+(]*+[0-9][0-9().-]*+(?<=[0-9)])$"
+FOLLOWING = r"^\(?[0-9][0-9().-]*+[^\p{L}\p{N}]*+$"
 #: what a text must contain for its kind to be looked for
 HINT = {"email": "@", "phone": "+"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-#: code points of context kept on the left
-REACH = 80
 MIN_SEEDS = 3
 ROUNDS = 3
 ACCEPT = 0.8
@@ -63,13 +72,19 @@ SHAPES = {
     "card": r"^(?=(?:[^0-9]*[0-9]){8})[0-9-]+$",
     "phone": r"^(?=(?:[^0-9]*[0-9]){6})[+(]?[0-9().-]+$",
 }
+#: the same for runs, which are joined by spaces
+RUN_SHAPES = {
+    "card": r"^(?=(?:[^0-9]*[0-9]){8})(?!(?:[^0-9]*[0-9]){20})[0-9-]+(?: [0-9-]+)+$",
+    "phone": r"^(?=(?:[^0-9]*[0-9]){6})(?!(?:[^0-9]*[0-9]){16})[+(]?[0-9().-]+(?: [0-9().-]+)+$",
+}
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """(kind, i, value, gap, left) of each match, in order.
+    """(kind, i, value, gap, words, blank) of each match, in order.
 
-    ``gap`` is the length of the text between the match before and this one,
-    ``left`` the end of that text.
+    ``gap`` is the length of the text between the match before and this one; for
+    tokens, ``words`` are its last two words, the last one first, and ``blank`` says
+    that it is spaces only.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if kind in HINT:
@@ -77,13 +92,18 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
             F.array().cast("array<string>"))
     pieces = F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(
         F.array().cast("array<string>"))
+
+    def words(before):
+        return F.slice(F.reverse(_plain_words(before)), 1, 2) if kind == "token" else F.array().cast(
+            "array<string>")
+
     return F.transform(
         F.arrays_zip(found.alias("value"), F.slice(pieces, F.lit(1), F.size(found))
                      .alias("before")),
         lambda z, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("i"), z["value"].alias("value"),
             F.length(z["before"]).alias("gap"),
-            F.right(z["before"], F.lit(REACH)).alias("left")))
+            words(z["before"]).alias("words"), z["before"].rlike(r"^[ \t]+$").alias("blank")))
 
 
 def _valid(kind: Column, value: Column) -> Column:
@@ -103,10 +123,11 @@ def _plain_words(text: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All matches and tokens with their positions, and a row for texts without any.
+    """All valid matches and tokens with their positions, and a row for texts without any.
 
-    ``row`` numbers the input rows, ``context`` is a hash of the two words before
-    (null if there are not two), ``base`` marks valid matches.
+    ``row`` numbers the input rows, ``base`` marks valid matches. For tokens, ``context``
+    is a hash of the two words before (null if there are not two) and ``fresh`` marks
+    those with a word since the last token.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     events = F.concat(
@@ -119,56 +140,103 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     length = F.length("value")
     along = Window.partitionBy("row", "kind").orderBy("i")
     start = F.sum(F.col("gap") + length).over(along) - length
-    before = _plain_words(F.col("left"))
+    past = along.rowsBetween(Window.unboundedPreceding, -1)
+    last, second = F.get("words", F.lit(0)), F.coalesce(F.get("words", F.lit(1)), F.col("earlier"))
     return written(
         rows.withColumn("start", start).withColumn("end", F.col("start") + length)
-        .withColumn("w", before)
+        .withColumn("earlier", F.last(last, ignorenulls=True).over(past))
+        .withColumn("pair", F.when(
+            last.isNotNull() & second.isNotNull(), F.xxhash64(second, last)))
+        .withColumn("context", F.last("pair", ignorenulls=True).over(
+            along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .select(
-            "row", "doc_id", "kind", "value", "start", "end",
-            F.when(F.size("w") >= 2, F.xxhash64(
-                F.element_at("w", -2), F.element_at("w", -1))).alias("context"),
-            F.coalesce(_valid(F.col("kind"), F.col("value")), F.lit(False)).alias("base")),
+            "row", "doc_id", "kind", "value", "start", "end", "context",
+            last.isNotNull().alias("fresh"), "blank",
+            F.coalesce(_valid(F.col("kind"), F.col("value")), F.lit(False)).alias("base"))
+        .where("kind is null or kind = 'token' or base"),
         "pii-occurrences")
 
 
-def _candidates(found: DataFrame) -> DataFrame:
-    """Tokens that touch no base entity, without the punctuation around them.
+def _places(found: DataFrame) -> DataFrame:
+    """Base entities and tokens, both with the context of the token they begin in.
 
-    Only those that have the shape of some kind.
+    Of tokens, ``free`` ones touch no base entity, ``run`` numbers the runs of a text,
+    ``single`` marks tokens that are a run alone, and ``entry`` the tokens that stand
+    behind a context as a further entry of a list.
     """
-    spans = found.where("base or kind = 'token'")
-    order = [F.col("start"), F.col("base").desc()]
-    ahead = Window.partitionBy("row").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    behind = Window.partitionBy("row").orderBy(*order).rowsBetween(
-        Window.currentRow, Window.unboundedFollowing)
-    core = F.regexp_replace(F.regexp_replace("value", r"^[^\p{L}\p{N}+(]+", ""),
-                            r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
-    lead = F.length("value") - F.length(F.regexp_replace("value", r"^[^\p{L}\p{N}+(]+", ""))
-    return (
-        spans.withColumn("reached", F.max(F.when(F.col("base"), F.col("end"))).over(ahead))
+    # a token comes before a base entity that begins with it
+    order = Window.partitionBy("row").orderBy("start", "base")
+    ahead = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    token, value = ~F.col("base"), F.col("value")
+    free = token & F.coalesce(F.col("reached") <= F.col("start"), F.lit(True)) & F.coalesce(
+        F.col("next") >= F.col("end"), F.lit(True))
+    # what stands between two free tokens is no base entity
+    joint = F.col("free") & F.col("blank") & value.rlike(FOLLOWING) & F.coalesce(
+        F.lag(F.col("free") & value.rlike(LEADING)).over(order), F.lit(False))
+    inside = F.coalesce(F.col("reached") > F.col("start"), F.lit(False))
+    return written(
+        found.where("kind is not null")
+        .withColumn("reached", F.max(F.when(F.col("base"), F.col("end"))).over(ahead))
         .withColumn("next", F.min(F.when(F.col("base"), F.col("start"))).over(behind))
-        .where("kind = 'token' and context is not null "
-               "and coalesce(reached <= start, true) and coalesce(next >= end, true)")
-        .select("row", "context", (F.col("start") + lead).alias("start"), core.alias("core"))
-        .withColumn("end", F.col("start") + F.length("core"))
-        .where(_any([F.col("core").rlike(rule) for rule in SHAPES.values()]))
+        .withColumn("context", F.last(F.when(token, F.struct("context")), ignorenulls=True)
+                    .over(ahead)["context"])
+        .withColumn("free", free).withColumn("joint", joint)
+        .withColumn("run", F.sum(F.when(F.col("joint"), 0).otherwise(1)).over(ahead))
+        .withColumn("single", ~F.col("joint") & ~F.coalesce(
+            F.lead("joint").over(order), F.lit(False)))
+        .withColumn("entry", token & ~F.col("fresh") & ~F.col("joint") & ~inside)
+        .where("context is not null")
+        .select("row", "kind", "value", "start", "end", "context", "base", "free", "run",
+                "single", "entry"), "pii-places")
+
+
+def _candidates(places: DataFrame) -> DataFrame:
+    """Free tokens and runs without the punctuation around them, if a kind has their shape."""
+    kept = F.regexp_replace("value", r"^[^\p{L}\p{N}+(]+", "")
+    core = F.regexp_replace(kept, r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
+    free = places.where("free")
+
+    def trimmed(df, shapes):
+        return df.select(
+            "row", "run", "context", "whole", core.alias("core"),
+            (F.col("start") + F.length("value") - F.length(kept)).alias("start"),
+            (F.col("end") - F.length(kept) + F.length(core)).alias("end"),
+        ).where(_any([F.col("core").rlike(rule) for rule in shapes.values()]))
+
+    # in a list, each token is a number of its own
+    alone = _any([core.rlike(rule) for rule in SHAPES.values()])
+    runs = (
+        free.where("not single").groupBy("row", "run", "context").agg(
+            F.min("start").alias("start"), F.max("end").alias("end"),
+            F.min(alone).alias("is_list"),
+            F.array_sort(F.collect_list(F.struct("start", "value"))).alias("parts"))
+        .where("not is_list")
+        .withColumn("value", F.array_join(F.col("parts")["value"], " "))
     )
+    return trimmed(free.withColumn("whole", F.lit(False)), SHAPES).unionByName(
+        trimmed(runs.withColumn("whole", F.lit(True)), RUN_SHAPES))
 
 
 def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def _corpus_counts(docs: DataFrame, text_col: str, contexts: DataFrame, n: int) -> DataFrame:
-    """(context, total): how often each context occurs in all texts."""
-    w = _plain_words(F.coalesce(F.col(text_col), F.lit("")))
+def _corpus_counts(
+    docs: DataFrame, text_col: str, places: DataFrame, contexts: DataFrame, n: int,
+) -> DataFrame:
+    """(context, total): how often each context occurs in all texts.
+
+    Each further entry of a list is one more occurrence of the words before the list.
+    """
+    w = _plain_words(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), TOKEN, " "))
     pairs = F.when(F.size("w") >= 2, F.transform(
         F.sequence(F.lit(0), F.size("w") - 2),
         lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))).otherwise(
         F.array().cast("array<long>"))
     return (
         docs.select(w.alias("w")).select(F.explode(pairs).alias("context"))
+        .unionByName(places.where("entry").select("context"))
         .groupBy("context").agg(F.count(F.lit(1)).alias("total"))
         .join(small(contexts, n), "context")
     )
@@ -176,7 +244,8 @@ def _corpus_counts(docs: DataFrame, text_col: str, contexts: DataFrame, n: int)
 
 def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, kind, start, end, confidence) of identifiers found by their contexts."""
-    seeds = found.where("base and context is not null").groupBy(
+    places = _places(found)
+    seeds = places.where("base").groupBy(
         "kind", "context", F.lower("value").alias("instance")).agg(F.count(F.lit(1)).alias("n"))
     patterns = written(
         seeds.groupBy("kind", "context").agg(
@@ -184,12 +253,14 @@ def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
         .where(F.col("seeds") >= MIN_SEEDS), "pii-patterns")
     n = patterns.count()
     counts = written(_corpus_counts(
-        docs, text_col, patterns.select("context").distinct(), n), "pii-contexts")
+        docs, text_col, places, patterns.select("context").distinct(), n), "pii-contexts")
     patterns = patterns.join(small(counts, n), "context")
-    places = written(_candidates(found).withColumn("instance", F.lower("core")), "pii-candidates")
-    fits = _any([(F.col("kind") == k) & F.col("instance").rlike(r) for k, r in SHAPES.items()])
+    candidates = written(
+        _candidates(places).withColumn("instance", F.lower("core")), "pii-candidates")
+    fits = _any([(F.col("kind") == k) & F.col("instance").rlike(r)
+                 for k, r in [*SHAPES.items(), *RUN_SHAPES.items()]])
     edges = written(
-        places.groupBy("context", "instance").agg(F.count(F.lit(1)).alias("n"))
+        candidates.groupBy("context", "instance").agg(F.count(F.lit(1)).alias("n"))
         .join(small(patterns.select("context", "kind", "weight", "total"), n), "context")
         .where(fits), "pii-edges")
     trust = edges.select("kind", "instance").distinct().withColumn("confidence", F.lit(0.0))
@@ -206,8 +277,10 @@ def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text") -> Dat
     rank = F.row_number().over(Window.partitionBy("row", "start", "end").orderBy(
         F.col("confidence").desc(), _number(F.col("kind"))))
     taken = edges.select("kind", "context", "instance").join(trust, ["kind", "instance"])
+    in_run = F.max("whole").over(Window.partitionBy("row", "run"))
     return (
-        places.join(taken, ["context", "instance"])
+        candidates.join(taken, ["context", "instance"])
+        .withColumn("in_run", in_run).where("whole or not in_run")
         .withColumn("r", rank).where("r = 1").select("row", "kind", "start", "end", "confidence")
     )
 

@@ -207,6 +207,30 @@ def test_contexts_of_several_kinds_confirm_together(spark):
     assert got[10]["spans"] == "phone:12:22" and got[21]["spans"] == "phone:15:25"
 
 
+def test_contexts_reach_over_numbers(spark):
+    """Numbers of several tokens, words before another number, entries of a list."""
+    cue = "ruf uns unter"
+    cards = ["4111 1111 1111 1111", "5500 0055 5555 5559", "4012 8888 8888 1881"]
+    seeds = [f"heute {cue} +1 (017) 555-7{i:03} an" for i in range(20)]
+    seeds += [f"mit karte nummer {c} zahlen" for c in cards * 4]
+    cases = [
+        (f"{cue} (017) 555-7713 an", ["phone:(017) 555-7713"]),
+        (f"{cue} 030  1234567. ende", ["phone:030  1234567"]),
+        ("ruf uns 4711 unter 1234567 an", ["phone:1234567"]),
+        (f"{cue} 030-987654, (017) 555-1234, 040-123456 an",
+         ["phone:030-987654", "phone:(017) 555-1234", "phone:040-123456"]),
+        (f"{cue} 1234567 7654321 an", ["phone:1234567", "phone:7654321"]),
+        (f"{cue}:030-987651", ["phone:030-987651"]),
+        ("mit karte nummer 4111 1111 1111 1112 zahlen", ["card:4111 1111 1111 1112"]),
+        ("mit karte ohne 4111 1111 1111 1113 zahlen", []),
+    ]
+    got = discovered_spans(spark, seeds + [text for text, _ in cases])[len(seeds):]
+    for (text, want), r in zip(cases, got):
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        assert [f"{k}:{text[int(a):int(b)]}" for k, a, b in spans] == want, text
+        assert r["n_discovered"] == len(want)
+
+
 # ---- chat
 
 def test_round_trip(spark):
