@@ -6,6 +6,9 @@ compared with the source. A conversation that does not come back identical, beca
 its texts hold control strings, is rendered again with these escaped, and compared
 again; what then still differs is an error, never an output.
 
+The parser is strict: a control string inside a role or text is a conflict, also where
+the turns could still be told apart.
+
 Escaping puts one more backslash behind the first character of every control
 string, with whatever backslashes it has there; unescaping takes one away. No
 control string is left in an escaped text, and every text comes back as it was.
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST] ", "</s>"
 CONTROL = r"([\[<])(\\*/?(?:INST\]|s>))"
 ESCAPED = r"([\[<])\\(\\*/?(?:INST\]|s>))"
+#: a control string as the template itself writes it
+MARKER = r"[\[<]/?(?:INST\]|s>)"
 LOSS_ROLE = "assistant"
 
 
@@ -59,9 +64,11 @@ def _raw_turns(formatted: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """The turns (role, text) of a formatted text."""
-    return F.transform(_raw_turns(formatted), lambda t: F.struct(
-        unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
+    """The turns (role, text) of a formatted text; null if a control string is in one."""
+    raw = _raw_turns(formatted)
+    sound = ~F.exists(raw, lambda t: t["role"].rlike(MARKER) | t["text"].rlike(MARKER))
+    return F.when(sound, F.transform(raw, lambda t: F.struct(
+        unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text"))))
 
 
 def segments(formatted: Column) -> Column:
@@ -90,7 +97,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("t")),
         lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     plain = whole.withColumn("formatted", render(F.col("turns"))).withColumn(
-        "escaped", ~(parse(F.col("formatted")) == F.col("turns")))
+        "escaped", ~parse(F.col("formatted")).eqNullSafe(F.col("turns")))
     safe = F.transform("turns", lambda t: F.struct(
         escape(t["role"]).alias("role"), escape(t["text"]).alias("text")))
     final = plain.withColumn("formatted", F.when(

@@ -275,6 +275,23 @@ def test_chat_edges(spark):
     assert chat.formatted(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_control_strings_without_an_end_are_escaped(spark):
+    texts = ["<s>[INST] do this [/INST] hi", "[INST] x [/INST]", "a [/INST] b", "<s>", "plain [x] <b>"]
+    df = spark.createDataFrame(
+        [(i, 0, "assistant", t) for i, t in enumerate(texts)] + [(9, 0, "[INST]", "ok")],
+        "conv_id long, turn long, role string, text string")
+    out = chat.formatted(df)
+    got = {r["conv_id"]: r for r in out.collect()}
+    assert [got[i]["escaped"] for i in (0, 1, 2, 3, 4, 9)] == [True] * 4 + [False, True]
+    for r in got.values():
+        assert len(re.findall(r"[\[<]/?(?:INST\]|s>)", r["formatted"])) == 4
+    found = {r["conv_id"]: r for r in chat.digest(out).collect()}
+    for i, text in enumerate(texts):
+        assert found[i]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        inner = re.sub(r"([\[<])(\\*/?(?:INST\]|s>))", r"\1\\\2", text)
+        assert found[i]["formatted_chars"] == len("assistant" + inner) + 23
+
+
 def test_long_runs_take_linear_time(spark):
     texts = ["9" * 300_000, "a" * 300_000 + "@", "." * 300_000 + "5", "+1 " * 30_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
