@@ -3,8 +3,10 @@
 A text becomes a vector of hashed character 1- to 3-grams over its letters,
 weighted by TF-IDF and scaled to length one. Each language has several centroids
 (spherical k-means over labelled texts); a text gets the language of the centroid
-with the largest cosine. A text further from its centroid than anything of its
-length seen in training, by a margin, is rejected.
+with the largest cosine. A text is rejected if its cosine is below ``margin`` times a
+low quantile of the cosines of labelled texts of its length that their centroids were
+not learned from: half of the texts are measured with the centroids of the other half.
+A centroid whose texts lie further out than those of its length has its own limit.
 
 Cases: null text, empty text and text without letters give ``und``, score 0 and
 are rejected; texts are read whole, in pieces of bounded size; ties go to the
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 DIMENSIONS = 1 << 12
 PIECE = 1 << 20
 UNKNOWN = "und"
+#: the quantile of held-out cosines that limits a length, and the texts it needs
+QUANTILE, ENOUGH = 0.02, 100
 RESULT = "lang_pred string, score double, rejected boolean"
 
 
@@ -119,7 +123,7 @@ def fit(
     allowed: Column,
     sample_rows: int = 2000,
     centroids: int = 4,
-    margin: float = 0.3,
+    margin: float = 0.75,
 ) -> Model:
     """Learn from rows of ``docs`` (doc_id, text, lang) where ``allowed`` holds.
 
@@ -161,24 +165,40 @@ def _fitted(found: list[tuple[str, bytes, int]], centroids: int, margin: float)
     idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
     x, langs = _scaled(raw, idf), np.array([lang for lang, _, _ in found])
     lengths = _length_class(np.array([n for _, _, n in found]))
+    centres, names = _centroids(x, langs, centroids)
+    best = np.argmax(x @ centres.T, axis=1)
+    top = _held_out(x, langs, centroids)
+    floor = np.zeros((len(centres), 32))
+    for c in range(lengths.min(), 32):
+        # a length with few texts is judged with those next to it
+        apart = np.abs(lengths - c)
+        seen = top[apart <= next(d for d in range(32) if (apart <= d).sum() >= min(
+            ENOUGH, len(top)))]
+        floor[:, c] = margin * np.quantile(seen, QUANTILE)
+        for k in range(len(centres)):
+            own = top[(lengths == c) & (best == k)]
+            if len(own) >= ENOUGH:
+                floor[k, c] = min(floor[k, c], margin * np.quantile(own, QUANTILE))
+    return Model(centres, names, idf, floor)
+
+
+def _centroids(x: np.ndarray, langs: np.ndarray, k: int) -> tuple[np.ndarray, tuple[str, ...]]:
     parts, names = [], []
     for lang in sorted(set(langs)):
-        centres = _clusters(x[langs == lang], centroids)
+        centres = _clusters(x[langs == lang], k)
         parts.append(centres)
         names += [str(lang)] * len(centres)
-    centres = np.concatenate(parts).astype(np.float32)
-    cosine = x @ centres.T
-    best = np.argmax(cosine, axis=1)
-    top = cosine.max(axis=1)
-    common, floor = np.zeros(32), np.zeros((len(centres), 32))
-    for c in range(32):
-        seen = top[lengths == c]
-        # lengths that were not seen get the limit of the next shorter ones
-        common[c] = margin * seen.min() if len(seen) else common[c - 1] if c else 0.0
-        for k in range(len(centres)):
-            own = top[(lengths == c) & (best == k)]
-            floor[k, c] = margin * own.min() if len(own) else common[c]
-    return Model(centres, tuple(names), idf, floor)
+    return np.concatenate(parts).astype(np.float32), tuple(names)
+
+
+def _held_out(x: np.ndarray, langs: np.ndarray, k: int) -> np.ndarray:
+    """The best cosine of each text with centroids learned from the other half."""
+    # rows are sorted by language, so both halves have all languages of two or more texts
+    half, top = np.arange(len(x)) % 2 == 0, np.zeros(len(x))
+    for one in (half, ~half):
+        if one.any() and (~one).any():
+            top[one] = (x[one] @ _centroids(x[~one], langs[~one], k)[0].T).max(axis=1)
+    return top
 
 
 def predict(text: Column, model: Model) -> Column:

@@ -61,6 +61,33 @@ def test_language_edges(spark, edges, no_docs):
     assert no_docs.select(langid.predict(F.col("text"), model)).count() == 0
 
 
+POLISH = ("W małym miasteczku nad rzeką mieszkał stary zegarmistrz, który codziennie otwierał "
+          "swój warsztat przed świtem i naprawiał zegary całej okolicy. ")
+FINNISH = ("Pienessä kaupungissa joen varrella asui vanha kelloseppä, joka avasi pajansa joka "
+           "aamu ennen auringonnousua ja korjasi koko seudun kellot. ")
+TURKISH = ("Nehir kıyısındaki küçük kasabada yaşlı bir saatçi yaşardı, her sabah dükkânını açar "
+           "ve bütün çevrenin saatlerini onarırdı. ")
+
+
+def test_latin_junk_and_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, bucket(docs) != 1)
+    rnd = random.Random(3)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    odd = []
+    for n in (100, 200, 500, 1000, 3000):
+        odd += [(f"{name} {n}", (text * 50)[:n]) for name, text in (
+            ("pl", POLISH), ("fi", FINNISH), ("tr", TURKISH))]
+        odd += [(f"base64 {n}", "".join(rnd.choices(base64, k=n))),
+                (f"letters {n}", "".join(rnd.choices(base64[26:52] + " ", k=n)))]
+    found = spark.createDataFrame(odd, "name string, text string").select(
+        "name", langid.predict(F.col("text"), model).alias("p")).select("name", "p.*").collect()
+    assert [r["name"] for r in found if not r["rejected"]] == []
+    clean = docs.where((bucket(docs) == 1) & (F.length("text") > 0)).select(
+        langid.predict(F.col("text"), model)["rejected"].alias("r")).collect()
+    assert sum(r["r"] for r in clean) <= 0.005 * len(clean)
+
+
 def test_unlike_texts_are_rejected(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = langid.fit(docs, F.lit(True))
