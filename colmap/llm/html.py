@@ -9,7 +9,8 @@ good wins, and where nothing is decided the block is kept.
 
 If an ``article`` or ``main`` element has good blocks, only such elements count, and
 in them lack of stop words alone does not make a block bad: stop words are known for
-some languages only.
+some languages only. Where no long block of a page has their density, its language is
+not one of these, and its other blocks are judged by length and links alone.
 
 Cases: null and empty pages give an empty text; pages are read whole, in one pass;
 unclosed and stray tags end with what contains them; repeated pages give equal
@@ -217,20 +218,29 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def _first_pass(block: Block) -> bool | None:
-    if block.boilerplate:
-        return False
-    length = len(block.text)
+def _by_links(block: Block) -> bool:
     density = block.link_chars / max(1, len(block.text.replace(" ", "")))
-    if density > LINK_DENSITY or block.text[0] == "©":
-        return False
-    if length < SHORT:
-        return None
+    return block.boilerplate or density > LINK_DENSITY or block.text[0] == "©"
+
+
+def _stops(block: Block) -> float:
     tokens = block.text.lower().split()
-    stops = sum(t.strip(".,;:!?\"'()") in STOP_WORDS for t in tokens) / len(tokens)
-    if stops >= STOP_HIGH or (stops >= STOP_LOW and length > 2 * SHORT):
-        return True
-    return None if block.main or stops >= STOP_LOW else False
+    return sum(t.strip(".,;:!?\"'()") in STOP_WORDS for t in tokens) / len(tokens)
+
+
+def _first_pass(found: list[Block]) -> None:
+    bad = [_by_links(b) for b in found]
+    stops = [None if out or len(b.text) < SHORT else _stops(b) for b, out in zip(found, bad)]
+    known = any(s is not None and s >= STOP_LOW for s in stops)
+    for b, out, s in zip(found, bad, stops):
+        if out:
+            b.label = False
+        elif s is None:
+            b.label = None
+        elif s >= STOP_HIGH or (s >= STOP_LOW and len(b.text) > 2 * SHORT):
+            b.label = True
+        else:
+            b.label = None if b.main or s >= STOP_LOW else not known
 
 
 def _second_pass(found: list[Block]) -> None:
@@ -252,8 +262,7 @@ def _second_pass(found: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by line ends."""
     found = blocks(page or "")
-    for b in found:
-        b.label = _first_pass(b)
+    _first_pass(found)
     if any(b.main and not b.boilerplate and b.label is not False for b in found):
         found = [b for b in found if b.main and not b.boilerplate]
     _second_pass(found)

@@ -131,6 +131,28 @@ def test_rules_without_article():
     assert len(got) == 4 and got[0] == "odd" and got[2] == "Short."
 
 
+FOREIGN = {
+    "pl": "W małym miasteczku nad rzeką mieszkał stary zegarmistrz, który codziennie otwierał "
+          "swój warsztat przed świtem i naprawiał zegary całej okolicy. ",
+    "ru": "В маленьком городке у реки жил старый часовщик, который каждое утро открывал свою "
+          "мастерскую и чинил часы всей округи. ",
+    "tr": "Nehir kıyısındaki küçük kasabada yaşlı bir saatçi yaşardı, her sabah dükkânını açar "
+          "ve bütün çevrenin saatlerini onarırdı. ",
+    "zh": "河边的小镇上住着一位老钟表匠，他每天清晨打开作坊，为附近所有的人修理钟表。" * 3,
+}
+
+
+@pytest.mark.parametrize("lang", FOREIGN)
+def test_pages_in_languages_without_stop_words(lang):
+    """No article, no main element: length and links decide."""
+    text = FOREIGN[lang].strip()
+    links = "<div>" + "<a href=x>link one</a> " * 20 + "</div>"
+    page = (f"<body>{links}<div><h1>Tytuł</h1><p>{text}</p><p>Tak.</p><p>{text}</p></div>"
+            f"{links}<div>© 2020</div></body>")
+    got = html.main_text(page).split("\n")
+    assert got[-3:] == [text, "Tak.", text] and not any("link" in b or "©" in b for b in got)
+
+
 def test_hostile_pages_take_linear_time():
     for page in ("<a " * 100_000, '<a b="' * 100_000, "<p>" * 100_000, "<b>x" * 100_000,
                  "<div>" * 20_000 + "x", "<!--" * 100_000, "&amp" * 100_000):
