@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +41,25 @@ def quoted(name: str) -> Column:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df``, to be broadcast if its counted ``rows`` are few; else joins shuffle it."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+class Remembered(dict):
+    """Results of ``make`` by key; at most ``size`` of them, those of late use.
+
+    There are two generations. When the newer one holds half of ``size`` it becomes
+    the older one, whose entries come back when they are asked for again.
+    """
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.half, self.older = make, max(size // 2, 1), {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -3,10 +3,25 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colmap.llm import chat, decontam, html, langid, mixing, pii, search, sharding, simhash, tokens
+from colmap.llm import (
+    chat,
+    decontam,
+    html,
+    importance,
+    langid,
+    mixing,
+    periodic,
+    pieces,
+    pii,
+    search,
+    sharding,
+    simhash,
+    tokens,
+)
+from colmap.llm.common import words
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -73,6 +88,49 @@ def op7_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(docs, asked, k=10)
 
 
+def op11_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = table(spark, sf, "documents").select(
+        "doc_id", pieces.encoded(F.col("text"), path).alias("found"))
+    ids = F.col("found.ids")
+    return found.select(
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("found.decoded"), 256).alias("decoded_sha256"))
+
+
+def _repeating(doc_id: Column, listed: Column) -> Column:
+    """Words of every tenth document, by the hash of its id, made to repeat."""
+    h, n = F.crc32(doc_id.cast("string")), F.size(listed)
+    g = F.floor(h / 10)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    place = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.when(
+        i < a, i).otherwise(a + F.pmod(i - a, p)))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.transform(
+        place, lambda i: F.get(listed, i.cast("int")))).otherwise(listed)
+
+
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    listed = table(spark, sf, "documents").select("doc_id", words(F.col("text")).alias("words"))
+    found = listed.select("doc_id", periodic.runs(
+        _repeating(F.col("doc_id"), F.col("words"))).alias("found"))
+    runs = F.col("found.runs")
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(
+        ",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    best = F.col("best")
+    return found.withColumn("best", periodic.strongest(runs)).select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("found.collapsed"), 256).alias("collapsed_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf: str) -> DataFrame:
+    return importance.resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
@@ -84,6 +142,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_token_ids": op10_token_ids,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_importance": op13_importance,
 }
 
 ORACLES: dict[str, str] = {
