@@ -28,7 +28,6 @@ import re
 from array import array
 from collections.abc import Callable, Iterable
 from functools import cache
-from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -40,15 +39,21 @@ from colmap.llm.common import Remembered
 SPACE = "▁"
 ENCODED = "struct<ids array<int>, decoded string>"
 #: units, and pairs of pieces, that a worker remembers
-UNITS = 300_000
+UNITS = 700_000
 PAIRS = 200_000
 #: characters of texts that are handled together
 GROUP_CHARS = 1 << 18
 
 
-def merged(text: str, rank: dict[str, int]) -> list[str]:
-    """``text`` after all merges, best rank first and leftmost among equals."""
+#: what comes after the last merge
+LAST = (1 << 60, "")
+
+
+def merges(text: str, rank: dict[str, int]) -> tuple[list[str], list[tuple[int, str]], list]:
+    """The pieces left after all merges of ``text``, best rank first and leftmost among
+    equals; and of each merge the rank with the last piece, and with the first piece."""
     parts = list(text)
+    ends, starts = [], []
     while len(parts) > 1:
         best, at = None, -1
         for i in range(len(parts) - 1):
@@ -58,7 +63,9 @@ def merged(text: str, rank: dict[str, int]) -> list[str]:
         if best is None:
             break
         parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+        ends.append((best, parts[-1]))
+        starts.append((best, parts[0]))
+    return parts, [*ends, LAST], [*starts, LAST]
 
 
 LETTERS, OTHERS = r"[^\W\d_]+", rf"(?:[^{SPACE}\w]|[\d_])+"
@@ -95,64 +102,97 @@ class PieceEncoder:
         self.rank = {model.id_to_piece(i): r for r, i in enumerate(order)}
         self.search = ahocorasick.Automaton()
         for piece in self.ids:
-            self.search.add_word(piece, piece)
+            self.search.add_word(piece, (len(piece) - 1, piece))
         self.search.make_automaton()
         # the next shorter piece that a piece starts with
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids),
                                 p[0] if len(p) > 1 else None) for p in self.ids}
         self.units = _units(self.ids)
+        self.steps = Remembered(self._merges, 1 << 20)  # one per piece or character
         self.compatible = Remembered(self._merges_back, PAIRS)
         self.known = Remembered(self._unit_ids, UNITS)
 
+    def _merges(self, piece: str):
+        """The merges that make a piece, or none if they make something else."""
+        parts, ends, starts = merges(piece, self.rank)
+        return (ends, starts) if len(parts) == 1 else ()
+
     def _merges_back(self, pair: tuple[str, str]) -> bool:
-        """Do two pieces come back when their joint text is merged?"""
+        """Do two pieces come back when their joint text is merged?
+
+        Their own merges are gone through in the order of the joint text; none of the
+        unions across the boundary may come first.
+        """
         left, right = pair
-        return merged(left + right, self.rank) == [p for p in pair if p]
+        if not right or not self.steps[right] or left and not self.steps[left]:
+            return False
+        if not left:
+            return True
+        ends, starts = self.steps[left][0], self.steps[right][1]
+        rank, i, j, last, first = self.rank.get, 0, 0, left[-1], right[0]
+        while True:
+            across, (on_left, longer), (on_right, wider) = rank(last + first), ends[i], starts[j]
+            # of equal ranks the leftmost comes first
+            if across is not None and across < on_left and across <= on_right:
+                return False
+            if on_left <= on_right:
+                if on_left == LAST[0]:
+                    return True
+                i, last = i + 1, longer
+            else:
+                j, first = j + 1, wider
 
     def pieces(self, unit: str) -> list[str]:
         """The pieces of a text without normalization, by backtracking."""
-        longest: list[str] = list(unit)
-        for end, piece in self.search.iter(unit):
-            longest[end - len(piece) + 1] = piece  # longer ones end later
-        failed = bytearray(len(unit) // 8 + 1)
+        longest, size = list(unit), len(unit)
+        for end, (before_end, piece) in self.search.iter(unit):
+            longest[end - before_end] = piece  # longer ones end later
         compatible, shorter = self.compatible, self.shorter
+        failed, any_failed = bytearray(size // 8 + 1), False
         taken: list[str] = []
-        at, piece, before = 0, longest[0] if unit else None, ""
-        while at < len(unit):
+        at, before = 0, ""
+        piece = longest[0] if unit else None
+        while at < size:
             while piece is not None:
-                end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and compatible[before, piece]:
-                    break
+                if compatible[before, piece]:
+                    end = at + len(piece)
+                    if not any_failed or not failed[end >> 3] >> (end & 7) & 1:
+                        break
                 piece = shorter.get(piece)
             if piece is not None:
                 taken.append(piece)
                 at, before = end, piece
-                piece = longest[at] if at < len(unit) else None
+                if at < size:
+                    piece = longest[at]
                 continue
             failed[at >> 3] |= 1 << (at & 7)
+            any_failed = True
             piece = taken.pop()
             at -= len(piece)
             before = taken[-1] if taken else ""
         return taken
 
-    def _unit_ids(self, unit: str) -> tuple[int, ...]:
-        found: list[int] = []
-        for piece in self.pieces(unit):
-            i = self.ids.get(piece)
-            if i is not None:
-                found.append(i)
-            elif self.bytes:
-                found += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
-            else:
-                found.append(self.unknown)
-        return tuple(found)
+    def _unit_ids(self, unit: str) -> bytes:
+        found, pieces = [], self.pieces(unit)
+        try:
+            found = [self.ids[p] for p in pieces]
+        except KeyError:
+            for piece in pieces:
+                i = self.ids.get(piece)
+                if i is not None:
+                    found.append(i)
+                elif self.bytes:
+                    found += [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+                else:
+                    found.append(self.unknown)
+        return array("i", found).tobytes()
 
     def encode(self, text: str | None) -> array:
         """The ids of a text."""
         if not text:
             return array("i")
         units = self.units(SPACE + text.replace(" ", SPACE))
-        return array("i", chain.from_iterable(map(self.known.__getitem__, units)))
+        return array("i", b"".join(map(self.known.__getitem__, units)))
 
     def decode(self, ids: array) -> str:
         """The text of ids."""
