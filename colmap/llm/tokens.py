@@ -26,6 +26,7 @@ other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,6 +39,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from colmap.llm.common import Remembered
 from colmap.session import scratch_path, written
 
 MAGIC = b"DACTOK01"
@@ -49,40 +51,40 @@ END = 1
 FILE_TOKENS = 1 << 21
 #: ids that a reader decodes at a time
 READ_TOKENS = 1 << 20
-#: words whose ids a worker remembers
-CACHE_WORDS = 300_000
+#: runs of letters or others whose ids a worker remembers
+CACHE_WORDS = 500_000
 
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 # ---- encoding texts
 
-class WordEncoder(dict):
-    """Ids of texts by word, as little-endian unsigned 32-bit integers.
+class WordEncoder:
+    """Ids of texts as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and encodes what stands between it on its own,
-    so each word is encoded once and then looked up. A word of Latin letters is one
-    token of the pre-tokenizer, in lower case; its ids come from the tokenizer's
-    model alone, which spares most of the time. Marks behind such a word are tokens
-    of their own. All other words go through the whole tokenizer.
+    The tokenizer drops white space, puts letters in lower case and never joins letters
+    with other characters. So a text falls into runs of letters and runs of others, and
+    each run is encoded once and then looked up; runs of letters by the tokenizer's
+    model alone, which spares most of the time. Words with an apostrophe, with ``<``
+    (special tokens) or with letters beyond Latin go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
         self.plain = self._is_expected()
+        self.known = Remembered(self._run_ids, CACHE_WORDS)
 
     def _is_expected(self) -> bool:
         """Whether the short way gives what the whole tokenizer gives."""
-        probes = ("word", "Straße", "Éléphant", "ªºµ", "x" * 40)
-        return all(self._ids(p) == self._model_ids(p.lower()) for p in probes) and all(
-            self._ids(p + m) == self._ids(p) + self._ids(m) for p in probes for m in MARKS)
+        letters = ("word", "Straße", "Éléphant", "ªºµ", "x" * 40)
+        others = (".", "...", "12", ",-3", "?!", "(", "^°")
+        return all(self._ids(a) == self._model_ids(a.lower()) for a in letters) and all(
+            self._ids(a + b + c) == self._ids(a) + self._ids(b) + self._ids(c)
+            for a in letters for b in others for c in letters)
 
     def _ids(self, word: str) -> bytes:
         encoded = self.tokenizer.encode(word, add_special_tokens=False)
@@ -92,47 +94,32 @@ class WordEncoder(dict):
         units = word.encode().decode("latin-1").translate(BYTE_UNITS)
         return np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        ids = self.letters.get(word)
-        if ids is None:
-            if len(self.letters) >= CACHE_WORDS:
-                self.letters.clear()
-            ids = self.letters[word] = self._model_ids(word)
-        return ids
-
-    def _marks(self, marks: str) -> bytes:
-        ids = self.marks.get(marks)
-        if ids is None:
-            if len(self.marks) >= CACHE_WORDS:
-                self.marks.clear()
-            ids = self.marks[marks] = self._ids(marks)
-        return ids
-
-    def learn(self, new: list[bytes]) -> None:
-        for word in new:
-            w = word.decode("utf-8", "surrogatepass")
-            core = w.rstrip(MARKS)
-            if not self.plain or not core.isalpha() or not (
-                    core.isascii() or max(core) < "\u0250" and "\u0130" not in core):
-                self[word] = self._ids(w)
-            elif len(core) == len(w):
-                self[word] = self._letters(core.lower())
+    def _run_ids(self, run: str) -> bytes:
+        return self._model_ids(run) if self.plain and LETTER_RUN.fullmatch(run) else self._ids(run)
+
+    def _runs(self, text: str) -> list[str]:
+        if self.plain and not ODD.search(text):
+            return RUNS.findall(text.lower())
+        runs = []
+        for word in WORDS.findall(text):
+            if not self.plain or ODD.search(word):
+                runs.append(word)
             else:
-                self[word] = self._letters(core.lower()) + self._marks(w[len(core):])
+                runs += RUNS.findall(word.lower())
+        return runs
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; texts are handled in groups of bounded size."""
-        return [ids for group in _groups(texts) for ids in self._encode(group)]
+        """Ids of each text."""
+        known = self.known.__getitem__
+        return [b"".join(map(known, self._runs(t or ""))) for t in texts]
+
 
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [split_words(t) for t in texts]
-        new = list(set().union(*parts) - self.keys())
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(set().union(*parts))
-        self.learn(new)
-        get = self.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+#: characters whose words go through the whole tokenizer
+ODD = re.compile("['<\u0130\u0180-\U0010ffff]")
+_LETTERS = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c != "\u0130")
+LETTER_RUN = re.compile(f"[{_LETTERS}]+")
+RUNS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS} \t-\r]+")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _byte_units() -> dict[int, str]:
@@ -146,25 +133,6 @@ def _byte_units() -> dict[int, str]:
 
 
 BYTE_UNITS = _byte_units()
-#: marks that often follow a word
-MARKS = ".,;:!?#*%&$)\""
-
-
-def _groups(texts: list[str | None], size: int = 1 << 21) -> Iterator[list[str | None]]:
-    group, chars = [], 0
-    for t in texts:
-        if group and chars + len(t or "") > size:
-            yield group
-            group, chars = [], 0
-        group.append(t)
-        chars += len(t or "")
-    if group:
-        yield group
-
-
-def split_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, in UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
 
 
 @cache
