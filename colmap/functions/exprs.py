@@ -49,6 +49,25 @@ def text_array(words: Iterable[str]) -> Column:
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
+def strict_json(text: Column, schema: T.DataType) -> Column:
+    """JSON text read by ``schema`` as the one element of an array; no element, or a
+    null one, if the text is anything else.
+
+    The text is parsed as the only element of a list, since the parser would ignore
+    anything after a bare object; and inside a lambda, which names the result: an
+    expression that is used twice would be parsed twice.
+    """
+    listed = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(schema),
+        {"allowSingleQuotes": "false"})
+    return F.transform(F.array(listed), lambda found: F.when(F.size(found) == 1, F.get(found, 0)))
+
+
+def as_map(text: Column) -> Column:
+    """A JSON object as a map; null if the text is anything else."""
+    return F.get(strict_json(text, T.MapType(T.StringType(), T.StringType())), 0)
+
+
 def no_entries() -> Column:
     return F.array().cast(ENTRIES)
 

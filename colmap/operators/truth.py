@@ -15,18 +15,25 @@ from pyspark.sql import types as T
 from colmap.functions import vocab
 from colmap.functions.exprs import (
     annotation_key,
+    as_map,
     column_key,
     exact_names,
     exact_order,
     first_rows,
     is_data_key,
     quoted,
+    strict_json,
     text_array,
+    text_form,
+    union_all,
     value_key,
 )
+from colmap.operators.bloom import key_bits, perhaps_in
 from colmap.session import written
 
 _MASK_BITS = 63
+#: columns whose distinct values are found in one scan
+SET_COLUMNS = 16
 
 
 def with_json(df: DataFrame, column: str) -> DataFrame:
@@ -36,18 +43,6 @@ def with_json(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.to_json(column, {"ignoreNullFields": "false"}))
 
 
-def as_map(text: Column) -> Column:
-    """A JSON object as a map; null if the text is anything else.
-
-    The text is parsed as the only element of a list, since the parser would ignore
-    anything after a bare object.
-    """
-    listed = F.from_json(
-        F.concat(F.lit("["), text, F.lit("]")), "array<map<string,string>>",
-        {"allowSingleQuotes": "false"})
-    return F.when(F.size(listed) == 1, F.get(listed, 0))
-
-
 def unreadable(text: Column) -> Column:
     """Is a record there that is not a JSON object?"""
     return text.isNotNull() & as_map(text).isNull()
@@ -96,7 +91,7 @@ def first_fields(gt: DataFrame, order: str = "row_id", column: str = "task_data"
 
 def object_keys(text: Column) -> Column:
     """Keys of a JSON object in order; null if the text is anything else."""
-    return F.when(as_map(text).isNotNull(), F.json_object_keys(text))
+    return F.map_keys(as_map(text))
 
 
 def needed(n_gt: Column) -> Column:
@@ -131,13 +126,13 @@ def truth_cells(gt: DataFrame) -> DataFrame:
     """
     parsed = gt.select(
         "dataset", "row_id", as_map(F.col("task_data")).alias("m"),
-        F.json_object_keys("task_data").alias("keys"), F.col("task_data").isNotNull().alias("given"))
+        F.col("task_data").isNotNull().alias("given"))
     lines = parsed.select(
-        "dataset", "row_id", "m", (F.col("given") & F.col("m").isNull()).alias("bad"),
-        F.posexplode_outer(F.when(F.col("m").isNotNull(), F.col("keys"))).alias("pos", "field"))
+        "dataset", "row_id", (F.col("given") & F.col("m").isNull()).alias("bad"),
+        F.posexplode_outer(F.map_entries("m")).alias("pos", "e"))
     return written(
         lines.select(
-            "dataset", "field", value_key(F.try_element_at("m", F.col("field"))).alias("key"),
+            "dataset", F.col("e.key").alias("field"), value_key(F.col("e.value")).alias("key"),
             F.struct("row_id", "pos").alias("place"), "bad")
         .groupBy("dataset", "field", "key")
         .agg(F.min("place").alias("place"), F.bool_or("bad").alias("bad")),
@@ -159,8 +154,8 @@ def fields_of(cells: DataFrame) -> DataFrame:
 def overlap_of(cells: DataFrame, raw: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Matches of ``truth_cells`` with the values of ``raw`` rows.
 
-    Raw values meet the truth's distinct values before anything else, so only those
-    that occur in the truth are shuffled and counted.
+    Raw values meet a filter of the truth's values before anything else, so hardly any
+    that do not occur in the truth are shuffled and counted.
     """
     truth = cells.where(is_data_key(F.col("field")) & F.col("key").isNotNull()).select(
         "dataset", "key", "field")
@@ -168,8 +163,7 @@ def overlap_of(cells: DataFrame, raw: DataFrame, places: DataFrame | None = None
     raw_cells = raw.select(
         "dataset", F.explode(as_map(F.col("row"))).alias("col", "val")
     ).select("dataset", value_key(F.col("val")).alias("key"), "col").where("key is not null")
-    known = raw_cells.join(truth.select("dataset", "key").distinct(), ["dataset", "key"],
-                           "left_semi").distinct()
+    known = perhaps_in(raw_cells, key_bits(truth, "dataset", "key"), "dataset", "key").distinct()
     hits = known.join(truth, ["dataset", "key"]).groupBy("dataset", "field", "col").agg(
         F.count(F.lit(1)).alias("hits"))
     places = column_places(raw) if places is None else places
@@ -211,13 +205,12 @@ def first_seen(df: DataFrame, by: list[str], order: str, column: str) -> DataFra
     ones before they are taken apart.
     """
     shapes = (
-        df.select(*by, order, F.to_json(object_keys(F.col(column))).alias("shape"))
+        df.select(*by, order, object_keys(F.col(column)).alias("shape"))
         .groupBy(*by, "shape")
         .agg(F.min(order).alias(order))
     )
-    keys = F.from_json("shape", "array<string>")
     return (
-        shapes.select(*by, order, F.posexplode(keys).alias("pos", "key"))
+        shapes.select(*by, order, F.posexplode("shape").alias("pos", "key"))
         .groupBy(*by, "key")
         .agg(F.min(F.struct(order, "pos")).alias("place"))
     )
@@ -235,14 +228,15 @@ def overlap_frames(
     """Value-overlap matches of one typed table.
 
     The schema is known here, so each distinct value carries bit masks, of the raw
-    columns and of the truth fields it occurs in. Raw values are joined with the
-    distinct values of the truth first; only what occurs there is aggregated.
+    columns and of the truth fields it occurs in. Raw values are counted down to the
+    distinct ones of each column in its own type, then become text, and go on only if
+    a filter of the truth's values lets them.
     """
     raw_order = raw_order or raw.columns[:1]
     gt_order = gt_order or gt.columns[:1]
     gt = with_json(gt, column)
     raw_order, gt_order = exact_order(raw_order), exact_order(gt_order)
-    first = gt.orderBy(*gt_order).select(object_keys(F.col(column)).alias("k")).first()
+    first = gt.orderBy(*gt_order).limit(1).select(object_keys(F.col(column)).alias("k")).first()
     keys = [] if first is None else (first["k"] or [])
     fields = [
         (pos, k)
@@ -260,18 +254,12 @@ def overlap_frames(
     names = raw.columns
     raw, _ = exact_names(raw)
     raw_words, gt_words = _words(len(names)), _words(len(fields))
-    raw_side = [
-        (column_key(f.name, f.dataType), _masks(i, None, raw_words, gt_words))
-        for i, f in enumerate(raw.schema.fields)
-    ]
     # the fields are known, so records are parsed into these alone
-    known = T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for _, k in fields]))
-    listed = F.from_json(F.concat(F.lit("["), F.col(column), F.lit("]")), known,
-                         {"allowSingleQuotes": "false"})
-    gt = gt.select(F.when(F.size(listed) == 1, F.get(listed, 0)).alias("_m"))
+    known = T.StructType([T.StructField(k, T.StringType()) for _, k in fields])
+    gt = gt.select(F.inline(strict_json(F.col(column), known))).toDF(
+        *[f"f{i}" for i in range(len(fields))])
     gt_side = [
-        (value_key(F.col("_m").getField(k)), _masks(None, i, raw_words, gt_words))
-        for i, (_, k) in enumerate(fields)
+        (value_key(F.col(f"f{i}")), _masks(i, gt_words)) for i in range(len(fields))
     ]
     raw_masks = [f"r{w}" for w in range(raw_words)]
     gt_masks = [f"g{w}" for w in range(gt_words)]
@@ -279,17 +267,18 @@ def overlap_frames(
     def stacked(df: DataFrame, side: list) -> DataFrame:
         lines = [x for key, bits in side for x in (key, *bits)]
         return df.select(
-            F.stack(F.lit(len(side)), *lines).alias("key", *raw_masks, *gt_masks)
+            F.stack(F.lit(len(side)), *lines).alias("key", *gt_masks)
         ).where(F.col("key").isNotNull())
 
-    # raw values meet the truth's before they are shuffled
     truth = written(
         stacked(gt, gt_side).groupBy("key").agg(*[F.bit_or(m).alias(m) for m in gt_masks]),
         "truth-keys")
-    hits = (
-        stacked(raw, raw_side).select("key", *raw_masks).join(truth.select("key"), "key")
-        .groupBy("key").agg(*[F.bit_or(m).alias(m) for m in raw_masks])
-    )
+    known = perhaps_in(distinct_values(raw), key_bits(truth, "key"), "key")
+    hits = known.select("key", *[
+        F.when(F.floor(F.col("pos") / _MASK_BITS) == w, F.expr(
+            f"shiftleft(1L, pos % {_MASK_BITS})")).otherwise(F.lit(0).cast("long")).alias(m)
+        for w, m in enumerate(raw_masks)
+    ]).groupBy("key").agg(*[F.bit_or(m).alias(m) for m in raw_masks])
     owners = F.array(
         *[F.when(_has("g", i), F.struct(F.lit(p).alias("pos"), F.lit(k).alias("field")))
           for i, (p, k) in enumerate(fields)]
@@ -327,16 +316,36 @@ def _words(bits: int) -> int:
     return -(-bits // _MASK_BITS)
 
 
-def _masks(raw_bit, gt_bit, raw_words: int, gt_words: int) -> list[Column]:
-    """Mask words with one bit set, that of a raw column or of a truth field."""
+def _masks(bit: int, words: int) -> list[Column]:
+    """Mask words with one bit set."""
+    return [F.lit(1 << (bit % _MASK_BITS) if bit // _MASK_BITS == w else 0).cast("long")
+            for w in range(words)]
 
-    def word(bit, index):
-        inside = bit is not None and bit // _MASK_BITS == index
-        return F.lit(1 << (bit % _MASK_BITS) if inside else 0).cast("long")
 
-    return [word(raw_bit, w) for w in range(raw_words)] + [
-        word(gt_bit, w) for w in range(gt_words)
-    ]
+def distinct_values(df: DataFrame) -> DataFrame:
+    """Distinct values of each column as keys: ``(pos, key)``, nulls left out.
+
+    Grouping sets find them in the columns' own types, in one scan for every
+    ``SET_COLUMNS`` columns; only what is left is turned into text.
+    """
+    parts = []
+    for at in range(0, len(df.columns), SET_COLUMNS):
+        fields = df.schema.fields[at:at + SET_COLUMNS]
+        short = (T.NumericType, T.BooleanType, T.DatetimeType)
+        typed = df.select(*[
+            (F.col(quoted(f.name)) if isinstance(f.dataType, short)
+             else column_key(f.name, f.dataType)).alias(f"c{i}") for i, f in enumerate(fields)])
+        names = typed.columns
+        sets = typed.groupingSets([[F.col(c)] for c in names], *[F.col(c) for c in names]).agg(
+            F.grouping_id().alias("g"))
+        pos, key = F.lit(None).cast("int"), F.lit(None).cast("string")
+        for i, f in enumerate(fields):
+            # the bits of the columns that are not in a set
+            own = F.col("g") == (1 << len(names)) - 1 - (1 << (len(names) - 1 - i))
+            text = text_form(f"c{i}", f.dataType) if isinstance(f.dataType, short) else F.col(f"c{i}")
+            pos, key = F.when(own, at + i).otherwise(pos), F.when(own, text).otherwise(key)
+        parts.append(sets.select(pos.alias("pos"), key.alias("key")))
+    return union_all(parts).where(F.col("key").isNotNull())
 
 
 def _has(side: str, bit: int) -> Column:

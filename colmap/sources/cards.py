@@ -7,12 +7,19 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colmap.functions import vocab
-from colmap.functions.exprs import card_family, card_id, union_all
+from colmap.functions.exprs import card_family, card_id, strict_json, union_all
 from colmap.sources.splits import Files
 
-CARD = "__type__ string, loader struct<__type__:string,path:string,name:string>, task string"
+_TEXT = T.StringType()
+CARD = T.StructType([
+    T.StructField("__type__", _TEXT),
+    T.StructField("loader", T.StructType([T.StructField(c, _TEXT) for c in (
+        "__type__", "path", "name")])),
+    T.StructField("task", _TEXT),
+])
 
 
 def read_cards(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -42,22 +49,10 @@ def read_cards(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def parse_cards(raw: DataFrame) -> DataFrame:
-    """Card files as columns; unreadable files are left out.
-
-    The text is parsed as the only element of a list, since the parser would
-    ignore anything after a bare object.
-    """
-    listed = F.from_json(
-        F.concat(F.lit("["), "body", F.lit("]")),
-        f"array<struct<{CARD.replace(' ', ':').replace(',:', ',')}>>",
-        {"allowSingleQuotes": "false"},
-    )
-    return (
-        raw.select("catalog_pos", "path", listed.alias("found"))
-        .where(F.size("found") == 1)
-        .select("catalog_pos", "path", F.col("found")[0].alias("card"))
-        .select("catalog_pos", "path", "card.*")
-    )
+    """Card files as columns; unreadable files are left out."""
+    return raw.select(
+        "catalog_pos", "path", F.explode(strict_json(F.col("body"), CARD)).alias("card"),
+    ).where(F.col("card").isNotNull()).select("catalog_pos", "path", "card.*")
 
 
 def discover(raw: DataFrame, task_types: Iterable[str] | None = None) -> DataFrame:
