@@ -97,6 +97,7 @@ PLAN_EMPTY = "# No rename steps needed"
 PLAN_FAILED = "# Mapping failed"
 NO_FEATURES = "# Error: no features"
 UNREADABLE = "ValueError: a reference record is not a JSON object"
+UNREADABLE_ROW = "ValueError: a row is not a JSON object"
 INFER_FAILED = {"api": "# Error: LLM/API failed", "local": "# Error: local LLM failed"}
 
 # response text patterns

@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import json
+import sys
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colmap.functions.exprs import annotation_key, exact_names, is_annotation, quoted, rename_plan
+from colmap.functions import vocab
+from colmap.functions.exprs import (
+    annotation_key,
+    exact_names,
+    is_annotation,
+    quoted,
+    rename_plan,
+    strict_json,
+)
+
+# Tasks carry these functions with them, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass
@@ -56,12 +71,31 @@ def resolve_entries(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
     )
 
 
+CLASSES = "struct<text string, names array<string>>"
+
+
+def class_texts(found: pa.Array) -> pa.Array:
+    """Classes given as JSON: the text that stands for all of them, and each one's.
+
+    Both are as Python shows them, which no JSON text is; empty classes have neither.
+    """
+    texts, names = [], []
+    for given in found.to_pylist():
+        classes = None if given is None else json.loads(given)
+        texts.append(str(classes) if classes else None)
+        listed = classes and isinstance(classes, (list, str))
+        names.append([str(c) for c in classes] if listed else None)
+    return pa.StructArray.from_arrays(
+        [pa.array(texts, pa.string()), pa.array(names, pa.list_(pa.string()))], ["text", "names"])
+
+
 def mapping_plans(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
-    """What each mapping does: ``(dataset, method, plan, classes)``.
+    """What each mapping does: ``(dataset, method, plan, classes, names)``.
 
     ``plan`` is an array of (field, col, text), in the order of ``apply_mapping``: a
     column to read, or a constant. Of two fields on one column the later one names
     it, in the earlier one's place; of two lines for one field the later one counts.
+    ``classes`` is the text of the class list and ``names`` the classes, null without any.
     """
     lines = resolve_entries(proposals, column_sets).where("kind <> 'ignored'")
     columns = lines.where("kind = 'column'").groupBy("dataset", "method", "value").agg(
@@ -80,46 +114,81 @@ def mapping_plans(proposals: DataFrame, column_sets: DataFrame) -> DataFrame:
                            p["source"]["text"].alias("text"))).alias("plan"))
     classes = proposals.select(
         "dataset", "method", F.filter("entries", lambda e: e["field"] == "classes").alias("c")
-    ).select("dataset", "method", F.get("c", 0)["value_json"].alias("classes"))
+    ).select("dataset", "method", F.arrow_udf(class_texts, CLASSES)(
+        F.get("c", 0)["value_json"]).alias("c")).select(
+        "dataset", "method", F.col("c.text").alias("classes"), F.col("c.names").alias("names"))
     return classes.join(plans, ["dataset", "method"], "left").withColumn(
         "plan", F.coalesce("plan", F.array().cast(
             "array<struct<field:string,col:string,text:string>>")))
 
 
-def apply_rows(rows: DataFrame, plans: DataFrame) -> DataFrame:
+def apply_rows(rows: DataFrame, plans: DataFrame, typed: bool = False) -> DataFrame:
     """Every schemaless row under every mapping of its dataset:
-    ``(dataset, method, row_id, fields)``, ``fields`` a map from field to text.
+    ``(dataset, method, row_id, fields, error)``.
 
-    One join with a table that has a line per mapping; integer labels become class
-    names, nulls stay null.
+    ``fields`` is a map from field to text, or to a typed value (a variant) if
+    ``typed``. One join with a table that has a line per mapping; integer labels become
+    class names, nulls stay null. A row that is missing or is not one JSON object has no
+    fields but an ``error``.
     """
-    values = F.from_json("row", "map<string,variant>")
-    names = F.from_json("classes", "array<string>")
+    schema = T.MapType(T.StringType(), T.VariantType())
 
     def text(value):
         return F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
 
+    def variant(value):
+        return value.cast("variant") if typed else value
+
     def shown(p):
         value = F.try_element_at(F.col("_values"), p["col"])
-        plain = F.when(F.schema_of_variant(value) != "VOID", text(value))
+        kind = F.schema_of_variant(value)
+        plain = F.when(kind != "VOID", value if typed else text(value))
         index = F.try_variant_get(value, "$", "int")
-        whole = F.schema_of_variant(value).isin("BIGINT", "BOOLEAN")
-        named = F.when(whole & (index >= 0), F.get(names, index))
-        decoded = F.when(p["field"] == "label", F.coalesce(named, plain)).otherwise(plain)
+        named = F.when(kind.isin("BIGINT", "BOOLEAN") & (index >= 0), F.get("names", index))
+        decoded = F.when(
+            p["field"] == "label", F.coalesce(variant(named), plain)).otherwise(plain)
         return F.struct(p["field"].alias("a"), F.when(
-            p["col"].isNull(), p["text"]).otherwise(decoded).alias("b"))
+            p["col"].isNull(), variant(p["text"])).otherwise(decoded).alias("b"))
 
+    kind = "variant" if typed else "string"
+    classes = F.when(F.col("classes").isNotNull(), F.array(F.struct(
+        F.lit("classes").alias("a"), variant(F.col("classes")).alias("b")))).otherwise(
+        F.array().cast(f"array<struct<a:string,b:{kind}>>"))
+    known = F.col("_values").isNotNull()
     return (
         rows.join(plans, "dataset")
-        .select("dataset", "method", "row_id", "plan", "classes", values.alias("_values"))
-        .select("dataset", "method", "row_id", F.map_from_entries(F.concat(
-            F.transform("plan", shown),
-            F.when(F.col("classes").isNotNull(), F.array(F.struct(
-                F.lit("classes").alias("a"), F.col("classes").alias("b")))).otherwise(
-                F.array().cast("array<struct<a:string,b:string>>")))).alias("fields"))
+        .select("dataset", "method", "row_id", "plan", "classes", "names",
+                F.get(strict_json(F.col("row"), schema), 0).alias("_values"))
+        .select("dataset", "method", "row_id",
+                F.when(known, F.map_from_entries(
+                    F.concat(F.transform("plan", shown), classes))).alias("fields"),
+                F.when(~known, F.lit(vocab.UNREADABLE_ROW)).alias("error"))
     )
 
 
+def plan_types(plans: DataFrame, types: DataFrame) -> DataFrame:
+    """The type of every field that mappings make: ``(dataset, method, pos, field, dtype)``.
+
+    ``types`` has the types of the raw columns (``column_types``). Constants and labels
+    with class names are text.
+    """
+    lines = plans.select(
+        "dataset", "method", F.col("names").isNotNull().alias("named"), F.posexplode(F.concat(
+            "plan", F.when(F.col("classes").isNotNull(), F.array(F.struct(
+                F.lit("classes").alias("field"), F.lit(None).cast("string").alias("col"),
+                F.col("classes").alias("text")))).otherwise(
+                F.array().cast("array<struct<field:string,col:string,text:string>>")))
+        ).alias("pos", "p"))
+    text = F.col("p.col").isNull() | (F.col("named") & (F.col("p.field") == "label"))
+    return lines.select(
+        "dataset", "method", "pos", F.col("p.field").alias("field"), F.col("p.col").alias("col"),
+        text.alias("is_text"),
+    ).join(types.select("dataset", "col", "dtype"), ["dataset", "col"], "left").select(
+        "dataset", "method", "pos", "field",
+        F.when(F.col("is_text"), F.lit("STRING")).otherwise(
+            F.coalesce("dtype", F.lit("VOID"))).alias("dtype"))
+
+
 def decode_label(value: Column, data_type: T.DataType, classes: list | str) -> Column:
     """Class name of an integer label; numbers out of range stay as text."""
     if not isinstance(data_type, (T.IntegralType, T.BooleanType)):

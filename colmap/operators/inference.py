@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colmap.functions.exprs import quoted
@@ -92,8 +92,7 @@ def infer(
     is new or changed and what failed before, and returns only what it was asked.
     """
     spark = prompts.sparkSession
-    asked = written(prompts.withColumn("digest", F.sha2(F.to_json(
-        F.struct(*[F.col(quoted(c)) for c in prompts.columns])), 256)), "prompts")
+    asked = _with_digest(prompts)
     try:
         done = spark.read.schema(STORED).parquet(path).where("error is null")
         todo = asked.join(done.select("digest").distinct(), "digest", "left_anti")
@@ -104,6 +103,70 @@ def infer(
     todo.dropDuplicates(["digest"]).repartition(tasks, "digest").mapInPandas(
         _answer(factory, batch), STORED
     ).write.mode("append").parquet(path)
-    best = spark.read.schema(STORED).parquet(path).groupBy("digest").agg(F.max_by(
+    return _answered(asked, spark.read.schema(STORED).parquet(path))
+
+
+def _with_digest(prompts: DataFrame) -> DataFrame:
+    """Prompts with a digest of each, written."""
+    return written(prompts.withColumn("digest", F.sha2(F.to_json(
+        F.struct(*[F.col(quoted(c)) for c in prompts.columns])), 256)), "prompts")
+
+
+def _answered(asked: DataFrame, replies: DataFrame) -> DataFrame:
+    """Prompts with the best reply to each: one without error, then the latest."""
+    best = replies.groupBy("digest").agg(F.max_by(
         F.struct("raw", "error"), F.struct(F.col("error").isNull(), "at")).alias("r"))
     return asked.join(best, "digest").select("dataset", "method", "backend", "r.raw", "r.error")
+
+
+def infer_in_waves(
+    prompts: DataFrame,
+    factory: Callable[[str], Callable],
+    path: str,
+    wave: int = 10_000,
+    parallelism: int | None = None,
+    batch: int = 16,
+) -> DataFrame:
+    """``infer`` by waves of about ``wave`` prompts, each of which is kept once it is done.
+
+    Prompts are queued as files under ``path`` and read from there as a stream, a file
+    at a time. A wave's replies are written under its number and then committed to the
+    stream's checkpoint, so a job that dies loses the replies of one wave at most: the
+    next run at the same path goes on with that wave, and its replies take the place of
+    those that were written in part. A run queues what is new or failed before.
+    """
+    spark = prompts.sparkSession
+    queue, replies = f"{path}/queue", f"{path}/replies"
+    asked = _with_digest(prompts)
+    todo = asked
+    queued, stored = _stored(spark, queue, asked.schema), _stored(spark, replies, STORED)
+    if queued is not None:
+        waiting = queued.select("digest").distinct()
+        if stored is not None:
+            done = stored.where("error is null").select("digest").distinct()
+            # what was tried in vain may be queued again
+            tried = stored.select("digest").distinct().join(done, "digest", "left_anti")
+            waiting = waiting.join(tried, "digest", "left_anti")
+        todo = asked.join(waiting, "digest", "left_anti")
+    files = -(-todo.select("digest").distinct().count() // wave)
+    if files:
+        todo.dropDuplicates(["digest"]).repartition(files, "digest").write.option(
+            "maxRecordsPerFile", wave).mode("append").parquet(queue)
+    tasks = parallelism or spark.sparkContext.defaultParallelism
+
+    def ask(part: DataFrame, number: int) -> None:
+        part.repartition(tasks, "digest").mapInPandas(_answer(factory, batch), STORED).write.mode(
+            "overwrite").parquet(f"{replies}/wave={number}")
+
+    if files or queued is not None:
+        (spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(queue)
+         .writeStream.foreachBatch(ask).option("checkpointLocation", f"{path}/progress")
+         .trigger(availableNow=True).start().awaitTermination())
+    return _answered(asked, _stored(spark, replies, STORED))
+
+
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return None

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colmap.functions import vocab
 from colmap.functions.exprs import (
@@ -14,6 +15,7 @@ from colmap.functions.exprs import (
     exact_names,
     first_rows,
     quoted,
+    strict_json,
     union_all,
 )
 from colmap.session import written
@@ -100,6 +102,26 @@ def columns_of_rows(rows: DataFrame, order: str = "row_id", row: str = "row") ->
     )
 
 
+def column_types(rows: DataFrame, row: str = "row") -> DataFrame:
+    """Columns of schemaless datasets from all of their rows: ``(dataset, pos, col, dtype)``.
+
+    Columns come in order of first appearance. ``dtype`` is the type that all values of
+    a column share, as SQL names it: VOID if all are null, VARIANT if they share none.
+    Only types are shuffled, one per column and task; rows that are not one JSON object
+    have no columns.
+    """
+    values = F.get(strict_json(F.col(row), T.MapType(T.StringType(), T.VariantType())), 0)
+    cells = rows.select("dataset", "row_id", values.alias("m")).select(
+        "dataset", "row_id", F.posexplode(F.map_entries("m")).alias("pos", "e"))
+    found = cells.groupBy("dataset", F.col("e.key").alias("col")).agg(
+        F.min(F.struct("row_id", "pos")).alias("place"),
+        F.schema_of_variant_agg(F.coalesce("e.value", F.parse_json(F.lit("null")))).alias("dtype"))
+    listed = found.groupBy("dataset").agg(
+        F.array_sort(F.collect_list(F.struct("place", "col", "dtype"))).alias("cols"))
+    return listed.select("dataset", F.posexplode("cols").alias("pos", "c")).select(
+        "dataset", "pos", "c.col", "c.dtype")
+
+
 def _row_type(value: Column) -> Column:
     kind = F.schema_of_variant(value)
     named = F.lit("NoneType")

@@ -6,6 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 
 from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,12 +173,16 @@ def propose_all(
 
     Each method runs on its own and its proposals, a row per dataset, are
     written. So one that raises, here or in the workers, is left out with its
-    message kept, and scoring runs none of them again.
+    message kept, and scoring runs none of them again. One that raises for some
+    datasets only has an ``error`` in their proposals.
     """
-    parts, errors = [keyword_match(columns).limit(0)], {}
+    none = F.lit(None).cast("string")
+    parts, errors = [keyword_match(columns).limit(0).withColumn("error", none)], {}
     for name, method in methods.items():
         try:
             part = method(columns, sampled).withColumn("method", F.lit(name))
+            if "error" not in part.columns:
+                part = part.withColumn("error", none)
             parts.append(written(part.select(parts[0].columns), f"proposals-{name}"))
         except Py4JError:  # the engine itself, not the method
             raise
@@ -214,12 +219,19 @@ def records_truth(
 
 
 def grid(
-    datasets: DataFrame, methods: Sequence[str], scored: DataFrame,
-    errors: Mapping[str, str] | None = None, truth: DataFrame | None = None,
+    datasets: DataFrame, methods: Sequence[str], proposals: DataFrame, truth: DataFrame,
+    errors: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Every (dataset, method) pair with its score, null where it failed."""
+    """Every (dataset, method) pair with its score, null and with its error where it failed.
+
+    ``truth`` is ``(dataset, gt_cols)`` and may have an ``error`` for a dataset.
+    """
+    known = truth.where("error is null") if "error" in truth.columns else truth
+    scored = struct_scores(proposals.where("error is null"), known).drop("task", "status", "error")
+    raised = proposals.where("error is not null").select(
+        "dataset", "method", F.col("error").alias("raised"))
     listed = datasets.select("dataset").distinct()
-    if truth is None:
+    if "error" not in truth.columns:
         listed = listed.withColumn("truth_error", F.lit(None).cast("string"))
     else:
         listed = listed.join(
@@ -230,11 +242,12 @@ def grid(
     message = F.lit(None).cast("string")
     for name, text in (errors or {}).items():
         message = F.when(F.col("method") == name, F.lit(text)).otherwise(message)
-    return pairs.join(scored, ["dataset", "method"], "left").withColumn(
+    pair = ["dataset", "method"]
+    return pairs.join(scored, pair, "left").join(raised, pair, "left").withColumn(
         "error",
         F.when(F.col("score").isNull(), F.coalesce(
-            message, "truth_error", F.lit("no mapping or ground truth"))),
-    ).drop("truth_error")
+            "raised", message, "truth_error", F.lit("no mapping or ground truth"))),
+    ).drop("truth_error", "raised")
 
 
 def run_evaluation(
@@ -250,10 +263,55 @@ def run_evaluation(
     top = head(rows)
     proposals, errors = propose_all(columns_of_rows(top), samples(top), methods)
     truth = written(records_truth(rows, gt, n), "truth")
-    known = truth.where("error is null")
-    scored = struct_scores(proposals, known).drop("task", "status")
     listed = top if datasets is None else datasets
-    return written(grid(listed, list(methods), scored, errors, truth), "results")
+    return written(grid(listed, list(methods), proposals, truth, errors), "results")
+
+
+def content_digests(rows: DataFrame, gt: DataFrame, text: str = "") -> DataFrame:
+    """``(dataset, digest)`` of the rows and reference records of each dataset with rows.
+
+    Sums of hashes, so neither order nor partitions matter; ``text`` goes into all.
+    """
+    parts = [
+        with_json(df, c).select("dataset", F.lit(c).alias("side"), *[
+            F.xxhash64(F.lit(seed), "row_id", c).cast("decimal(38,0)").alias(f"h{seed}")
+            for seed in (1, 2)])
+        for df, c in ((rows, "row"), (gt, "task_data"))
+    ]
+    sums = union_all(parts).groupBy("dataset", "side").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
+    return sums.groupBy("dataset").agg(F.bool_or(F.col("side") == "row").alias("has_rows"), F.sha2(F.to_json(F.struct(
+        F.lit(text).alias("text"),
+        F.array_sort(F.collect_list(F.struct("side", "n", "h1", "h2"))).alias("sums"))), 256)
+        .alias("digest")).where("has_rows").drop("has_rows")
+
+
+def run_evaluation_changed(
+    rows: DataFrame, gt: DataFrame, methods: Mapping[str, Method], path: str, run: str,
+    n: int | None = vocab.OVERLAP_ROWS, settings: str = "",
+) -> DataFrame:
+    """``run_evaluation`` of the datasets that changed since the last run at ``path``.
+
+    Results are kept by dataset with a digest of its rows, its records, the names of the
+    methods, ``n`` and ``settings`` (a text that the caller changes with the methods
+    themselves). A dataset whose digest is kept is not evaluated again; others replace
+    their results. All results come back, with the ``run`` that made them.
+    """
+    spark = rows.sparkSession
+    stated = json.dumps([list(methods), n, settings])
+    now = written(content_digests(rows, gt, stated), "digests")
+    try:
+        kept = spark.read.parquet(path).select("dataset", "digest").distinct()
+        todo = written(now.join(kept, ["dataset", "digest"], "left_anti"), "changed")
+    except AnalysisException:
+        todo = now
+    if not todo.isEmpty():
+        own = [df.join(todo.select("dataset"), "dataset", "left_semi") for df in (rows, gt)]
+        found = run_evaluation(*own, methods, n).join(todo, "dataset").withColumn(
+            "run", F.lit(run))
+        found.hint("rebalance", "dataset").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
+    return spark.read.parquet(path).join(now, ["dataset", "digest"], "left_semi").drop("digest")
 
 
 def run_evaluation_tables(
@@ -288,8 +346,7 @@ def run_evaluation_tables(
             "dataset",
             F.when(~F.col("bad"), F.coalesce("gt_cols", text_array([]))).alias("gt_cols"),
             F.when(F.col("bad"), F.lit(vocab.UNREADABLE)).alias("error")), "truth")
-    scored = struct_scores(proposals, truth.where("error is null")).drop("task", "status")
-    return written(grid(columns, list(methods), scored, errors, truth), "results")
+    return written(grid(columns, list(methods), proposals, truth, errors), "results")
 
 
 def run_evaluation_specs(
@@ -301,8 +358,7 @@ def run_evaluation_specs(
     named = specs.select(dataset_id(F.col("name"), F.col("config")).alias("dataset"), "spec")
     truth = spec_truth(spec_entries(named), column_sets(columns_of_rows(top)))
     proposals, errors = propose_all(columns_of_rows(top), samples(top), methods)
-    scored = struct_scores(proposals, truth).drop("task", "status")
-    return written(grid(named, list(methods), scored, errors), "results")
+    return written(grid(named, list(methods), proposals, truth, errors), "results")
 
 
 def report(results: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colmap.functions import vocab
-from colmap.functions.exprs import text_array
+from colmap.functions.exprs import entries_from_json, no_entries, rename_plan, text_array
 from colmap.operators.inference import infer
 from colmap.operators.matching import embedding_match, encode_names, keyword_match
 from colmap.operators.prompts import build_prompts
@@ -74,7 +74,8 @@ def function_method(
     """Any Python function from column names and first rows to a mapping.
 
     It runs in the workers, once per dataset, and its answers are kept like
-    those of a model. One that raises leaves its dataset without a mapping.
+    those of a model. Where it raises, the proposal has the ``error``, and the pair of
+    dataset and method no score; a model's failed reply is an empty mapping instead.
     """
 
     own_id = f"{name} {uuid.uuid4().hex}"  # workers must not mix up two functions
@@ -95,8 +96,16 @@ def function_method(
             F.to_json(F.coalesce("sample", text_array([]))).alias("user"),
         )
         place = path or scratch_path(columns.sparkSession, f"responses-{name}")
-        answered = parse_responses(infer(asked, factory, place), "local")
-        return fill_missing(answered, columns, name)
+        replies = infer(asked, factory, place)
+        raised = replies.where("error is not null").select("dataset", "error")
+        entries = F.when(F.col("raw").isNotNull(), entries_from_json(F.col("raw"))).otherwise(
+            no_entries())
+        task = F.get(F.filter("entries", lambda e: e["field"] == "task"), 0)["value"]
+        found = replies.withColumn("entries", entries).select(
+            "dataset", "method", "entries", task.alias("task"),
+            F.when(F.col("error").isNull(), F.lit("ok")).otherwise(F.lit("failed")).alias("status"),
+            rename_plan(F.col("entries")).alias("code"))
+        return fill_missing(found, columns, name).join(raised, "dataset", "left")
 
     return run
 

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from colmap.functions import vocab
 from colmap.functions.exprs import catalog_task, quoted, union_all
-from colmap.operators.apply import apply_mapping, apply_rows, mapping_plans
+from colmap.operators.apply import apply_mapping, apply_rows, mapping_plans, plan_types
 from colmap.operators.prompts import samples
-from colmap.operators.schema import as_rows, catalog, columns_of_rows, head
+from colmap.operators.schema import as_rows, catalog, column_types, columns_of_rows, head
 from colmap.operators.scores import presence_scores, table_presence
 from colmap.operators.truth import column_places, seen_columns
 from colmap.plans.methods import Method, embedding_method, keyword_method, model_method
 from colmap.session import written
+from colmap.sources.sinks import write_catalog
 from colmap.sources.splits import load_split
 
 _ONE = "dataset"
@@ -32,14 +33,24 @@ def standardize_catalog(rows: DataFrame, method: Method) -> DataFrame:
     )
 
 
-def standardize_rows(rows: DataFrame, method: Method) -> DataFrame:
-    """All rows of all schemaless datasets in standard form:
-    ``(dataset, method, row_id, fields)``."""
+def row_plans(rows: DataFrame, method: Method) -> DataFrame:
+    """The mapping plans that a method makes for all schemaless datasets, written."""
     top = head(rows)
     columns = columns_of_rows(top)
     proposals = written(method(columns, samples(top)), "proposals")
-    plans = mapping_plans(proposals, seen_columns(column_places(rows)))
-    return apply_rows(rows, written(plans, "plans"))
+    return written(mapping_plans(proposals, seen_columns(column_places(rows))), "plans")
+
+
+def standardize_rows(rows: DataFrame, method: Method, typed: bool = False) -> DataFrame:
+    """All rows of all schemaless datasets in standard form:
+    ``(dataset, method, row_id, fields, error)``; see ``apply_rows``."""
+    return apply_rows(rows, row_plans(rows, method), typed)
+
+
+def save_catalog(rows: DataFrame, method: Method, path: str) -> None:
+    """Standardize all schemaless datasets and write them, types kept; see ``read_dataset``."""
+    plans = row_plans(rows, method)
+    write_catalog(apply_rows(rows, plans, typed=True), plan_types(plans, column_types(rows)), path)
 
 
 def sample_rows(df: DataFrame, order: list[str] | None, n: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 
 from colmap.functions import vocab
 from colmap.functions.exprs import card_family, card_id, strict_json, union_all
-from colmap.sources.splits import Files
+from colmap.sources.splits import Files, below_folder
 
 _TEXT = T.StringType()
 CARD = T.StructType([
@@ -35,12 +34,11 @@ def read_cards(spark: SparkSession, roots: list[str]) -> DataFrame:
             continue
         # file paths are encoded as addresses; a plus sign stands for itself
         plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-        below = F.split(plain, re.escape(files.full_path(folder)) + "/", 2)
         parts.append(
             spark.read.option("recursiveFileLookup", True)
             .option("pathGlobFilter", "*.json")
             .text(folder, wholetext=True)
-            .select(F.lit(pos).alias("catalog_pos"), F.get(below, 1).alias("path"),
+            .select(F.lit(pos).alias("catalog_pos"), below_folder(plain, folder).alias("path"),
                     F.col("value").alias("body"))
         )
     if not parts:

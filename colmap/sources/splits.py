@@ -10,37 +10,65 @@ A dataset lies under ``<root>/<name>``. Its files are either
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colmap.functions import vocab
+from colmap.functions.exprs import exact_order
+
+
+#: formats whose files say themselves whether they can be read
+CHECKED = ("parquet", "orc")
 
 
 def _open(spark: SparkSession, path: str, fmt: str, schema, options: dict) -> DataFrame:
     reader = spark.read.format(fmt).options(**options)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.load(path)
+    if schema is None:
+        return reader.load(path)
+    if fmt in CHECKED:
+        reader.load(path)  # reads a footer, which a given schema would leave out
+    return spark.read.format(fmt).options(**options).schema(schema).load(path)
 
 
 class Files:
-    """Path probing on the driver; looks at names only, never at contents."""
+    """Path probing by a reader of files; looks at names only, never at contents.
+
+    Listing is the reader's, so it runs on any file system Spark knows, in parallel
+    where there are many folders, and needs no access to the driver's JVM.
+    """
 
     def __init__(self, spark: SparkSession):
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._spark = spark
 
-    def matches(self, pattern: str) -> list:
-        path = self._path(pattern)
-        return list(path.getFileSystem(self._conf).globStatus(path) or [])
+    def below(self, pattern: str) -> DataFrame | None:
+        """The files at or below what matches, as ``path``; None if nothing does."""
+        try:
+            return self._spark.read.format("binaryFile").option(
+                "recursiveFileLookup", True).load(pattern).select("path")
+        except AnalysisException:
+            return None
 
-    def full_path(self, path: str) -> str:
-        """The path on its file system, without the system's name."""
-        made = self._path(path)
-        return made.getFileSystem(self._conf).makeQualified(made).toUri().getPath()
+    def matches(self, pattern: str) -> bool:
+        return self.below(pattern) is not None
 
     def folders(self, path: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self.matches(f"{path}/*") if s.isDirectory())
+        """Names of the folders in ``path`` that hold files; one row each reaches the driver."""
+        found = self.below(path)
+        if found is None:
+            return []
+        parts = F.split(below_folder(F.col("path"), path), "/")
+        return sorted(r[0] for r in found.where(F.size(parts) > 1).select(
+            F.get(parts, 0)).distinct().collect())
+
+
+def below_folder(path: Column, folder: str) -> Column:
+    """The part of a file's path that is below ``folder``, given with or without scheme."""
+    plain = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder).rstrip("/")
+    return F.get(F.split(path, re.escape(plain) + "/", 2), 1)
 
 
 def _candidates(base: str, split: str, fmt: str) -> list[str]:
@@ -92,11 +120,16 @@ def load_split(
 
 def load_rows(
     spark: SparkSession, root: str, name: str, config: str | None = None,
-    limit: int | None = None, **how,
+    limit: int | None = None, order: list[str] | None = None, **how,
 ) -> DataFrame:
-    """Like ``load_split``, with at most ``limit`` rows where that is asked for."""
+    """Like ``load_split``, with the first ``limit`` rows where that is asked for.
+
+    They are the first by ``order``, or by the first column: files have no order.
+    """
     df = load_split(spark, root, name, config, **how)
-    return df if limit is None else df.limit(limit)
+    if limit is None or not df.columns:
+        return df
+    return df.orderBy(*exact_order(order or df.columns[:1])).limit(limit)
 
 
 def raw_columns(

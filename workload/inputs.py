@@ -73,6 +73,19 @@ def late_records(spark: SparkSession, sf: str) -> DataFrame:
         "row", r',"(label|target|class|labels)":null\}$', "}"))
 
 
+def shifting_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with a column of changing type, one that is often null and one that is late."""
+    row = _json(text="text", n="n_chars", grade="grade", ok="n_chars % 2 = 0",
+                ids="array(doc_id, null)", meta="named_struct('id', doc_id)")
+    number, late = "concat('\"n\":', n_chars)", "concat(',\"late\":\"', lang, '\"}')"
+    shifted = (f"case when doc_id % 5 = 2 then replace({row}, {number}, '\"n\":\"many\"') "
+               f"else {row} end")
+    whole = (f"case when doc_id % 4 = 3 then concat(substr(r, 1, length(r) - 1), {late}) "
+             "else r end")
+    return documents(spark, sf).withColumn("r", F.expr(shifted)).select(
+        "dataset", F.col("doc_id").alias("row_id"), F.expr(whole).alias("row"))
+
+
 GOOD = "case grade when 1 then 'good' when 0 then 'bad' end"
 
 

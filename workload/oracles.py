@@ -177,9 +177,57 @@ scored as (
 
 EVAL = (*BASE, GT, overlap(None), FALLBACK, SCORED)
 
-GRID = ("grid as (select dataset, method, case when method <> 'api_llm' then score end as score, "
-        "gt_cols, pred_cols from scored, (values "
-        + rows(*[(m,) for m in GRID_METHODS]) + ") t(method))")
+# proposals of all methods in long form, by letters as well as by synonyms
+LETTERS = f"""stdfields(fpos, field) as (values {rows(*enumerate(vocab.STANDARD_FIELDS))}),
+vec as (
+  select distinct name, list_transform(range(97, 123), lambda c:
+    (length(lower(name)) - length(replace(lower(name), chr(c::int), '')))::double) as v
+  from (select col as name from cols union select field from stdfields)),
+sims as (
+  select dataset, pos, col, fpos, field, list_cosine_similarity(a.v, b.v) as sim
+  from cols join vec a on a.name = col, stdfields join vec b on b.name = field),
+near as (
+  select dataset, fpos, field, col as value from sims
+  qualify row_number() over (partition by dataset, field order by sim desc, pos) = 1
+    and sim >= 0.6)"""
+
+PROPOSED = f"""neartask as (
+  select dataset, case {' '.join(
+    f"when count(*) filter (where field in ({', '.join(lit(k) for k in keys)})) > 0 then {lit(t)}"
+    for t, keys in vocab.TASK_KEYS.items())} else {lit(vocab.DEFAULT_TASK)} end as task
+  from (select distinct dataset from raw) left join near using (dataset) group by dataset),
+proposed as (
+  select dataset, method, pos, field, value from kw, (values ('keyword'), ('local_llm')) m(method)
+  union all
+  select dataset, 'embedding', row_number() over (partition by dataset order by fpos) - 1, field,
+    value
+  from (select * from near union all select dataset, 99, 'task', task from neartask)
+  union all
+  select dataset, 'ends', p, case p when 0 then 'text' else 'label' end,
+    case p when 0 then arg_min(col, pos) else arg_max(col, pos) end
+  from cols, (values (0), (1)) e(p) group by dataset, p having not bool_or(col = 'idx'))"""
+
+GRID = """picked as (
+  select dataset, method, coalesce(list_sort(list(distinct value) filter (where field <> 'task')), [])
+    as pred_cols,
+    coalesce(string_agg('Rename(field=''' || value || ''', to_field=''' || field || ''')', ', '
+      order by pos) filter (where field <> 'task' and value <> field),
+      '# No rename steps needed') as code,
+    '{' || string_agg('"' || field || '": "' || value || '"', ', ' order by pos) || '}' as mapping
+  from proposed group by all),
+grid as (
+  select t.dataset, m.method, case when pred_cols is not null then round_even(
+      case when len(gt_cols) = 0 and len(pred_cols) = 0 then 1.0
+      else len(list_intersect(gt_cols, pred_cols)) * 1.0
+           / len(list_distinct(list_concat(gt_cols, pred_cols))) end, 3) end as score,
+    case when pred_cols is not null then gt_cols end as gt_cols, pred_cols, mapping, code,
+    case when m.method = 'api_llm' then 'ValueError: no service'
+      when pred_cols is null then 'ValueError: indexed' end as error
+  from truth t cross join (values """ + rows(*[(m,) for m in GRID_METHODS]) + """) m(method)
+  left join picked p on p.dataset = t.dataset and p.method = m.method)"""
+
+_wide = ", ".join(f"{{0}} filter (where method = '{m}') as {m}" for m in GRID_METHODS)
+_mean = ", ".join(f"round_even(avg(score) filter (where method = '{m}'), 3)" for m in GRID_METHODS)
 
 DOCQ = """docq as (
   select doc_id, text as body, lang, quality as target from documents join labels using (doc_id))"""
@@ -414,21 +462,10 @@ ORACLES = {
         select r.dataset, row_id, field, json_extract_string(row, '$."' || value || '"') as v
         from raw r join kw using (dataset) where field <> 'task'
         union all select dataset, row_id, 'text_type', 'document' from raw
-        union all select dataset, row_id, 'classes', '["bad","good"]' from raw)
+        union all select dataset, row_id, 'classes', '[''bad'', ''good'']' from raw)
       select dataset, row_id, field, md5(case when field = 'label' and v = '0' then 'bad'
         when field = 'label' and v = '1' then 'good' else v end) as value_md5 from std""",
-    "embedding_names": ctes(DOCS, RAW, COLS) + f""",
-      fields(fpos, field) as (values {rows(*enumerate(vocab.STANDARD_FIELDS))}),
-      vec as (
-        select distinct name, list_transform(range(97, 123), lambda c:
-          (length(lower(name)) - length(replace(lower(name), chr(c::int), '')))::double) as v
-        from (select col as name from cols union select field from fields)),
-      sims as (
-        select dataset, pos, col, field, list_cosine_similarity(a.v, b.v) as sim
-        from cols join vec a on a.name = col, fields join vec b on b.name = field)
-      select dataset, field, col as value from sims
-      qualify row_number() over (partition by dataset, field order by sim desc, pos) = 1
-        and sim >= 0.6""",
+    "embedding_names": ctes(DOCS, RAW, COLS, LETTERS) + "select dataset, field, value from near",
     "infer_stub": ctes(*BASE, PLAN, MAPPING) + """,
       refs as (
         select kw.dataset, kw.value from kw join cols
@@ -599,25 +636,20 @@ ORACLES = {
         where field not in ('metadata', 'data_classification_policy')) f
       left join (select dataset, field from kw where field <> 'task') k using (dataset, field)
       group by dataset""",
-    "eval_grid": ctes(*EVAL, GRID)
-    + "select dataset, method, score, score as struct_score from grid",
-    "eval_report": ctes(*EVAL, GRID, PLAN, MAPPING) + """
+    "eval_grid": ctes(*EVAL, LETTERS, PROPOSED, GRID)
+    + "select dataset, method, score, score as struct_score, error from grid",
+    "eval_report": ctes(*EVAL, LETTERS, PROPOSED, GRID) + """
       select dataset, method, coalesce(score, 0.0) as score,
-        case when method = 'api_llm' then '' else array_to_string(gt_cols, ',') end as gt_cols,
-        case when method = 'api_llm' then '' else array_to_string(pred_cols, ',') end as pred_cols,
-        case when method = 'api_llm' then '{}' else mapping end as mapping,
-        case when method = 'api_llm' then '' else code end as code,
-        case when method = 'api_llm' then 'ValueError: no service' end as error
-      from grid join plan using (dataset) join mapping using (dataset)""",
-    "score_pivot": ctes(*EVAL) + """
-      select dataset, score as keyword, score as local_llm, cast(null as double) as api_llm
-      from scored""",
-    "score_table": ctes(*EVAL) + """
-      select dataset, score as keyword, score as local_llm, cast(null as double) as api_llm
-      from scored
-      union all select 'Average', round_even(avg(score), 3), round_even(avg(score), 3), null
-      from scored""",
-    "method_average": ctes(*EVAL, GRID)
+        coalesce(array_to_string(gt_cols, ','), '') as gt_cols,
+        coalesce(array_to_string(pred_cols, ','), '') as pred_cols,
+        coalesce(mapping, '{}') as mapping, coalesce(code, '') as code, error
+      from grid""",
+    "score_pivot": ctes(*EVAL, LETTERS, PROPOSED, GRID)
+    + f"select dataset, {_wide.format('max(score)')} from grid group by dataset",
+    "score_table": ctes(*EVAL, LETTERS, PROPOSED, GRID) + f"""
+      select dataset, {_wide.format('max(score)')} from grid group by dataset
+      union all select 'Average', {_mean} from grid""",
+    "method_average": ctes(*EVAL, LETTERS, PROPOSED, GRID)
     + "select method, round_even(avg(score), 3) as score from grid group by method",
     "stream_standardize": """
       select event_id as id, event_type as text, value as label, 'number' as label_type
@@ -665,3 +697,71 @@ select dataset, method, case when method <> 'api_llm' then round_even(
   case when method <> 'api_llm' then array_to_string(g, ',') end as gt_cols,
   case when method = 'api_llm' then 'ValueError: no service' end as error
 from pairs join truth using (dataset) left join pred using (dataset, method)"""
+
+NEW_GT = """gt as (
+  select dataset, row_id, case when dataset = (select min(dataset) from docs)
+    then '{"nothing": "x"}' else task_data end as task_data from whole)"""
+
+ORACLES.update({
+    "split_corrupt": "select doc_id, lang, n_chars from documents",
+    "config_pick": "select doc_id, source from documents where lang = 'de'",
+    "limited_rows": "select doc_id, n_chars from documents order by n_chars, doc_id limit 150",
+    "dataset_columns": "select 'docs' as name, unnest(['doc_id', 'lang', 'n_chars', 'source', "
+                       "'text']) as col",
+    "card_files": """
+      select s_name as name, 'catalog' || pos as config,
+        case s_nationkey % 3 when 0 then 'qa' else 'classification' end as task_type
+      from supplier, (values (0), (1)) c(pos)
+      where s_suppkey % 3 >= pos and s_nationkey % 3 < 2""",
+    "card_stream": ORACLES["card_discovery"],
+    "load_standardized": """
+      select text, quality as label, 1.0::double as score
+      from documents join labels using (doc_id)""",
+    "evaluate_named": """
+      select 'card' as dataset, 1.0::double as score, 'body,target' as gt_cols,
+        'body,target' as pred_cols,
+        '{"text": "body", "label": "target", "task": "classification"}' as mapping,
+        least(100, count(*)) as n_rows
+      from documents join labels using (doc_id)""",
+    "row_schemas": ctes(DOCS) + """,
+      cells as (
+        select dataset, doc_id, 0 as p, 'text' as col, 'STRING' as kind from docs
+        union all select dataset, doc_id, 1, 'n', case when doc_id % 5 = 2 then 'STRING'
+          else 'BIGINT' end from docs
+        union all select dataset, doc_id, 2, 'grade', case when grade is null then 'VOID'
+          else 'BIGINT' end from docs
+        union all select dataset, doc_id, 3, 'ok', 'BOOLEAN' from docs
+        union all select dataset, doc_id, 4, 'ids', 'ARRAY<BIGINT>' from docs
+        union all select dataset, doc_id, 5, 'meta', 'OBJECT<id: BIGINT>' from docs
+        union all select dataset, doc_id, 6, 'late', 'STRING' from docs where doc_id % 4 = 3),
+      kinds as (
+        select dataset, col, min((doc_id, p)) as place,
+          count(distinct kind) filter (where kind <> 'VOID') as n,
+          any_value(kind) filter (where kind <> 'VOID') as kind
+        from cells group by all)
+      select dataset, cast(row_number() over (partition by dataset order by place) - 1 as int)
+        as pos, col, case n when 0 then 'VOID' when 1 then kind else 'VARIANT' end as dtype
+      from kinds""",
+    "catalog_sink": ctes(*BASE) + """,
+      std as (
+        select r.dataset, row_id, field, json_type(row, '$."' || value || '"') as t,
+          json_extract_string(row, '$."' || value || '"') as v
+        from raw r join kw using (dataset) where field <> 'task'),
+      named as (
+        select *, case when t = 'VARCHAR' then 'STRING' when t <> 'NULL' then 'BIGINT' end as kind
+        from std)
+      select dataset, 'keyword' as method, row_id, field, coalesce(max(kind) over (
+        partition by dataset, field), 'VOID') as dtype, kind, md5(v) as value_md5
+      from named""",
+    "infer_waves": ORACLES["infer_resume"],
+    "stream_catalog": """
+      select event_type as dataset, event_id as row_id, array_to_string(list_sort([
+        'classes=[''bad'', ''good'']', 'label=' || case user_id when 0 then 'bad' when 1 then 'good'
+          else user_id::varchar end, 'text=' || event_type, 'text_type=document']), ';') as fields
+      from events""",
+    "eval_incremental": ctes(*BASE, GT.replace("gt as", "whole as"), NEW_GT, overlap(None), FALLBACK,
+                             SCORED, LETTERS, PROPOSED, GRID) + """
+      select dataset, method, score, error,
+        case when dataset = (select min(dataset) from docs) then 'second' else 'first' end as run
+      from grid where method in ('keyword', 'ends')""",
+})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 
 from pyspark import cloudpickle
@@ -19,7 +20,7 @@ from colmap.functions.exprs import (
     union_all,
 )
 from colmap.operators.apply import apply_mapping, rename_text, resolve_entries
-from colmap.operators.inference import infer
+from colmap.operators.inference import infer, infer_in_waves
 from colmap.operators.matching import embedding_match, keyword_match
 from colmap.operators.prompts import build_prompts, samples
 from colmap.operators.responses import extract, fill_missing, parse_responses
@@ -27,6 +28,7 @@ from colmap.operators.schema import (
     catalog,
     cells,
     column_sets,
+    column_types,
     columns_of_rows,
     head,
     value_counts,
@@ -48,23 +50,38 @@ from colmap.operators.truth import (
     with_name_fallback,
 )
 from colmap.plans.evaluation import (
+    evaluate_dataset,
     records_truth,
     report,
     run_evaluation,
+    run_evaluation_changed,
     run_evaluation_specs,
     run_evaluation_tables,
 )
-from colmap.plans.methods import embedding_method, keyword_method, model_method
+from colmap.plans.methods import (
+    embedding_method,
+    function_method,
+    keyword_method,
+    model_method,
+)
 from colmap.plans.report import method_average, score_pivot, score_table
-from colmap.plans.standardize import standardize_catalog, standardize_rows
+from colmap.plans.standardize import (
+    load_standardized_dataset_local,
+    row_plans,
+    save_catalog,
+    standardize_catalog,
+    standardize_rows,
+)
 from colmap.session import scratch_path, written
-from colmap.sources.cards import discover
+from colmap.sources.cards import discover, read_cards
 from colmap.sources.registry import discover_tasks, seeded_sample
-from colmap.sources.sinks import read_csv, write_csv
-from colmap.sources.splits import load_split
+from colmap.sources.sinks import read_catalog, read_csv, write_csv
+from colmap.sources.splits import load_rows, load_split, raw_columns
 from colmap.streaming.standardize import (
+    discover_stream,
     extract_stream,
     read_stream,
+    standardize_catalog_stream,
     standardize_stream,
     write_stream,
 )
@@ -569,11 +586,20 @@ def failing_method(columns, sampled):
     raise ValueError("no service")
 
 
+def ends(names, rows):
+    """The first column is the text and the last one the label; not for indexed rows."""
+    if "idx" in names:
+        raise ValueError("indexed")
+    return {"text": names[0], "label": names[-1]}
+
+
 def _grid(spark, sf):
     methods = {
         "keyword": keyword_method(),
+        "embedding": embedding_method(letter_vectors),
         "local_llm": model_method(keyword_model, "local", "stub"),
         "api_llm": failing_method,
+        "ends": function_method(ends, "ends"),
     }
     return run_evaluation(inputs.records(spark, sf), inputs.reference(spark, sf), methods, None)
 
@@ -589,11 +615,11 @@ def eval_tables(spark, sf):
         "dataset", "method", "score", F.array_join("gt_cols", ",").alias("gt_cols"), "error")
 
 
-GRID_METHODS = ["keyword", "local_llm", "api_llm"]
+GRID_METHODS = ["keyword", "embedding", "local_llm", "api_llm", "ends"]
 
 
 def eval_grid(spark, sf):
-    return _grid(spark, sf).select("dataset", "method", "score", "struct_score")
+    return _grid(spark, sf).select("dataset", "method", "score", "struct_score", "error")
 
 
 def eval_report(spark, sf):
@@ -612,6 +638,171 @@ def method_averages(spark, sf):
     return method_average(_grid(spark, sf))
 
 
+# ---- splits, configs, cards and whole datasets in files that Spark wrote
+
+def _split_folder(spark, sf):
+    """Documents as the test split of ``docs``, and a train split that no reader opens."""
+    root = scratch_path(spark, "splits")
+    table(spark, sf, "documents").write.parquet(f"{root}/docs/test")
+    table(spark, sf, "labels").select(F.to_json(F.struct("*")).alias("v")).write.text(
+        f"{root}/docs/train")
+    return root
+
+
+def split_corrupt(spark, sf):
+    """The train split is not Parquet; with a schema given it is passed over as well."""
+    schema = table(spark, sf, "documents").schema
+    docs = load_split(spark, _split_folder(spark, sf), "docs", schema=schema)
+    return docs.select("doc_id", "lang", "n_chars")
+
+
+def config_pick(spark, sf):
+    """No config is named: the first one by name serves, here that of the language de."""
+    root = scratch_path(spark, "configs")
+    for lang in ("fr", "de"):
+        table(spark, sf, "documents").where(F.col("lang") == lang).write.parquet(
+            f"{root}/docs/{lang}/train")
+    return load_split(spark, root, "docs").select("doc_id", "source")
+
+
+def limited_rows(spark, sf):
+    """The first rows by the order asked for."""
+    root = _split_folder(spark, sf)
+    return load_rows(spark, root, "docs", limit=150, order=["n_chars", "doc_id"]).select(
+        "doc_id", "n_chars")
+
+
+def dataset_columns(spark, sf):
+    """Column names of a dataset from its schema, and none of one that is not there."""
+    root = _split_folder(spark, sf)
+    lines = [(name, col) for name in ("docs", "absent")
+             for col in sorted(raw_columns(spark, root, name))]
+    return spark.createDataFrame(lines, "name string, col string")
+
+
+def card_files(spark, sf):
+    """A card file per supplier in one catalog and a copy of some in another."""
+    roots = [scratch_path(spark, "catalog") for _ in range(2)]
+    suppliers = table(spark, sf, "supplier")
+    tasks = F.array(*[F.lit(t) for t in (
+        "tasks.qa.open", "tasks.classification.binary", "tasks.regression")])
+    for pos, root in enumerate(roots):
+        suppliers.where(F.col("s_suppkey") % 3 >= pos).select(
+            F.lit("task_card").alias("__type__"),
+            F.struct(F.lit("load_hf").alias("__type__"), F.col("s_name").alias("path"),
+                     F.lit(f"catalog{pos}").alias("name")).alias("loader"),
+            F.get(tasks, (F.col("s_nationkey") % 3).cast("int")).alias("task"),
+        ).write.option("maxRecordsPerFile", 1).json(f"{root}/cards")
+    return discover(read_cards(spark, [*roots, f"{roots[0]}/none"])).select(
+        "name", "config", "task_type")
+
+
+def card_stream(spark, sf):
+    """Cards that arrive in two catalogs, one after the other; the first of an id stays."""
+    source = scratch_path(spark, "card-source")
+    raw = inputs.cards(spark, sf)
+    path, progress = scratch_path(spark, "cards"), scratch_path(spark, "cards-progress")
+    for pos in (0, 1):
+        raw.where(F.col("catalog_pos") == pos).write.mode("append").parquet(source)
+        arriving = read_stream(spark, source, raw.schema)
+        discover_stream(arriving, path, progress).awaitTermination()
+    return spark.read.parquet(path).drop("batch")
+
+
+def load_standardized(spark, sf):
+    """A dataset opened by name and standardized with a model's mapping."""
+    root = scratch_path(spark, "named")
+    inputs.doc_quality(spark, sf).select("doc_id", F.col("body").alias("text"), F.col(
+        "target").alias("label")).write.parquet(f"{root}/quality/validation")
+    found = load_standardized_dataset_local(
+        spark, root, "quality", model_id="stub", factory=keyword_model, order=["doc_id"])
+    return found["standardized"].withColumn("score", F.lit(found["score"]))
+
+
+def evaluate_named(spark, sf):
+    """A dataset and the records of its card, both opened by name."""
+    root, cards = scratch_path(spark, "raw"), scratch_path(spark, "truth")
+    inputs.doc_quality(spark, sf).write.parquet(f"{root}/quality/train")
+    inputs.doc_task_data(spark, sf).write.parquet(f"{cards}/card/test")
+    found = evaluate_dataset(
+        spark, root, "quality", None, "card", cards, keyword_method(), n=None,
+        order=["doc_id"], gt_order=["doc_id"])
+    # as many rows as the evaluation standardized
+    return found["standardized"].select(
+        F.lit(found["dataset"]).alias("dataset"), F.lit(found["score"]).alias("score"),
+        F.lit(",".join(found["gt_cols"])).alias("gt_cols"),
+        F.lit(",".join(found["pred_cols"])).alias("pred_cols"),
+        F.lit(json.dumps(found["mapping"])).alias("mapping"),
+    ).groupBy("dataset", "score", "gt_cols", "pred_cols", "mapping").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---- catalogs with types, as streams, and evaluated anew only where they changed
+
+def row_schemas(spark, sf):
+    """Columns that appear late, are null, or change their type from row to row."""
+    return column_types(inputs.shifting_records(spark, sf))
+
+
+def catalog_sink(spark, sf):
+    """Every document's row standardized, written by dataset and read back with types."""
+    path = scratch_path(spark, "catalog")
+    save_catalog(inputs.records(spark, sf), keyword_method(), path)
+    types = spark.read.parquet(f"{path}/types")
+    value = F.col("value")
+    return read_catalog(spark, path).select(
+        "dataset", "method", "row_id", F.explode("fields").alias("field", "value"),
+    ).join(types, ["dataset", "method", "field"]).select(
+        "dataset", "method", "row_id", "field", "dtype", F.schema_of_variant(value).alias("kind"),
+        F.md5(F.try_variant_get(value, "$", "string")).alias("value_md5"))
+
+
+def infer_waves(spark, sf):
+    """Prompts answered wave by wave; a second run asks only what failed in the first."""
+    top = head(inputs.records(spark, sf))
+    prompts = build_prompts(columns_of_rows(top), samples(top), "local", "stub")
+    path = scratch_path(spark, "waves")
+    first = written(infer_in_waves(prompts, patchy_model, path, wave=25), "first").select(
+        "dataset", F.col("error").alias("first_error"))
+    second = infer_in_waves(prompts, keyword_model, path, wave=25)
+    return parse_responses(second, "local").join(first, "dataset").select(
+        "dataset", "first_error", "status", "task")
+
+
+def stream_catalog(spark, sf):
+    """Events as rows of one dataset per type, standardized as they arrive."""
+    def rows(events):
+        return events.select(
+            F.col("event_type").alias("dataset"), F.col("event_id").alias("row_id"), F.to_json(
+                F.struct(F.col("event_type").alias("sentence"), F.col("user_id").alias("label"),
+                         "props")).alias("row"))
+
+    events = table(spark, sf, "events")
+    plans = row_plans(rows(events), classes_method)
+    path = scratch_path(spark, "stream-catalog")
+    arriving = rows(read_stream(spark, f"{sf}/events.parquet*", events.schema))
+    standardize_catalog_stream(
+        arriving, plans, path, scratch_path(spark, "stream-progress")).awaitTermination()
+    return spark.read.parquet(path).select("dataset", "row_id", F.map_entries("fields").alias(
+        "m")).select("dataset", "row_id", F.array_join(F.array_sort(F.transform(
+            "m", lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-"))))),
+            ";").alias("fields"))
+
+
+def eval_incremental(spark, sf):
+    """Two evaluations at one path; the records of one dataset change in between."""
+    rows, gt = inputs.records(spark, sf), inputs.reference(spark, sf)
+    methods = {"keyword": keyword_method(), "ends": function_method(ends, "ends")}
+    path = scratch_path(spark, "evaluations")
+    run_evaluation_changed(rows, gt, methods, path, "first", None)
+    least = gt.agg(F.min("dataset").alias("least"))
+    changed = gt.join(F.broadcast(least), F.lit(True), "left").withColumn("task_data", F.when(
+        F.col("dataset") == F.col("least"), F.lit('{"nothing": "x"}')).otherwise(
+        F.col("task_data"))).drop("least")
+    return run_evaluation_changed(rows, changed, methods, path, "second", None).select(
+        "dataset", "method", "score", "error", "run")
+
+
 # ---- streams
 
 EVENT_MAPPING = {"task": "classification", "id": "event_id", "text": "event_type", "label": "value",
@@ -707,4 +898,17 @@ QUERIES = {
     "method_average": method_averages,
     "stream_standardize": stream_standardize,
     "stream_extract": stream_extract,
+    "split_corrupt": split_corrupt,
+    "config_pick": config_pick,
+    "limited_rows": limited_rows,
+    "dataset_columns": dataset_columns,
+    "card_files": card_files,
+    "card_stream": card_stream,
+    "load_standardized": load_standardized,
+    "evaluate_named": evaluate_named,
+    "row_schemas": row_schemas,
+    "catalog_sink": catalog_sink,
+    "infer_waves": infer_waves,
+    "stream_catalog": stream_catalog,
+    "eval_incremental": eval_incremental,
 }
