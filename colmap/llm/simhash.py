@@ -13,7 +13,8 @@ without carry: any three positions lie on exactly one such plane, and the four
 positions beside it are a plane too, whose bytes the pair then shares.
 
 Equal fingerprints are one row of the index. An entry with more fingerprints than
-``POSTING`` is split by a fifth equal byte, which a linking pair also has. Pairs
+``POSTING`` is split by a fifth equal byte, which a linking pair also has; over three
+bits it need not have one, and entries are linked whole. Pairs
 within an entry are never written: a task links them in place and emits a
 spanning forest.
 
@@ -198,15 +199,16 @@ def _linker(max_bits: int, longest: int | None):
 def links(fingerprints: DataFrame, max_bits: int = 3) -> DataFrame:
     """Links (a, b) that connect exactly the distinct fingerprints (``fp``) in reach."""
     keys = key_positions(max_bits)
+    finer = sorted({tuple(sorted({*p, q})) for p in keys for q in range(BYTES) if q not in p})
+    # a pair may differ in all bytes that a finer key would add
+    splits = max_bits <= BYTES - len(finer[0])
     first = written(
         _entries(fingerprints, keys).select("k", "bytes", "fp")
-        .mapInArrow(_linker(max_bits, POSTING), LINKS), "simhash-links")
-    finer = sorted({tuple(sorted({*p, q})) for p in keys for q in range(BYTES) if q not in p})
-    if max_bits <= BYTES - len(finer[0]):
-        over = first.where("over").select(F.col("a").alias("fp")).distinct()
-        second = _entries(over, finer).mapInArrow(_linker(max_bits, None), LINKS)
-    else:
-        second = first.where("over").limit(0)
+        .mapInArrow(_linker(max_bits, POSTING if splits else None), LINKS), "simhash-links")
+    if not splits:
+        return first.select("a", "b")
+    over = first.where("over").select(F.col("a").alias("fp")).distinct()
+    second = _entries(over, finer).mapInArrow(_linker(max_bits, None), LINKS)
     return first.where("not over").union(second).select("a", "b")
 
 

@@ -58,8 +58,10 @@ def test_near_duplicates_small(spark):
     assert [got[i][1] for i in ids] == [ids[r] for r in reach(fps, 3)]
 
 
-@pytest.mark.parametrize("bits", [0, 1, 3, 4])
-def test_links_reach_all_close_pairs(spark, bits):
+@pytest.mark.parametrize("bits, posting", [
+    (0, 4096), (1, 4096), (3, 4096), (4, 4096), (4, 8), (5, 8), (6, 8), (7, 8)])
+def test_links_reach_all_close_pairs(spark, monkeypatch, bits, posting):
+    monkeypatch.setattr(simhash, "POSTING", posting)
     rnd = random.Random(bits)
     values = set()
     for _ in range(25):
