@@ -138,6 +138,22 @@ def test_shards_of_copies(spark):
     assert all(90 <= len(s) <= 110 for s in slots.values())
 
 
+def test_small_shards_are_near_equal(spark):
+    """Documents of a tenth of a shard, and 24 shards, so that cuts leave much to even out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.sharded(docs, shards=24).collect()
+    check_shards(rows, docs.count())
+    total = [0] * 24
+    for r in rows:
+        total[r["shard"]] += r["size"]
+    assert max(total) < 1.03 * sum(total) / 24 and min(total) > 0.97 * sum(total) / 24
+    # equal texts, where they are few, stay together
+    places = {}
+    for r in rows:
+        places.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert all(len(p) == 1 for p in places.values())
+
+
 def test_shard_edges(spark, edges, no_docs, folder):
     rows = sharding.sharded(edges, shards=3).collect()
     check_shards(rows, edges.count())
