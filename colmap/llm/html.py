@@ -8,9 +8,10 @@ block takes the label of the nearest decided block around it; at equal distance,
 good wins, and where nothing is decided the block is kept.
 
 If an ``article`` or ``main`` element has good blocks, only such elements count, and
-in them lack of stop words alone does not make a block bad: stop words are known for
-some languages only. Where no long block of a page has their density, its language is
-not one of these, and its other blocks are judged by length and links alone.
+in them lack of stop words, many links or a copyright sign make a block undecided, not
+bad, and class names of paragraphs and the like count only for adverts and comments.
+Stop words are known for some languages only: unless half of a page's long text or more
+has their density, its other blocks are judged by length and links alone.
 
 Cases: null and empty pages give an empty text; pages are read whole, in one pass;
 unclosed and stray tags end with what contains them; repeated pages give equal
@@ -53,6 +54,14 @@ BLOCK_TAGS = frozenset((
     "td tfoot th thead tr ul").split())
 VOID_TAGS = frozenset((
     "area base br col embed hr img input link meta param source track wbr").split())
+FOREIGN_TAGS = frozenset(("svg", "math"))
+#: elements that hold text of an article, whatever their classes say about sharing or notices
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote li td th dd dt pre".split())
+#: classes of advertisements and reader comments, which hold inside an article as well
+FOREIGN_WORDS = frozenset((
+    "ad ads advert advertisement advertising adverts comment comments disqus discussion "
+    "feedback promo promoted promotion reactions replies respond responses sponsor "
+    "sponsored").split())
 #: their content is not markup and never text of the page
 RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BOILERPLATE_TAGS = frozenset((
@@ -65,8 +74,8 @@ BOILERPLATE_WORDS = frozenset((
     "ad ads advert advertisement advertising adverts aside banner breadcrumb breadcrumbs "
     "comment comments consent cookie cookies copyright discussion disqus footer form gdpr "
     "header login masthead menu menubar modal nav navbar navigation newsletter notice notices "
-    "notification overlay pager pagination popup promo promoted promotion recommended related "
-    "replies respond search share sharing sidebar signup skip social sponsor sponsored "
+    "notification overlay pager pagination popup promo promoted promotion reactions feedback "
+    "recommended related replies respond responses search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription teaser toolbar widget widgets").split())
 #: what follows them in a class name is about another part of the page
 QUALIFIERS = frozenset("has is no not with without".split())
@@ -83,9 +92,11 @@ IMPLIED_END = {
     "option": (frozenset(("option", "optgroup")), frozenset(("select",))),
 }
 
-# quoted values do not reach over another tag, so unclosed quotes stay cheap
+# a quoted value may hold another tag if its end looks like that of a value; an unclosed
+# quote reaches to the next quote at most, so it stays cheap
 TAG = re.compile(
-    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>"""
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>])"""
+    r"""|"[^"<]*+"|'[^'<]*+')*+)>"""
     r"""|<(/?)([a-zA-Z][^\s/>]*+)([^<>]*+)>""")
 ATTRIBUTE = re.compile(
     r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -120,7 +131,9 @@ def _is_boilerplate(tag: str, attributes: str, in_main: bool) -> bool:
             for word in map(str.lower, NAME_WORD.findall(one)):
                 if word in QUALIFIERS:
                     break
-                if word in BOILERPLATE_WORDS and not (word == "header" and in_main):
+                if word not in BOILERPLATE_WORDS or word == "header" and in_main:
+                    continue
+                if not in_main or tag not in TEXT_TAGS or word in FOREIGN_WORDS:
                     return True
     return False
 
@@ -203,7 +216,8 @@ def blocks(page: str) -> list[Block]:
                 break
             if open_tags[i][0] in border or not ended:
                 break
-        if name in VOID_TAGS or attributes.endswith("/"):
+        # of other elements a slash at the end closes foreign ones only
+        if name in VOID_TAGS or name in FOREIGN_TAGS and attributes.endswith("/"):
             continue
         boilerplate = _is_boilerplate(name, attributes, main > 0)
         # plain inline elements change nothing and are not kept open
@@ -220,7 +234,7 @@ def blocks(page: str) -> list[Block]:
 
 def _by_links(block: Block) -> bool:
     density = block.link_chars / max(1, len(block.text.replace(" ", "")))
-    return block.boilerplate or density > LINK_DENSITY or block.text[0] == "©"
+    return density > LINK_DENSITY or block.text[0] == "©"
 
 
 def _stops(block: Block) -> float:
@@ -229,12 +243,17 @@ def _stops(block: Block) -> float:
 
 
 def _first_pass(found: list[Block]) -> None:
-    bad = [_by_links(b) for b in found]
-    stops = [None if out or len(b.text) < SHORT else _stops(b) for b, out in zip(found, bad)]
-    known = any(s is not None and s >= STOP_LOW for s in stops)
-    for b, out, s in zip(found, bad, stops):
-        if out:
+    linked = [_by_links(b) for b in found]
+    stops = [None if b.boilerplate or out or len(b.text) < SHORT else _stops(b)
+             for b, out in zip(found, linked)]
+    # is most of the long text in a language whose stop words are known?
+    long = [(len(b.text), s >= STOP_LOW) for b, s in zip(found, stops) if s is not None]
+    known = 2 * sum(n for n, has in long if has) >= sum(n for n, _ in long)
+    for b, out, s in zip(found, linked, stops):
+        if b.boilerplate:
             b.label = False
+        elif out:
+            b.label = None if b.main else False
         elif s is None:
             b.label = None
         elif s >= STOP_HIGH or (s >= STOP_LOW and len(b.text) > 2 * SHORT):

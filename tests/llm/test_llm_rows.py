@@ -346,3 +346,48 @@ def test_long_runs_take_linear_time(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = pii.digest(pii.spans(df)).collect()
     assert [r["spans"] for r in got] == [""] * 4
+
+
+# ---- pages that are written oddly
+
+LEAD = "<p>The first paragraph of the article is long enough to be judged by its words, and so on.</p>"
+
+
+@pytest.mark.parametrize("page, text", [
+    # a tag inside of a quoted value is no tag
+    (f'<article><img alt="a<b" src="x"><p title="1<2">one {"the of and " * 12}</p></article>',
+     "one " + "the of and " * 11 + "the of and"),
+    # a slash at the end closes void and foreign elements only
+    (f'<div>{LEAD}</div><div><div class="ad"/>Buy now</div></div>', LEAD[3:-4]),
+    (f'<div>{LEAD}<svg class="x"/></div>', LEAD[3:-4]),
+    # in an article, neighbours decide on links, copyright signs and classes of paragraphs
+    (f'<article>{LEAD}<p><a href="u">a paragraph that is one link</a></p><p>© 1999</p>'
+     f'<p class="lead share">a lead</p>{LEAD}</article>',
+     "\n".join((LEAD[3:-4], "a paragraph that is one link", "© 1999", "a lead", LEAD[3:-4]))),
+    (f'<article>{LEAD}<p class="advert">Buy this</p></article>', LEAD[3:-4]),
+    (f'<article>{LEAD}</article><div class="reader-responses">{LEAD}</div>', LEAD[3:-4]),
+])
+def test_odd_pages(page, text):
+    assert html.main_text(page) == text
+
+
+def test_a_page_in_another_language_keeps_its_article():
+    polish = "Dzisiejsza pogoda jest bardzo dobra, a ptaki śpiewają głośno w ogrodzie. " * 5
+    assert polish.strip() in html.main_text(f"{LEAD}<div>{polish}</div>")
+    # junk on an English page is out
+    junk = "zxcv qwer asdf tyui " * 8
+    assert junk.strip() not in html.main_text(LEAD * 8 + f"<div>{junk}</div>" + LEAD * 8)
+
+
+def test_unclosed_quotes_are_cheap():
+    for page in ('<p class="a>' * 20_000, '<a "' * 50_000, "<a x='" + "<b>" * 50_000):
+        html.main_text(page)
+
+
+def test_pages_with_clashing_columns_and_repeats(spark):
+    page = f"<article>{LEAD}</article>"
+    df = spark.createDataFrame(
+        [(1, "u", page, "x", 5)] * 2 + [(None, None, None, None, None)],
+        "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(map(tuple, html.extract(df).collect()), key=repr)
+    assert got == sorted([(1, "u", LEAD[3:-4], len(LEAD) - 7)] * 2 + [(None, None, "", 0)], key=repr)
