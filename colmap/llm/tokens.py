@@ -252,6 +252,18 @@ def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.LocalFileSystem(), path
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme of the file system that Spark puts it on.
+
+    Workers must not take a path without one for a folder of their own disk.
+    """
+    if "://" in folder or folder.startswith("file:"):
+        return folder
+    spark.range(1).coalesce(1).write.parquet(f"{folder}-place")
+    found = spark.read.parquet(f"{folder}-place").inputFiles()[0]
+    return f"{found.rsplit('-place/', 1)[0]}"
+
+
 def _write(folder: str, name: str, content: bytes) -> str:
     """Write a file so that it is either whole or absent."""
     files, at = _filesystem(folder)
@@ -277,6 +289,7 @@ def write_tokens(
     files before.
     """
     tail = np.array([end], "<u4").tobytes()
+    folder = qualified(docs.sparkSession, folder)
 
     def encode(batches):
         from pyspark import TaskContext
