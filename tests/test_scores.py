@@ -227,10 +227,14 @@ def test_plain_function_as_method(spark, corpus):
     methods = {"no_task": function_method(first_column, "no_task"),
                "mine": function_method(with_task, "mine")}
     got = {(r["dataset"], r["method"]): r for r in run_evaluation(*corpus, methods).collect()}
-    assert got["d", "mine"]["score"] == 1.0 and got["e", "mine"]["score"] == 0.0
+    # a method that raises for a dataset gives that pair no score, but its error
+    assert got["d", "mine"]["score"] == 1.0 and got["e", "mine"]["score"] is None
+    assert got["e", "mine"]["error"] == "ValueError: no idea"
     assert [e["value_json"] for e in got["d", "mine"]["entries"]] == [
         '"sentence"', '"label"', '"rows-5"']
-    assert got["d", "no_task"]["code"] == "# Error: local LLM failed"
+    # a function's mapping counts as it is; only a model's reply needs a task
+    assert got["d", "no_task"]["code"] == "Rename(field='sentence', to_field='text')"
+    assert got["d", "no_task"]["score"] == 1.0
 
 
 def test_partitions_do_not_matter(spark, corpus):
