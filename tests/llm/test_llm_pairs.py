@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -186,15 +187,11 @@ def test_search_edges(spark, edges, no_docs):
     assert search.top_k(edges, asked.limit(0)).count() == 0
 
 
-def test_search_prunes_and_stays_exact(spark, monkeypatch):
-    """Small blocks, so that bounds decide, against plain scoring."""
-    monkeypatch.setattr(search, "BLOCK", 4)
-    monkeypatch.setattr(search, "DENSE", 3)
+def _search_case(n_docs=300, n_asked=20):
+    """Documents and the plain BM25 result of the first ones as queries."""
     rnd = np.random.default_rng(3)
     texts = [" ".join(f"t{min(int(x), 60)}" for x in rnd.zipf(1.4, rnd.integers(1, 40)))
-             for _ in range(300)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    asked = docs.where("doc_id < 20").withColumnRenamed("doc_id", "query_id")
+             for _ in range(n_docs)]
     split = [t.split() for t in texts]
     mean = sum(map(len, split)) / len(split)
     df = {}
@@ -202,18 +199,52 @@ def test_search_prunes_and_stays_exact(spark, monkeypatch):
         for t in set(s):
             df[t] = df.get(t, 0) + 1
     want = []
-    for q in range(20):
+    for q in range(n_asked):
         scored = []
         for d, s in enumerate(split):
             score = sum(round(float(
-                np.log(1 + (300 - df[t] + 0.5) / (df[t] + 0.5)) * (
+                np.log(1 + (n_docs - df[t] + 0.5) / (df[t] + 0.5)) * (
                     s.count(t) * 2.2 / (s.count(t) + 1.2 * (0.25 + 0.75 * len(s) / mean)))
                 * 1_000_000)) for t in set(split[q]) & set(s))
             if score:
                 scored.append((-score, d))
         want += [(q, d, -s / 1_000_000, r + 1) for r, (s, d) in enumerate(sorted(scored)[:10])]
-    got = sorted(tuple(r) for r in search.top_k(docs, asked).collect())
-    assert [(g[0], g[1], g[3]) for g in sorted(got, key=lambda g: (g[0], g[3]))] == [
-        (w[0], w[1], w[3]) for w in want]
-    assert np.allclose([g[2] for g in sorted(got, key=lambda g: (g[0], g[3]))],
-                       [w[2] for w in want])
+    return texts, split, df, mean, want
+
+
+@pytest.mark.parametrize("shard_docs, queries", [(8192, 1024), (40, 6), (40, 1024), (1000, 3)])
+def test_search_is_exact(spark, monkeypatch, shard_docs, queries):
+    """One or many shards, blocks of queries and groups of shards against plain scoring."""
+    monkeypatch.setattr(search, "SHARD_DOCS", shard_docs)
+    monkeypatch.setattr(search, "QUERIES", queries)
+    texts, _, _, _, want = _search_case()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = docs.where("doc_id < 20").withColumnRenamed("doc_id", "query_id")
+    got = sorted((tuple(r) for r in search.top_k(docs, asked).collect()),
+                 key=lambda g: (g[0], g[3]))
+    assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+@pytest.mark.parametrize("block, dense, shard", [(4, 3, 300), (16, 1, 70), (7, 20, 33), (300, 2, 1)])
+def test_search_prunes_and_stays_exact(monkeypatch, block, dense, shard):
+    """Small blocks, so that bounds and bars of earlier shards decide."""
+    monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(search, "DENSE", dense)
+    monkeypatch.setattr(search, "BATCH", 6)
+    _, split, df, mean, want = _search_case()
+    terms = pa.array(sorted(df))
+    number = {t: i for i, t in enumerate(terms.to_pylist())}
+    counts = np.array([df[t] for t in terms.to_pylist()], float)
+    queries = [np.array([number[t] for t in dict.fromkeys(split[q])]) for q in range(20)]
+    found = search.nothing_found(20)
+    for at in range(0, 300, shard):
+        part = split[at:at + shard]
+        made = search.Segment(np.arange(at, at + len(part)), pa.array(part, pa.list_(pa.string())))
+        segment = search.Segment.unpack(made.pack())
+        scorer = search.Scorer(segment, terms, counts, 300, mean)
+        search.search_segment(segment, scorer, queries, 10, found)
+    got = [(q, int(d), s / search.SCALE, r + 1) for q, (scores, ids) in enumerate(found)
+           for r, (s, d) in enumerate(zip(scores, ids, strict=True))]
+    assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want])
