@@ -9,8 +9,10 @@ equal number of blocks and, in expectation, the target weights. Shards then take
 disjoint stretches of each source's permuted blocks and shuffle their documents
 locally by a hash.
 
-The last block of a tape is cut at a document; one more document of the source,
-the one whose size is nearest to the words still missing, fills the rest.
+The last block of a tape is cut at a document. Of the ``SIDE`` documents before the cut
+and the ``SIDE`` after it, in the order of the tape, those are taken instead whose sizes
+add up nearest to the target, out of all choices. So a source of up to ``SIDE`` documents
+comes as near to its target as whole documents can, and a larger one within few words.
 
 What the choice depends on is the table of sources. Documents are compared with
 the cut of their source, so they are not shuffled; only the blocks in which a tape
@@ -33,6 +35,8 @@ from colmap.session import written
 #: hash ranges per source; also the most rows of a window over blocks
 BLOCKS = 4096
 WEIGHTS = (3, 1, 2)
+#: documents on each side of a cut that may be exchanged
+SIDE = 6
 
 
 def size_of(text: Column) -> Column:
@@ -147,6 +151,34 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("low").alias("shard"), F.inline("quotas"))
 
 
+def _nearest_choice(around: Column, missing: Column) -> Column:
+    """Hashes of the documents in ``around`` whose sizes come nearest to what they shall fill.
+
+    They shall fill ``missing`` words and those of the documents drawn among them. All
+    choices are looked at, at most 2 to the power of 2 * ``SIDE``.
+    """
+    start = F.array(F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("mask")))
+    listed = F.transform(around, lambda x, i: F.struct(
+        x["h"].alias("h"), x["size"].alias("size"),
+        F.call_function("shiftleft", F.lit(1), i).alias("bit")))
+    need = missing + F.aggregate(around, F.lit(0).cast("long"), lambda s, x: s + F.when(
+        x["drawn"], x["size"]).otherwise(0))
+
+    def with_and_without(sums, x):
+        return F.concat(sums, F.transform(sums, lambda t: F.struct(
+            (t["sum"] + x["size"]).alias("sum"), (t["mask"] + x["bit"]).alias("mask"))))
+
+    def best(sums):
+        return F.array_min(F.zip_with(
+            sums, F.array_repeat(need, F.size(sums)), lambda t, n: F.struct(
+                F.abs(t["sum"] - n).alias("off"), t["mask"].alias("mask"))))["mask"]
+
+    mask = F.aggregate(listed, start, with_and_without, best)
+    # a fold over the one mask, so that it is not computed again for every document
+    return F.aggregate(F.array(mask), F.array().cast("array<long>"), lambda _, m: F.transform(
+        F.filter(listed, lambda x: x["bit"].bitwiseAND(m) != 0), lambda x: x["h"]))
+
+
 def draws(
     docs: DataFrame,
     shards: int = 16,
@@ -174,14 +206,14 @@ def draws(
     sums = written(marked.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
     plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")),
                    weights, share, cap)
+    wanted = F.round(F.col("target")).cast("long")
     whole = F.when(F.col("source_size") > 0,
-                   F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
+                   F.floor(wanted / F.col("source_size"))).otherwise(0)
     plan = written(
         plan.withColumn("source_no", F.row_number().over(
             Window.orderBy(F.col("source").asc_nulls_last())))
         .withColumn("whole", whole.cast("long"))
-        .withColumn("rest", F.round(F.col("target")).cast("long")
-                    - F.col("whole") * F.col("source_size")), "targets")
+        .withColumn("rest", wanted - F.col("whole") * F.col("source_size")), "targets")
     n_sources = plan.count()
 
     # blocks of a tape in permuted order, up to the one in which it ends
@@ -218,29 +250,33 @@ def draws(
     last = written(last.join(cuts, "source_no", "left").withColumn(
         "missing", F.col("room") - F.coalesce("used", F.lit(0).cast("long"))), "cuts")
 
-    # one more document, the nearest in size to what is missing
-    ranks = tape.select(F.col("source").alias("of"), F.col("block").alias("in_block"), "rank")
-    ranks = small(ranks, n_sources * BLOCKS)
-    seen = of_source(marked, "source_no", "end_rank", "cut", "missing").join(
-        ranks, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in_block")))
-    drawn = (F.col("rank") < F.col("end_rank")) | (
-        (F.col("rank") == F.col("end_rank")) & (F.col("h") <= F.col("cut")))
-    off = F.abs(F.col("size") - F.col("missing"))
-    fill = (
-        seen.where(~F.coalesce(drawn, F.lit(False)) & F.col("missing").isNotNull()
-                   & (off < F.col("missing")))
-        .groupBy("source_no").agg(F.min(F.struct(off.alias("off"), "h")).alias("f"))
-        .select("source_no", F.col("f.h").alias("fill"))
+    # the documents on both sides of the cut, and the best choice of them
+    n_blocks = tape.count()
+    near = tape.select("source_no", F.col("source").alias("of"), F.col("block").alias("in_block"),
+                       "rank").join(small(last.select(
+                           "source_no", "end_rank", "cut", "missing", "rest"), n_sources), "source_no")
+    near = near.where((F.abs(F.col("rank") - F.col("end_rank")) <= SIDE) & (F.col("rest") > 0))
+    drawn = F.coalesce((F.col("rank") < F.col("end_rank")) | (
+        (F.col("rank") == F.col("end_rank")) & (F.col("h") <= F.col("cut"))), F.lit(False))
+    outwards = Window.partitionBy("source_no", "drawn").orderBy(
+        F.when(F.col("drawn"), -F.col("rank")).otherwise(F.col("rank")),
+        F.when(F.col("drawn"), F.bitwise_not("h")).otherwise(F.col("h")))
+    around = (
+        marked.where("size > 0").join(
+            small(near, n_sources * (2 * SIDE + 1)),
+            F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in_block")))
+        # rows that share the hash come along together
+        .groupBy("source_no", "missing", "rank", "h", drawn.alias("drawn"))
+        .agg(F.sum("size").alias("size"))
+        .withColumn("nth", F.row_number().over(outwards)).where(F.col("nth") <= SIDE)
+        .groupBy("source_no", "missing").agg(F.array_sort(F.collect_list(
+            F.struct("drawn", "nth", "h", "size"))).alias("around"))
     )
-    # rows that share the hash would all come along
-    alike = of_source(marked, "source_no").join(
-        small(fill, n_sources), "source_no").where("h = fill").groupBy("source_no").agg(
-        F.sum("size").alias("fill_words"))
     last = written(
-        last.join(fill.join(alike, "source_no"), "source_no", "left")
-        .withColumn("fill", F.when(
-            F.abs(F.col("fill_words") - F.col("missing")) < F.col("missing"), F.col("fill"))),
-        "fills")
+        last.join(around.select(
+            "source_no", F.transform("around", lambda x: x["h"]).alias("open"),
+            _nearest_choice(F.col("around"), F.col("missing")).alias("picked")),
+            "source_no", "left"), "fills")
 
     # units: a copy of a block; the quota of a source is how many units it gives
     units = written(
@@ -272,19 +308,20 @@ def draws(
         placed.withColumnsRenamed({"of": "o", "in_block": "b"}),
         F.col("of").eqNullSafe(F.col("o")) & (F.col("in_block") == F.col("b")), "left").drop("o", "b")
 
-    chosen = (F.col("rest") > 0) & (
-        F.coalesce(drawn, F.lit(False)) | F.coalesce(F.col("h") == F.col("fill"), F.lit(False)))
+    chosen = (F.col("rest") > 0) & F.when(
+        F.array_contains("open", F.col("h")), F.array_contains("picked", F.col("h"))
+    ).otherwise(drawn)
     copies = F.col("whole") + chosen.cast("long")
     own = F.slice(F.coalesce("unit_shards", F.array().cast("array<int>")), F.lit(1),
                   copies.cast("int"))
-    # the filling document's block may have one unit less than it has copies
+    # the block of a document behind the cut has one unit less than the document has copies
     spare = F.pmod(F.xxhash64(F.lit(seed), F.lit("fill"), "h"), F.lit(shards)).cast("int")
     own = F.concat(own, F.array_repeat(spare, (copies - F.size(own)).cast("int")))
     kept = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("doc"), mark.alias("m"))
     kept = kept.select("doc", "m.*").withColumn("block", block)
     found = of_source(
-        kept, "source_size", "target", "whole", "rest", "end_rank", "cut", "fill",
-    ).join(small(ranks, n_sources * BLOCKS),
+        kept, "source_size", "target", "whole", "rest", "end_rank", "cut", "open", "picked",
+    ).join(small(ranks, n_blocks),
            F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in_block")))
     return found.select("doc.*", F.struct(
         "size", "source_size", "target", copies.alias("copies"), own.alias("shards"),

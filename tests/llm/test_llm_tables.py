@@ -75,6 +75,41 @@ def test_mix_meets_its_targets(spark):
     assert copies.columns == docs.columns + ["shard", "place"]
 
 
+def test_small_sources_come_as_near_as_documents_can(spark):
+    """Against all choices of documents; repeated rows are taken together."""
+    rnd = random.Random(5)
+    rows = []
+    for source in range(25):
+        for _ in range(rnd.randint(1, mixing.SIDE)):
+            text = " ".join(f"w{rnd.randint(0, 99)}" for _ in range(rnd.choice([0, 1, 7, 40, 300])
+                                                                   + rnd.randint(0, 20)))
+            rows.append((len(rows), text, f"s{source:02d}"))
+    rows += [rows[0], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.draws(docs, shards=4).select("doc_id", "source", "mix.*").collect()
+    assert len(got) == len(rows)
+    for source in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == source]
+        target, whole = own[0]["target"], sum(r["size"] for r in own)
+        sizes = {}
+        for r in own:
+            sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["size"]
+        sums = {0}
+        for n in sizes.values():
+            sums |= {x + n for x in sums}
+        taken = sum(r["copies"] * r["size"] for r in own)
+        reachable = sums | {x + whole for x in sums}
+        assert abs(taken - round(target)) <= min(abs(x - round(target)) for x in reachable), source
+        assert all(r["copies"] <= 2 and len(r["shards"]) == r["copies"] for r in own)
+
+
+def test_sources_of_the_table_come_near(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = mixing.draws(docs).select("source", "mix.*").groupBy("source").agg(
+        F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken"))
+    assert found.where(F.abs(F.col("taken") - F.col("target")) > 0.015 * F.col("target")).count() == 0
+
+
 def test_splitting_tree(spark):
     """Quotas are kept, shards get equal shares, and draws have the right mean."""
     quotas = spark.createDataFrame([(1, 600), (2, 0), (3, 200)], "source_no int, units long")
