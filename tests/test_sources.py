@@ -16,7 +16,7 @@ from colmap.plans.standardize import (
     load_standardized_dataset_local,
 )
 from colmap.session import scratch_path, written
-from colmap.sources.cards import discover, read_cards
+from colmap.sources.cards import discover, read_cards, write_cards
 from colmap.sources.registry import dataset_id, discover_tasks, fixed_registry, seeded_sample
 from colmap.sources.sinks import read_csv, write_csv, write_table
 from colmap.sources.splits import load_rows, load_split, raw_columns
@@ -236,3 +236,19 @@ def test_cards_of_odd_roots(spark, folder):
         (0, "cards/a+b%20.json"), (0, "my card.json"), (2, "my card.json")]
     assert rows(discover(raw, []).select("card_id")) == [("cards.a+b%20",), ("my card",)]
     assert read_cards(spark, [f"{folder}/empty"]).count() == 0
+
+
+def test_written_cards(spark, folder):
+    """A file for every row, copies too, and no folder that holds them all."""
+    bodies = spark.range(1200).select(F.when(F.col("id") < 1199, F.to_json(F.struct(
+        F.lit("é\n").alias("task"), (F.col("id") % 400).alias("n")))).alias("b"))
+    assert write_cards(bodies, f"{folder}/one/cards") == 1199
+    assert write_cards(bodies, f"file://{folder}/two/cards/") == 1199
+    assert write_cards(bodies.limit(0), f"{folder}/three/cards") == 0
+    raw = read_cards(spark, [f"{folder}/one", f"{folder}/two", f"{folder}/three"])
+    assert raw.select("path").distinct().count() == 2 * 1199
+    for pos in (0, 1):
+        found = raw.where(F.col("catalog_pos") == pos)
+        assert rows(found.select(F.rtrim(F.regexp_replace("body", r"\n$", "")))) == rows(
+            bodies.where("b is not null"))
+    assert len(os.listdir(f"{folder}/one/cards")) == 5

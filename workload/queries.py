@@ -73,7 +73,7 @@ from colmap.plans.standardize import (
     standardize_rows,
 )
 from colmap.session import scratch_path, written
-from colmap.sources.cards import discover, read_cards
+from colmap.sources.cards import discover, read_cards, write_cards
 from colmap.sources.registry import discover_tasks, seeded_sample
 from colmap.sources.sinks import read_catalog, read_csv, write_csv
 from colmap.sources.splits import load_rows, load_split, raw_columns
@@ -687,12 +687,12 @@ def card_files(spark, sf):
     tasks = F.array(*[F.lit(t) for t in (
         "tasks.qa.open", "tasks.classification.binary", "tasks.regression")])
     for pos, root in enumerate(roots):
-        suppliers.where(F.col("s_suppkey") % 3 >= pos).select(
+        write_cards(suppliers.where(F.col("s_suppkey") % 3 >= pos).select(F.to_json(F.struct(
             F.lit("task_card").alias("__type__"),
             F.struct(F.lit("load_hf").alias("__type__"), F.col("s_name").alias("path"),
                      F.lit(f"catalog{pos}").alias("name")).alias("loader"),
             F.get(tasks, (F.col("s_nationkey") % 3).cast("int")).alias("task"),
-        ).write.option("maxRecordsPerFile", 1).json(f"{root}/cards")
+        ))), f"{root}/cards")
     return discover(read_cards(spark, [*roots, f"{roots[0]}/none"])).select(
         "name", "config", "task_type")
 
