@@ -236,7 +236,10 @@ def overlap_frames(
     gt_order = gt_order or gt.columns[:1]
     gt = with_json(gt, column)
     raw_order, gt_order = exact_order(raw_order), exact_order(gt_order)
-    first = gt.orderBy(*gt_order).limit(1).select(object_keys(F.col(column)).alias("k")).first()
+    # the place first: sorting records makes each of them, where they are made from columns
+    place = F.struct(*gt_order)
+    least = gt.orderBy(*gt_order).limit(1).select(place).scalar()
+    first = gt.where(place.eqNullSafe(least)).select(object_keys(F.col(column)).alias("k")).first()
     keys = [] if first is None else (first["k"] or [])
     fields = [
         (pos, k)
