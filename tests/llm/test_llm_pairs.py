@@ -248,3 +248,34 @@ def test_search_prunes_and_stays_exact(monkeypatch, block, dense, shard):
            for r, (s, d) in enumerate(zip(scores, ids, strict=True))]
     assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in want]
     assert np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
+def test_search_splits_texts_once(spark, edges, monkeypatch):
+    """Frequencies come from the indexes: documents and queries are split once each, and
+    the table of all words is not broadcast."""
+    split, hints, plain = [], [], search.words
+    monkeypatch.setattr(search, "words", lambda text: split.append(text) or plain(text))
+    hint = type(edges).hint
+    monkeypatch.setattr(type(edges), "hint", lambda df, *a: hints.append(a) or hint(df, *a))
+    asked = spark.createDataFrame([(1, "quick FOX")], "query_id long, text string")
+    assert search.top_k(edges, asked, k=1).count() == 1
+    assert len(split) == 2 and ("merge",) in hints
+
+
+def test_search_sums_beyond_single_precision():
+    """Scores one unit apart at 2**28, where single precision keeps steps of 32."""
+    n = 200
+    segment = search.Segment(np.arange(n), pa.array([["a", "b"]] * n, pa.list_(pa.string())))
+    scorer = search.Scorer(segment, pa.array([f"t{i}" for i in range(40)] + ["a"]),
+                           np.ones(41), n, 2.0)
+    assert scorer.matrix.dtype == np.float32
+    scorer.known[:] = True
+    scorer.dense, scorer.dense_row = np.arange(41), np.arange(41)
+    scorer.matrix = np.full((n, 41), (1 << 23) - 1, np.float32)
+    scorer.matrix[:, 40] = np.arange(n)
+    scorer.top = np.full((41, 1), float(1 << 23))
+    found = search.nothing_found(1)
+    search.search_segment(segment, scorer, [np.arange(41)], 10, found)
+    top = np.argsort(-scorer.matrix[:, 40], kind="stable")[:10]
+    assert found[0][1].tolist() == segment.doc_ids[top].tolist()
+    assert found[0][0].tolist() == [40 * ((1 << 23) - 1) + n - 1 - i for i in range(10)]
