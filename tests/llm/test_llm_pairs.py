@@ -279,3 +279,28 @@ def test_search_sums_beyond_single_precision():
     top = np.argsort(-scorer.matrix[:, 40], kind="stable")[:10]
     assert found[0][1].tolist() == segment.doc_ids[top].tolist()
     assert found[0][0].tolist() == [40 * ((1 << 23) - 1) + n - 1 - i for i in range(10)]
+
+
+def test_search_prepares_an_index_once_for_thousands_of_queries(spark, monkeypatch):
+    """3,000 queries are one block, so no index is unpacked and weighed a second time."""
+    blocks, plain = [], search._search
+    monkeypatch.setattr(search, "_search", lambda *a: blocks.append(a[1]) or plain(*a))
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('t', id, ' all') AS text")
+    asked = docs.withColumnRenamed("doc_id", "query_id")
+    got = search.top_k(docs, asked, k=1).collect()
+    assert blocks == [1]
+    assert len(got) == 3000 and all(r["query_id"] == r["doc_id"] for r in got)
+
+
+def test_search_batches_of_unknown_and_rare_terms():
+    """Queries of which a segment knows no term, some, or rare ones only, in one batch."""
+    segment = search.Segment(np.arange(3), pa.array(
+        [["a", "b"], ["a"], ["c", "a"]], pa.list_(pa.string())))
+    scorer = search.Scorer(segment, pa.array(["x", "a", "y", "c", "b"]), np.ones(5), 3, 5 / 3)
+    scorer.dense_row[[3, 4]] = -1
+    scorer.matrix[:, np.isin(scorer.dense, [3, 4])] = 0
+    queries = [np.array(q, np.int64) for q in ([0], [3], [0, 2], [4, 1, 0], [2, 3, 4])]
+    found = search.nothing_found(5)
+    search.search_segment(segment, scorer, queries, 10, found)
+    assert [sorted(ids.tolist()) for _, ids in found] == [[], [2], [], [0, 1, 2], [0, 2]]
+    assert found[3][1].tolist()[0] == 0
