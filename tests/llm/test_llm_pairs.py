@@ -304,3 +304,34 @@ def test_search_batches_of_unknown_and_rare_terms():
     search.search_segment(segment, scorer, queries, 10, found)
     assert [sorted(ids.tolist()) for _, ids in found] == [[], [2], [], [0, 1, 2], [0, 2]]
     assert found[3][1].tolist()[0] == 0
+
+
+def test_search_orders_queries_by_their_words():
+    """Queries of two languages that come in turn are separated."""
+    rnd = np.random.default_rng(5)
+    queries = [np.unique(rnd.integers(0, 40, 12) + 40 * (i % 2)) for i in range(60)]
+    order = search.alike(queries, 90)
+    assert sorted(order) == list(range(60))
+    assert np.count_nonzero(np.diff(order % 2)) <= 7  # at most one change in each of 2**3 parts
+    assert search.alike(queries[:1], 90).tolist() == [0]
+
+
+@pytest.mark.parametrize("products", [0, 1, 4, 10_000])
+def test_search_is_exact_whichever_terms_are_multiplied(monkeypatch, products):
+    """Frequent terms go through the matrix or the postings, by how many of a batch have them."""
+    monkeypatch.setattr(search, "PRODUCTS", products)
+    monkeypatch.setattr(search, "BATCH", 6)
+    monkeypatch.setattr(search, "BLOCK", 70)
+    _, split, df, mean, want = _search_case()
+    terms = pa.array(sorted(df))
+    number = {t: i for i, t in enumerate(terms.to_pylist())}
+    queries = [np.array([number[t] for t in dict.fromkeys(split[q])]) for q in range(20)]
+    segment = search.Segment(np.arange(300), pa.array(split, pa.list_(pa.string())))
+    scorer = search.Scorer(
+        segment, terms, np.array([df[t] for t in terms.to_pylist()], float), 300, mean)
+    found = search.nothing_found(20)
+    search.search_segment(segment, scorer, queries, 10, found)
+    got = [(q, int(d), s / search.SCALE, r + 1) for q, (scores, ids) in enumerate(found)
+           for r, (s, d) in enumerate(zip(scores, ids, strict=True))]
+    assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want])
