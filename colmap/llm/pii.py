@@ -43,7 +43,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colmap.llm.common import small
+from colmap.llm.common import BROADCAST_ROWS, small
 from colmap.session import written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -59,12 +59,16 @@ TOKEN = r"(?<![^\s:=])[^\s:=0-9@]*+[0-9@]\S*+"
 LEADING = r"^[+(]*+[0-9][0-9().-]*+(?<=[0-9)])$"
 FOLLOWING = r"^\(?[0-9][0-9().-]*+[^\p{L}\p{N}]*+$"
 #: what a text must contain for its kind to be looked for
-HINT = {"email": "@", "phone": "+"}
+HINT = {
+    "email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]",
+    "token": "[0-9@]"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 MIN_SEEDS = 3
 ROUNDS = 3
 ACCEPT = 0.8
+#: contexts that are looked for by a set in the plan instead of a join
+LITERALS = 10_000
 #: shape that a candidate of a kind must have
 SHAPES = {
     "email": r"^[^@\s]+@[^@\s]+$",
@@ -79,18 +83,24 @@ RUN_SHAPES = {
 }
 
 
-def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """(kind, i, value, gap, words, blank) of each match, in order.
+def _found(text: Column, kind: str) -> Column:
+    """The matches of a kind in order; texts without its hint are not searched."""
+    found = F.regexp_extract_all(text, F.lit(_pattern(kind)), F.lit(0))
+    return F.when(text.rlike(HINT[kind]), found).otherwise(F.array().cast("array<string>"))
+
+
+def _pattern(kind: str) -> str:
+    return TOKEN if kind == "token" else PATTERNS[kind]
+
+
+def _matches(text: Column, kind: str, found: Column) -> Column:
+    """(kind, i, value, gap, words, blank) of each match of ``found``, in order.
 
     ``gap`` is the length of the text between the match before and this one; for
     tokens, ``words`` are its last two words, the last one first, and ``blank`` says
     that it is spaces only.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if kind in HINT:
-        found = F.when(F.contains(text, F.lit(HINT[kind])), found).otherwise(
-            F.array().cast("array<string>"))
-    pieces = F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(
+    pieces = F.when(F.size(found) > 0, F.split(text, _pattern(kind), -1)).otherwise(
         F.array().cast("array<string>"))
 
     def words(before):
@@ -130,12 +140,15 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     those with a word since the last token.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    events = F.concat(
-        *[_matches(text, k, PATTERNS[k]) for k in KINDS], _matches(text, "token", TOKEN))
-    # rows get their numbers before the matches of a text become rows
+    kinds = (*KINDS, "token")
+    # rows get their numbers before the matches of a text become rows; the matches are a
+    # column first, since they are used more than once
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
-        events.alias("events"),
+        text.alias("text"), *[_found(text, k).alias(f"in_{k}") for k in kinds],
+    ).select(
+        "row", "doc_id",
+        F.concat(*[_matches(F.col("text"), k, F.col(f"in_{k}")) for k in kinds]).alias("events"),
     ).select("row", "doc_id", F.explode_outer("events").alias("e")).select("row", "doc_id", "e.*")
     length = F.length("value")
     along = Window.partitionBy("row", "kind").orderBy("i")
@@ -225,22 +238,31 @@ def _any(conditions: list[Column]) -> Column:
 def _corpus_counts(
     docs: DataFrame, text_col: str, places: DataFrame, contexts: DataFrame, n: int,
 ) -> DataFrame:
-    """(context, total): how often each context occurs in all texts.
+    """(context, total): how often each of ``n`` contexts occurs in all texts.
 
     Each further entry of a list is one more occurrence of the words before the list.
+    Pairs of other words are dropped before they are counted, unless the contexts are too
+    many to be sent to every executor.
     """
-    w = _plain_words(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), TOKEN, " "))
-    pairs = F.when(F.size("w") >= 2, F.transform(
-        F.sequence(F.lit(0), F.size("w") - 2),
-        lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1)))).otherwise(
-        F.array().cast("array<long>"))
-    return (
-        docs.select(w.alias("w")).select(F.explode(pairs).alias("context"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = F.when(text.rlike(HINT["token"]), F.regexp_replace(text, TOKEN, " ")).otherwise(text)
+    pairs = (
+        # only the first and the last piece can be empty
+        docs.select(F.split(F.lower(plain), r"[^\p{L}]+").alias("w"))
+        .select(F.explode(F.arrays_zip(
+            F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("p"))
+        .where("p.a <> '' and p.b <> ''").select(F.xxhash64("p.a", "p.b").alias("context"))
         .unionByName(places.where("entry").select("context"))
-        .groupBy("context").agg(F.count(F.lit(1)).alias("total"))
-        .join(small(contexts, n), "context")
     )
 
+    if n <= LITERALS:
+        pairs = pairs.where(F.col("context").isin([r[0] for r in contexts.collect()]))
+    elif n <= BROADCAST_ROWS:
+        pairs = pairs.join(F.broadcast(contexts), "context", "left_semi")
+    counts = pairs.groupBy("context").agg(F.count(F.lit(1)).alias("total"))
+    # no semi-join: that would be moved below the counting, and all pairs would be shuffled
+    return counts if n <= BROADCAST_ROWS else counts.join(contexts, "context")
+
 
 def discovered(docs: DataFrame, found: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, kind, start, end, confidence) of identifiers found by their contexts."""
